@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: key holding every row then fits a single task.
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
 
+#: Small tables of at least this size are worth spreading over the cores.
+SPREAD_BYTES = 4 * 1024 * 1024
+
 #: Lookups whose files add up to less than this are broadcast.
 BROADCAST_BYTES = 8 * 1024 * 1024
 
@@ -69,7 +72,7 @@ def input_bytes(df: DataFrame) -> int:
     Sums the leaves, because Spark's estimate for a join without column
     statistics is the product of both sides. Unknown sizes count as huge.
     """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
@@ -77,5 +80,15 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
     return input_bytes(df) <= (SMALL_INPUT_BYTES if limit is None else limit)
 
 
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small table, which one task would read whole, over all cores.
+
+    Larger tables have splits enough and are left as they are; so are tiny ones.
+    """
+    if SPREAD_BYTES <= input_bytes(df) <= SMALL_INPUT_BYTES:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    return df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

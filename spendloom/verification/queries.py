@@ -47,7 +47,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def _spend(spark: SparkSession, d: str) -> DataFrame:
-    return tiers.product_spend(roles.part_spend(spark, d))
+    return tiers.product_spend(roles.part_totals(spark, d))
 
 
 def _tiers(spark: SparkSession, d: str, **options) -> DataFrame:
@@ -117,13 +117,13 @@ def attach_segment(spark, d):
 
 @query
 def attach_segment_by_class(spark, d):
-    joined = tiers.attach_segment(roles.part_spend(spark, d), _tiers(spark, d), ["class4", "product_number"])
+    joined = tiers.attach_segment(roles.part_purchases(spark, d), _tiers(spark, d), ["class4", "product_number"])
     return plain(joined)
 
 
 @query
 def reconcile(spark, d):
-    purchase_rows = roles.part_spend(spark, d)
+    purchase_rows = roles.part_purchases(spark, d)
     return plain(tiers.reconcile(purchase_rows, SPEND, tiers.tier_summary(_tiers(spark, d)), "spend_total"))
 
 
@@ -506,7 +506,7 @@ def top_vendors(spark, d):
 
 @query
 def spend_by_product(spark, d):
-    return plain(profile.top_groups(roles.part_spend(spark, d), "product_number", SPEND, None))
+    return plain(profile.top_groups(roles.part_purchases(spark, d), "product_number", SPEND, None))
 
 
 @query

@@ -2,37 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from spendloom.operators.joins import lookup_join, skew_join
+from spendloom.session import spread_small
+
+#: Schemas of the test tables, so that reading one starts no job.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,"
+    " l_shipdate timestamp_ntz",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+_PRODUCT = "CAST(l_partkey AS STRING)"
+_PRICE = "CAST(l_extendedprice AS DECIMAL(18,2))"
+_FLAG = "IF(l_shipdate >= TIMESTAMP_NTZ '2001-09-01', 'N', 'Y')"
+_BRAND_NUMBER = "CAST(substring(p_brand, 7) AS INT)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(df, "l_partkey") if name == "lineitem" else df
 
 
-def _text(name: str) -> Column:
-    return F.col(name).cast("string")
-
-
-def _money(c: Column | str) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("decimal(18,2)")
-
-
-def _brand_number() -> Column:
-    return F.substring("p_brand", 7, 10).cast("int")
-
-
-def _attribute_id(name: str = "l_linenumber") -> Column:
-    return F.concat(F.lit("ticGoldenItem-"), _text(name))
-
-
-def _by_line(values: dict[int, str | None]) -> Column:
-    result = F.lit(None).cast("string")
-    for number, value in values.items():
-        result = F.when(F.col("l_linenumber") == number, F.lit(value)).otherwise(result)
-    return result
+def _by_line(values: dict[int, str]) -> str:
+    arms = " ".join(f"WHEN {number} THEN '{value}'" for number, value in values.items())
+    return f"CASE l_linenumber {arms} END"
 
 
 def lines_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,23 +50,23 @@ def purchase_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lookup_join(
         lines_with_parts(spark, sf_dir), suppliers.withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey", "inner"
     )
-    return rows.select(
-        F.year("l_shipdate").alias("year_authorization"),
-        _text("l_suppkey").alias("uniquevendorcode"),
-        F.col("l_linestatus").alias("warehouse"),
-        _text("l_partkey").alias("product_number"),
-        F.col("p_name").alias("product_description"),
-        _money("l_extendedprice").alias("purchase_amount_eur"),
-        F.col("l_quantity").alias("purchase_quantity"),
-        F.col("s_name").alias("crm_main_vendor"),
-        F.when(F.col("n_name") != "NATION_7", F.col("n_name")).alias("crm_main_group_vendor"),
-        F.concat(F.lit(" "), F.floor(F.col("p_size") / 10).cast("string"), F.lit(" - "), "p_type").alias("class2"),
-        F.col("p_type").alias("class3"),
-        F.col("p_brand").alias("class4"),
-        F.concat(F.lit(" "), F.upper(F.split_part("p_name", F.lit(" "), F.lit(1))), F.lit("\t")).alias("brand_name"),
-        F.col("l_returnflag").alias("brand_type"),
-        F.col("n_name").alias("country_of_origin"),
-        F.when(F.col("l_shipdate") >= "2001-09-01", "N").otherwise("Y").alias("_flag"),
+    return rows.selectExpr(
+        "year(l_shipdate) AS year_authorization",
+        "CAST(l_suppkey AS STRING) AS uniquevendorcode",
+        "l_linestatus AS warehouse",
+        f"{_PRODUCT} AS product_number",
+        "p_name AS product_description",
+        f"{_PRICE} AS purchase_amount_eur",
+        "l_quantity AS purchase_quantity",
+        "s_name AS crm_main_vendor",
+        "nullif(n_name, 'NATION_7') AS crm_main_group_vendor",
+        "concat(' ', p_size DIV 10, ' - ', p_type) AS class2",
+        "p_type AS class3",
+        "p_brand AS class4",
+        "concat(' ', upper(split_part(p_name, ' ', 1)), '\t') AS brand_name",
+        "l_returnflag AS brand_type",
+        "n_name AS country_of_origin",
+        f"{_FLAG} AS _flag",
     )
 
 
@@ -78,282 +80,271 @@ def purchase_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return purchase_raw(spark, sf_dir).drop("_flag")
 
 
-def part_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+def part_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchase rows with the columns the tiering needs, nothing joined but parts."""
-    return lines_with_parts(spark, sf_dir).select(
-        F.col("p_brand").alias("class4"),
-        _text("l_partkey").alias("product_number"),
-        F.col("p_name").alias("product_description"),
-        _money("l_extendedprice").alias("purchase_amount_eur"),
+    return lines_with_parts(spark, sf_dir).selectExpr(
+        "p_brand AS class4",
+        f"{_PRODUCT} AS product_number",
+        "p_name AS product_description",
+        f"{_PRICE} AS purchase_amount_eur",
+    )
+
+
+def part_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, summed per part before the parts are joined: no part is hot any more."""
+    totals = (
+        table(spark, sf_dir, "lineitem")
+        .selectExpr("l_partkey AS p_partkey", f"{_PRICE} AS price")
+        .groupBy("p_partkey")
+        .agg({"price": "sum"})
+    )
+    return totals.join(table(spark, sf_dir, "part"), "p_partkey").selectExpr(
+        "p_brand AS class4",
+        "CAST(p_partkey AS STRING) AS product_number",
+        "p_name AS product_description",
+        "`sum(price)` AS purchase_amount_eur",
     )
 
 
 def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account balances, some negative, by nation."""
     nations = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
-    return lookup_join(table(spark, sf_dir, "customer"), nations, "c_nationkey", "inner").select(
-        F.col("n_name").alias("class4"),
-        _text("c_custkey").alias("product_number"),
-        F.col("c_acctbal").alias("balance"),
+    return lookup_join(table(spark, sf_dir, "customer"), nations, "c_nationkey", "inner").selectExpr(
+        "n_name AS class4", "CAST(c_custkey AS STRING) AS product_number", "c_acctbal AS balance"
     )
 
 
 def brands_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product to brand id; every fifth size has a second brand id."""
-    parts = table(spark, sf_dir, "part")
-    ids = F.when(
-        F.col("p_size") % 5 == 0, F.array(F.col("p_brand"), F.concat(F.col("p_brand"), F.lit("-B")))
-    ).otherwise(F.array(F.col("p_brand")))
-    return parts.select(_text("p_partkey").alias("product_number"), F.explode(ids).alias("key_brand_identifier"))
+    return table(spark, sf_dir, "part").selectExpr(
+        "CAST(p_partkey AS STRING) AS product_number",
+        "explode(IF(p_size % 5 = 0, array(p_brand, p_brand || '-B'), array(p_brand))) AS key_brand_identifier",
+    )
 
 
 def company_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
-        _text("l_partkey").alias("product_id"),
-        _text("l_suppkey").alias("company_id"),
-        F.when(F.col("l_shipdate") >= "2001-09-01", "N").otherwise("Y").alias("purchase_stop_ind"),
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        f"{_PRODUCT} AS product_id", "CAST(l_suppkey AS STRING) AS company_id", f"{_FLAG} AS purchase_stop_ind"
     )
 
 
 def product_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
-        _text("p_partkey").alias("product_id"), _text("p_partkey").alias("product_number")
+    return table(spark, sf_dir, "part").selectExpr(
+        "CAST(p_partkey AS STRING) AS product_id", "CAST(p_partkey AS STRING) AS product_number"
     )
 
 
 def company_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    house = F.when(F.col("s_nationkey") < 20, "Acme ").otherwise("Other ")
-    return table(spark, sf_dir, "supplier").select(
-        _text("s_suppkey").alias("company_id"),
-        F.concat(house, F.col("s_name")).alias("company_short_description"),
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "CAST(s_suppkey AS STRING) AS company_id",
+        "IF(s_nationkey < 20, 'Acme ', 'Other ') || s_name AS company_short_description",
     )
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales lines: line items with order and customer."""
     orders = table(spark, sf_dir, "orders").withColumnsRenamed({"o_orderkey": "l_orderkey", "o_custkey": "c_custkey"})
-    customers = table(spark, sf_dir, "customer")
     lines = skew_join(table(spark, sf_dir, "lineitem"), orders, "l_orderkey", "inner")
-    rows = skew_join(lines, customers, "c_custkey", "inner")
-    price = _money("l_extendedprice")
-    turnover = (price * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(18,2)")
-    return rows.select(
-        F.when(F.col("o_orderpriority") != "5-LOW", _text("l_orderkey")).alias("order_number"),
-        turnover.alias("turnover_euro"),
-        (turnover - (price / 2).cast("decimal(18,2)")).cast("decimal(18,2)").alias("margin_euro"),
-        price.alias("list_price_turnover_euro"),
-        F.col("l_quantity").alias("quantity_sold"),
-        _text("c_custkey").alias("customer_id"),
-        F.col("c_mktsegment").alias("segment"),
-        _text("l_partkey").alias("product_number"),
-        F.col("l_linenumber").alias("line_number"),
-        F.year("o_orderdate").alias("year_number"),
-        _by_line(
-            {
-                1: "Global A",
-                2: "Local B",
-                3: "OE",
-                4: "Private label C",
-                5: "Non branded",
-                6: "Unknown type",
-            }
-        ).alias("brand_type"),
+    rows = skew_join(lines, table(spark, sf_dir, "customer"), "c_custkey", "inner")
+    brand_type = _by_line(
+        {
+            1: "Global A",
+            2: "Local B",
+            3: "OE",
+            4: "Private label C",
+            5: "Non branded",
+            6: "Unknown type",
+        }
+    )
+    turnover = f"CAST({_PRICE} * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,2))"
+    return rows.selectExpr(
+        "IF(o_orderpriority != '5-LOW', CAST(l_orderkey AS STRING), NULL) AS order_number",
+        f"{turnover} AS turnover_euro",
+        f"CAST({turnover} - CAST({_PRICE} / 2 AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS margin_euro",
+        f"{_PRICE} AS list_price_turnover_euro",
+        "l_quantity AS quantity_sold",
+        "CAST(c_custkey AS STRING) AS customer_id",
+        "c_mktsegment AS segment",
+        f"{_PRODUCT} AS product_number",
+        "l_linenumber AS line_number",
+        "year(o_orderdate) AS year_number",
+        f"{brand_type} AS brand_type",
     )
 
 
 def rounding_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales rows as far as the rounding lookup needs them."""
-    return table(spark, sf_dir, "lineitem").select(
-        _text("l_partkey").alias("product_number"), (F.col("l_linenumber") % 3).cast("string").alias("sales_rounding")
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        f"{_PRODUCT} AS product_number", "CAST(l_linenumber % 3 AS STRING) AS sales_rounding"
     )
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
-        _attribute_id("p_partkey").alias("id"),
-        _text("p_partkey").alias("item_number"),
-        F.col("p_name").alias("item_description_eng"),
-        F.col("p_brand").alias("key_brand_identifier"),
-        (F.col("p_size") % 3).cast("string").alias("rounding"),
-        F.when(F.col("p_size") % 7 != 0, "Y").alias("publishable_in_country"),
-        F.col("p_type").alias("item_segment"),
-        F.col("p_brand").alias("key_class4_number"),
+    return table(spark, sf_dir, "part").selectExpr(
+        "concat('ticGoldenItem-', p_partkey) AS id",
+        "CAST(p_partkey AS STRING) AS item_number",
+        "p_name AS item_description_eng",
+        "p_brand AS key_brand_identifier",
+        "CAST(p_size % 3 AS STRING) AS rounding",
+        "IF(p_size % 7 != 0, 'Y', NULL) AS publishable_in_country",
+        "p_type AS item_segment",
+        "p_brand AS key_class4_number",
     )
 
 
 def class_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    brands = table(spark, sf_dir, "part").select("p_brand").distinct()
-    number = _brand_number()
-    return brands.select(
-        F.col("p_brand").alias("class4_number"),
-        F.concat(F.lit("Class "), "p_brand").alias("class4_description"),
-        (number % 2).cast("string").alias("class3_number"),
-        F.when(number % 2 == 0, "Bolts & Nuts").otherwise("Washers").alias("class3_description"),
-        (number % 3).cast("string").alias("class2_number"),
-        F.when(number % 3 != 0, "54 - Fasteners").otherwise("60 - Other").alias("class2_description"),
+    number = _BRAND_NUMBER
+    return table(spark, sf_dir, "part").select("p_brand").distinct().selectExpr(
+        "p_brand AS class4_number",
+        "'Class ' || p_brand AS class4_description",
+        f"CAST({number} % 2 AS STRING) AS class3_number",
+        f"IF({number} % 2 = 0, 'Bolts & Nuts', 'Washers') AS class3_description",
+        f"CAST({number} % 3 AS STRING) AS class2_number",
+        f"IF({number} % 3 != 0, '54 - Fasteners', '60 - Other') AS class2_description",
     )
 
 
 def item_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    brands = table(spark, sf_dir, "part").select("p_brand").distinct()
-    number = _brand_number()
-    kind = (
-        F.when(number % 5 == 0, "(GLOBAL_A) Global A")
-        .when(number % 5 == 1, "(LOCAL_B) Local B")
-        .when(number % 5 == 2, "OE")
-        .when(number % 5 == 3, "(PRIVATE-LABEL-B) Private label B")
+    return table(spark, sf_dir, "part").select("p_brand").distinct().selectExpr(
+        "p_brand AS key_brand_identifier",
+        f"CASE {_BRAND_NUMBER} % 5 WHEN 0 THEN '(GLOBAL_A) Global A' WHEN 1 THEN '(LOCAL_B) Local B' WHEN 2 THEN 'OE'"
+        " WHEN 3 THEN '(PRIVATE-LABEL-B) Private label B' END AS brand_type",
     )
-    return brands.select(F.col("p_brand").alias("key_brand_identifier"), kind.alias("brand_type"))
 
 
 def dimension_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One length per part, not a number where the size is a multiple of 9."""
-    length = F.when(F.col("p_size") % 9 == 0, "n/a").otherwise(F.concat(_text("p_size"), F.lit(".5")))
-    return table(spark, sf_dir, "part").select(
-        _attribute_id("p_partkey").alias("id"),
-        F.when(F.col("p_size") % 2 == 0, "taLengthMm_5").otherwise("attWeight").alias("attribute_id"),
-        length.alias("value"),
+    """One length or weight per part, not a number where the size is a multiple of 9."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "concat('ticGoldenItem-', p_partkey) AS id",
+        "IF(p_size % 2 = 0, 'taLengthMm_5', 'attWeight') AS attribute_id",
+        "IF(p_size % 9 = 0, 'n/a', p_size || '.5') AS value",
     )
 
 
 def attribute_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity-attribute-value rows: one per line item, some blank or not Latin."""
-    value = (
-        F.when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F"), F.concat(F.lit("Ж"), "l_returnflag"))
-        .when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), F.lit("   "))
-        .otherwise(F.concat(F.lit(" "), F.col("l_returnflag"), F.col("l_quantity").cast("int").cast("string")))
+    attribute = _by_line(
+        {
+            1: "attItemNumber",
+            2: "attUnit",
+            3: "taMat_3",
+            4: "taLen_4",
+            5: "attThreadType",
+            6: "taThread_6",
+            7: "attOther",
+        }
     )
-    return table(spark, sf_dir, "lineitem").select(
-        F.when(F.col("l_discount") == 0, _text("l_partkey")).otherwise(_attribute_id("l_partkey")).alias("id"),
-        _by_line(
-            {
-                1: "attItemNumber",
-                2: "attUnit",
-                3: "taMat_3",
-                4: "taLen_4",
-                5: "attThreadType",
-                6: "taThread_6",
-                7: "attOther",
-            }
-        ).alias("attribute_id"),
-        value.alias("value"),
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat(IF(l_discount = 0, '', 'ticGoldenItem-'), l_partkey) AS id",
+        f"{attribute} AS attribute_id",
+        """CASE WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'Ж' || l_returnflag
+                WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN '   '
+                ELSE concat(' ', l_returnflag, CAST(l_quantity AS INT)) END AS value""",
     )
 
 
 def attribute_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attribute names, taken from the attributes that occur."""
-    names = {
-        "attItemNumber": "Item number",
-        "attUnit": "Unit",
-        "taMat_3": "Material",
-        "taLen_4": "LENGTH",
-        "taThread_6": "Thread diameter",
-        "attOther": "Other",
-    }
-    name = F.lit(None).cast("string")
-    for attribute, text in names.items():
-        name = F.when(F.col("attribute_id") == attribute, F.lit(text)).otherwise(name)
-    return attribute_values(spark, sf_dir).select("attribute_id").distinct().select(
-        F.col("attribute_id").alias("id"), name.alias("name_eng")
+    """Attribute names, taken from the attributes that occur; one has no name."""
+    return attribute_values(spark, sf_dir).select("attribute_id").distinct().selectExpr(
+        "attribute_id AS id",
+        """CASE attribute_id WHEN 'attItemNumber' THEN 'Item number' WHEN 'attUnit' THEN 'Unit'
+           WHEN 'taMat_3' THEN 'Material' WHEN 'taLen_4' THEN 'LENGTH' WHEN 'taThread_6' THEN 'Thread diameter'
+           WHEN 'attOther' THEN 'Other' END AS name_eng""",
     )
 
 
 def product_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
-        _attribute_id("p_partkey").alias("product_id"), F.col("p_name").alias("wholesale_name")
+    return table(spark, sf_dir, "part").selectExpr(
+        "concat('ticGoldenItem-', p_partkey) AS product_id", "p_name AS wholesale_name"
     )
 
 
 def product_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bricks of all products but promotions; no node column."""
-    parts = table(spark, sf_dir, "part").filter(F.col("p_type") != "PROMO")
-    return parts.select(_attribute_id("p_partkey").alias("golden_item_id"), F.col("p_brand").alias("brick_id"))
+    return table(spark, sf_dir, "part").filter("p_type != 'PROMO'").selectExpr(
+        "concat('ticGoldenItem-', p_partkey) AS golden_item_id", "p_brand AS brick_id"
+    )
 
 
 def attribute_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which attribute is expected where: brick or node, one of them per row."""
     pairs = lines_with_parts(spark, sf_dir).select("l_linenumber", "p_brand", "p_type").distinct()
-    attribute = F.concat(F.lit("att"), _text("l_linenumber")).alias("attribute_id")
-    by_brick = pairs.filter(F.col("l_linenumber") * 3 <= _brand_number()).select(
-        attribute, F.col("p_brand").alias("brick_id"), F.lit(None).cast("string").alias("classification_node_id")
+    attribute = "concat('att', l_linenumber) AS attribute_id"
+    none = "CAST(NULL AS STRING)"
+    by_brick = pairs.filter(f"l_linenumber * 3 <= {_BRAND_NUMBER}").selectExpr(
+        attribute, "p_brand AS brick_id", f"{none} AS classification_node_id"
     )
-    by_node = pairs.filter(F.col("l_linenumber") > F.length("p_type")).select(
-        attribute, F.lit(None).cast("string").alias("brick_id"), F.col("p_type").alias("classification_node_id")
+    by_node = pairs.filter("l_linenumber > length(p_type)").selectExpr(
+        attribute, f"{none} AS brick_id", "p_type AS classification_node_id"
     )
     return by_brick.union(by_node).distinct()
 
 
 def placed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attribute values with brick and node of their product."""
-    return lines_with_parts(spark, sf_dir).select(
-        F.col("l_orderkey").alias("row_id"),
-        _text("l_partkey").alias("product_id"),
-        F.concat(F.lit("att"), _text("l_linenumber")).alias("attribute_id"),
-        F.when(F.col("p_type") != "PROMO", F.col("p_brand")).alias("brick_id"),
-        F.col("p_type").alias("classification_node_id"),
+    return lines_with_parts(spark, sf_dir).selectExpr(
+        "l_orderkey AS row_id",
+        f"{_PRODUCT} AS product_id",
+        "concat('att', l_linenumber) AS attribute_id",
+        "IF(p_type != 'PROMO', p_brand, NULL) AS brick_id",
+        "p_type AS classification_node_id",
     )
 
 
 def local_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Localised attribute values: one per line item, two languages."""
-    value = F.when(
-        F.col("l_quantity") != 13, F.concat(F.col("l_returnflag"), (F.col("l_quantity") % 5).cast("int").cast("string"))
+    attribute = _by_line(
+        {
+            1: "taHeadShape",
+            2: "taMaterial_2",
+            3: "taMaterial_40",
+            4: "taSurfaceThreatment_11",
+            5: "taSurfaceTreatment_4",
+            6: "taThreadType_",
+            7: "taOther",
+        }
     )
-    return table(spark, sf_dir, "lineitem").select(
-        _by_line(
-            {
-                1: "taHeadShape",
-                2: "taMaterial_2",
-                3: "taMaterial_40",
-                4: "taSurfaceThreatment_11",
-                5: "taSurfaceTreatment_4",
-                6: "taThreadType_",
-                7: "taOther",
-            }
-        ).alias("attribute_id"),
-        _text("l_partkey").alias("item_number"),
-        F.when(F.col("l_linestatus") == "F", "ENG").otherwise("NLD").alias("language_id"),
-        value.alias("value"),
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        f"{attribute} AS attribute_id",
+        f"{_PRODUCT} AS item_number",
+        "IF(l_linestatus = 'F', 'ENG', 'NLD') AS language_id",
+        "IF(l_quantity != 13, concat(l_returnflag, CAST(l_quantity AS INT) % 5), NULL) AS value",
     )
 
 
 def wide_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products with one column per attribute, some blank."""
-    return table(spark, sf_dir, "part").select(
-        _attribute_id("p_partkey").alias("product_id"),
-        F.when(F.col("p_size") % 4 == 0, " ").otherwise(F.concat(F.lit(" "), "p_type")).alias("material"),
-        F.when(F.col("p_size") % 3 != 0, F.col("p_size")).alias("head_height"),
-        F.col("p_name").alias("din_standard"),
-        F.col("p_brand").alias("brand__name"),
+    return table(spark, sf_dir, "part").selectExpr(
+        "concat('ticGoldenItem-', p_partkey) AS product_id",
+        "IF(p_size % 4 = 0, ' ', ' ' || p_type) AS material",
+        "IF(p_size % 3 != 0, p_size, NULL) AS head_height",
+        "p_name AS din_standard",
+        "p_brand AS brand__name",
     )
 
 
 def long_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product details in long form: one per line item."""
-    return table(spark, sf_dir, "lineitem").select(
-        F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("ticArticle-"), _text("l_partkey")))
-        .otherwise(_attribute_id("l_partkey"))
-        .alias("product_id"),
-        _by_line(
-            {
-                1: "Unit",
-                2: "Material",
-                3: "Head shape",
-                4: "Length",
-                5: "Colour",
-                6: "Colour",
-                7: "Finish",
-            }
-        ).alias("attribute_name"),
-        F.concat(F.lit(" "), F.col("l_returnflag"), F.col("l_quantity").cast("int").cast("string")).alias(
-            "attribute_value"
-        ),
+    name = _by_line(
+        {
+            1: "Unit",
+            2: "Material",
+            3: "Head shape",
+            4: "Length",
+            5: "Colour",
+            6: "Colour",
+            7: "Finish",
+        }
+    )
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat(IF(l_partkey % 2 = 0, 'ticArticle-', 'ticGoldenItem-'), l_partkey) AS product_id",
+        f"{name} AS attribute_name",
+        "concat(' ', l_returnflag, CAST(l_quantity AS INT)) AS attribute_value",
     )
 
 
 def detail_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product numbers asked for: every part bought from a supplier with credit."""
-    suppliers = table(spark, sf_dir, "supplier").filter(F.col("s_acctbal") < 0)
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_suppkey").alias("s_suppkey"))
-    bought = lookup_join(lines, suppliers.select("s_suppkey"), "s_suppkey", "left_semi")
-    return bought.select(F.concat(F.lit(" "), _text("l_partkey")).alias("product_number"))
+    """Product numbers asked for: every part bought from a supplier in debt."""
+    suppliers = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").selectExpr("s_suppkey AS l_suppkey")
+    bought = lookup_join(table(spark, sf_dir, "lineitem"), suppliers, "l_suppkey", "left_semi")
+    return bought.selectExpr(f"' ' || {_PRODUCT} AS product_number")
