@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendloom.config import ABCDE
+from spendloom.session import cut_lineage
 
 _FEATURES, _CLUSTER = "_features", "_cluster"
 
@@ -22,13 +23,14 @@ def _cluster_tiers(df: DataFrame, spend_col: str, labels: Sequence[str], estimat
     Spend that is not positive or is missing has no logarithm: last label.
     """
     spend = F.col(spend_col).cast("double")
-    logged = df.withColumn("_log", F.when(spend > 0, F.log(spend)))
-    model = estimator.setFeaturesCol(_FEATURES).setPredictionCol(_CLUSTER)
+    # Read by every pass of the estimator, so it is computed once.
+    logged = cut_lineage(df.withColumn("_log", F.when(spend > 0, F.log(spend))))
+    estimator = estimator.setFeaturesCol(_FEATURES).setPredictionCol(_CLUSTER)
     assembler = VectorAssembler(inputCols=["_log"], outputCol=_FEATURES)
     positive = assembler.transform(logged.filter(F.col("_log").isNotNull()))
     if positive.isEmpty():
         return df.withColumn("segmentation", F.lit(labels[-1]))
-    fitted = model.fit(positive)
+    fitted = estimator.fit(positive)
     if isinstance(estimator, KMeans):
         means = [float(c[0]) for c in fitted.clusterCenters()]
     else:
@@ -53,11 +55,7 @@ def gmm_tiers(df: DataFrame, spend_col: str, labels: Sequence[str] = ABCDE.label
 
 @dataclass
 class ProductClustering:
-    """Scale the features, choose the number of clusters by silhouette, cluster.
-
-    The scaled features are read once per candidate number, so hand in a table
-    or a checkpointed frame when they are costly to compute.
-    """
+    """Scale the features, choose the number of clusters by silhouette, cluster."""
 
     features: Sequence[str]
     candidates: Sequence[int] = (2, 3, 4, 5, 6)
@@ -65,10 +63,11 @@ class ProductClustering:
     scores: dict[int, float] = field(default_factory=dict)
 
     def prepare(self, df: DataFrame) -> DataFrame:
-        known = df.dropna(subset=list(self.features))
+        known = cut_lineage(df.dropna(subset=list(self.features)))
         assembled = VectorAssembler(inputCols=list(self.features), outputCol="_raw").transform(known)
         scaler = StandardScaler(inputCol="_raw", outputCol=_FEATURES, withMean=True, withStd=True)
-        return scaler.fit(assembled).transform(assembled).drop("_raw")
+        # Read once or more per candidate number, so it is computed once.
+        return cut_lineage(scaler.fit(assembled).transform(assembled).drop("_raw"))
 
     def choose_k(self, prepared: DataFrame) -> int:
         evaluator = ClusteringEvaluator(featuresCol=_FEATURES, predictionCol=_CLUSTER)

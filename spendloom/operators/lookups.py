@@ -11,8 +11,12 @@ from spendloom.operators.joins import lookup_join, skew_join
 
 
 def any_value_per_key(df: DataFrame, key: str, value: str) -> DataFrame:
-    """One value per key; the smallest, so that the choice is repeatable."""
-    return df.groupBy(key).agg(F.min(value).alias(value))
+    """One value per key; the smallest, so that the choice is repeatable.
+
+    Pairs are made distinct first: Spark can do that by hashing, while a minimum
+    of texts makes it sort its input, here only the few pairs.
+    """
+    return df.select(key, value).distinct().groupBy(key).agg(F.min(value).alias(value))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], *, last: bool = False) -> DataFrame:
@@ -43,13 +47,14 @@ def stop_flag(company_products: DataFrame, products: DataFrame, companies: DataF
     """Purchase-stop flag per product over the companies whose name starts with the prefix.
 
     'N' at any company makes the product active, which for 'Y'/'N' is the
-    minimum. Flags are reduced per product id before the product is looked up.
+    minimum. The flags of a product id are made distinct before its number is
+    looked up.
     """
     ours = companies.filter(F.col("company_short_description").startswith(f"{company_prefix} ")).select("company_id")
     per_id = (
         lookup_join(company_products, ours, "company_id", "left_semi")
-        .groupBy("product_id")
-        .agg(F.min("purchase_stop_ind").alias("purchase_stop_ind"))
+        .select("product_id", "purchase_stop_ind")
+        .distinct()
     )
     numbers = products.select("product_id", F.col("product_number").cast("string"))
     return (

@@ -23,10 +23,16 @@ def year_quantity(
     classes: Sequence[str] | None = CLASS_SCOPE,
     year_col: str = "year_authorization",
 ) -> DataFrame:
-    """Quantity per (product, class, year), with the smallest description."""
+    """Quantity per (product, class, year), with the smallest description.
+
+    Summed per description first: that can be done by hashing, while a minimum
+    of texts makes Spark sort its input, here only the sums.
+    """
     scoped = purchases if classes is None else purchases.filter(in_scope(F.col("class4"), list(classes)))
     return (
         scoped.withColumn("year", year_of(F.col(year_col)))
+        .groupBy("product_number", "class4", "year", "product_description")
+        .agg(F.sum("purchase_quantity").alias("purchase_quantity"))
         .groupBy("product_number", "class4", "year")
         .agg(
             F.min("product_description").alias("product_description"),

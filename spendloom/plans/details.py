@@ -39,7 +39,9 @@ def details_from_long(
     """Details of the ids in a long table, for the given names or for all."""
     rows = product_data
     if isinstance(names, DataFrame):
-        rows = rows.join(names.select(F.col("detail_name").alias("attribute_name")), "attribute_name", "left_semi")
+        # Discovered names: at most the allowed ones or the ten most frequent.
+        wanted = F.broadcast(names.select(F.col("detail_name").alias("attribute_name")))
+        rows = rows.join(wanted, "attribute_name", "left_semi")
     elif names is not None:
         rows = rows.filter(F.col("attribute_name").isin(*names))
     kept = skew_join(rows, ids, "product_id", "left_semi")

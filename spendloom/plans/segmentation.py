@@ -11,7 +11,6 @@ from spendloom.operators.tiers import (
     attach_segment,
     product_spend,
     reconcile,
-    segment_per_product,
     tier_products,
     tier_summary,
 )
@@ -32,7 +31,6 @@ def segmentation_report(
     spend = product_spend(purchases)
     tiers = tier_products(spend, "class4", "product_number", spend_col, scheme, label_col=label_col)
     summary = tier_summary(tiers, label_col=label_col)
-    segments = segment_per_product(tiers.select("product_number", "product_description", label_col))
     year_rows = year_quantity(purchases, classes)
     return {
         "product_spend": spend,
@@ -42,7 +40,7 @@ def segmentation_report(
         "reconciliation": reconcile(purchases, spend_col, summary, "spend_total"),
         "year_quantity": year_rows,
         "year_split": year_split(
-            year_rows, segments, years=years, segment_cols=("product_description", label_col, "sales_rounding")
+            year_rows, tiers, years=years, segment_cols=("product_description", label_col, "sales_rounding")
         ),
     }
 

@@ -62,10 +62,8 @@ def export_by_class(df: DataFrame, path: str, class_col: str = "class4", file_fo
 
 def read_export(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
     """Rows of an export with the file each one comes from."""
-    reader = spark.read.option("header", True)
-    if file_format == "parquet":
-        reader = reader.option("mergeSchema", True)
-    return reader.format(file_format).load(path).withColumn("source_file", F.col("_metadata.file_name"))
+    rows = spark.read.option("header", True).format(file_format).load(path)
+    return rows.withColumn("source_file", F.col("_metadata.file_name"))
 
 
 def merge_exports(spark: SparkSession, paths: list[str], file_format: str = "parquet") -> DataFrame:

@@ -388,8 +388,12 @@ def _year_rows(spark: SparkSession, d: str) -> DataFrame:
     return years.year_quantity(roles.purchases(spark, d), SCOPE)
 
 
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return _tiers(spark, d).select("product_number", "product_description", "segmentation")
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    return tiers.segment_per_product(_tiers(spark, d).select("product_number", "product_description", "segmentation"))
+    return tiers.segment_per_product(_labels(spark, d))
 
 
 @query
@@ -409,7 +413,7 @@ def year_pivot(spark, d):
 
 @query
 def year_split(spark, d):
-    return years.year_split(_year_rows(spark, d), _segments(spark, d), years=YEARS)
+    return years.year_split(_year_rows(spark, d), _labels(spark, d), years=YEARS)
 
 
 @query
@@ -427,7 +431,7 @@ def year_fill(spark, d):
 @query
 def year_split_export(spark, d):
     path = scratch_path(spark, "year-split")
-    split = years.year_split(_year_rows(spark, d), _segments(spark, d), years=YEARS)
+    split = years.year_split(_year_rows(spark, d), _labels(spark, d), years=YEARS)
     files.export_by_class(split, path)
     return files.read_export(spark, path).drop("source_file")
 

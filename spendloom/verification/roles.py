@@ -244,12 +244,13 @@ def attribute_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attribute_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attribute names, taken from the attributes that occur; one has no name."""
-    return attribute_values(spark, sf_dir).select("attribute_id").distinct().selectExpr(
-        "attribute_id AS id",
-        """CASE attribute_id WHEN 'attItemNumber' THEN 'Item number' WHEN 'attUnit' THEN 'Unit'
-           WHEN 'taMat_3' THEN 'Material' WHEN 'taLen_4' THEN 'LENGTH' WHEN 'taThread_6' THEN 'Thread diameter'
-           WHEN 'attOther' THEN 'Other' END AS name_eng""",
+    """Attribute names, numbered like the nations; one in use has no name."""
+    return table(spark, sf_dir, "nation").selectExpr(
+        """CASE n_nationkey WHEN 1 THEN 'attItemNumber' WHEN 2 THEN 'attUnit' WHEN 3 THEN 'taMat_3'
+           WHEN 4 THEN 'taLen_4' WHEN 5 THEN 'attThreadType' WHEN 6 THEN 'taThread_6' WHEN 7 THEN 'attOther'
+           ELSE 'att' || n_nationkey END AS id""",
+        """CASE n_nationkey WHEN 1 THEN 'Item number' WHEN 2 THEN 'Unit' WHEN 3 THEN 'Material' WHEN 4 THEN 'LENGTH'
+           WHEN 5 THEN NULL WHEN 6 THEN 'Thread diameter' WHEN 7 THEN 'Other' ELSE n_name END AS name_eng""",
     )
 
 
