@@ -63,11 +63,11 @@ class ProductClustering:
     scores: dict[int, float] = field(default_factory=dict)
 
     def prepare(self, df: DataFrame) -> DataFrame:
+        # Read by every pass for every candidate number, so it is computed once.
         known = cut_lineage(df.dropna(subset=list(self.features)))
         assembled = VectorAssembler(inputCols=list(self.features), outputCol="_raw").transform(known)
         scaler = StandardScaler(inputCol="_raw", outputCol=_FEATURES, withMean=True, withStd=True)
-        # Read once or more per candidate number, so it is computed once.
-        return cut_lineage(scaler.fit(assembled).transform(assembled).drop("_raw"))
+        return scaler.fit(assembled).transform(assembled).drop("_raw")
 
     def choose_k(self, prepared: DataFrame) -> int:
         evaluator = ClusteringEvaluator(featuresCol=_FEATURES, predictionCol=_CLUSTER)
