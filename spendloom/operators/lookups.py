@@ -13,10 +13,12 @@ from spendloom.operators.joins import lookup_join, skew_join
 def any_value_per_key(df: DataFrame, key: str, value: str) -> DataFrame:
     """One value per key; the smallest, so that the choice is repeatable.
 
-    Pairs are made distinct first: Spark can do that by hashing, while a minimum
-    of texts makes it sort its input, here only the few pairs.
+    Pairs are counted first: Spark does that by hashing, while a minimum of
+    texts makes it sort its input, here only the few pairs. (A plain distinct
+    would be optimised away.)
     """
-    return df.select(key, value).distinct().groupBy(key).agg(F.min(value).alias(value))
+    pairs = df.groupBy(key, value).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > 0)
+    return pairs.groupBy(key).agg(F.min(value).alias(value))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], *, last: bool = False) -> DataFrame:

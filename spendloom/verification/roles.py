@@ -21,6 +21,9 @@ SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
 }
 
+#: What tells the line items of a part, supplier, order or customer apart.
+_LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey")
+
 _PRODUCT = "CAST(l_partkey AS STRING)"
 _PRICE = "CAST(l_extendedprice AS DECIMAL(18,2))"
 _FLAG = "IF(l_shipdate >= TIMESTAMP_NTZ '2001-09-01', 'N', 'Y')"
@@ -40,16 +43,15 @@ def _by_line(values: dict[int, str]) -> str:
 def lines_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their part; a part may hold most lines."""
     parts = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
-    return skew_join(table(spark, sf_dir, "lineitem"), parts, "l_partkey", "inner")
+    return skew_join(table(spark, sf_dir, "lineitem"), parts, "l_partkey", "inner", spread=_LINE_KEY)
 
 
 def purchase_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchase rows: line items with part, supplier and nation."""
     nations = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
     suppliers = lookup_join(table(spark, sf_dir, "supplier"), nations, "s_nationkey", "inner")
-    rows = lookup_join(
-        lines_with_parts(spark, sf_dir), suppliers.withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey", "inner"
-    )
+    suppliers = suppliers.withColumnRenamed("s_suppkey", "l_suppkey")
+    rows = lookup_join(lines_with_parts(spark, sf_dir), suppliers, "l_suppkey", "inner", spread=_LINE_KEY)
     return rows.selectExpr(
         "year(l_shipdate) AS year_authorization",
         "CAST(l_suppkey AS STRING) AS uniquevendorcode",
@@ -144,8 +146,8 @@ def company_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales lines: line items with order and customer."""
     orders = table(spark, sf_dir, "orders").withColumnsRenamed({"o_orderkey": "l_orderkey", "o_custkey": "c_custkey"})
-    lines = skew_join(table(spark, sf_dir, "lineitem"), orders, "l_orderkey", "inner")
-    rows = skew_join(lines, table(spark, sf_dir, "customer"), "c_custkey", "inner")
+    lines = skew_join(table(spark, sf_dir, "lineitem"), orders, "l_orderkey", "inner", spread=_LINE_KEY)
+    rows = skew_join(lines, table(spark, sf_dir, "customer"), "c_custkey", "inner", spread=_LINE_KEY)
     brand_type = _by_line(
         {
             1: "Global A",
@@ -347,5 +349,5 @@ def long_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detail_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product numbers asked for: every part bought from a supplier in debt."""
     suppliers = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").selectExpr("s_suppkey AS l_suppkey")
-    bought = lookup_join(table(spark, sf_dir, "lineitem"), suppliers, "l_suppkey", "left_semi")
+    bought = lookup_join(table(spark, sf_dir, "lineitem"), suppliers, "l_suppkey", "left_semi", spread=("l_partkey",))
     return bought.selectExpr(f"' ' || {_PRODUCT} AS product_number")

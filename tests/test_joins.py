@@ -29,21 +29,38 @@ def sides(spark):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 @pytest.mark.parametrize("on", ["k", ["k", "j"]])
-@pytest.mark.parametrize("rows_per_task", [10, 1000])
-def test_salted_join_equals_plain_join(sides, how, on, rows_per_task):
+@pytest.mark.parametrize("rows_per_task, spread", [(10, None), (10, ["v"]), (60, None), (1000, None)])
+def test_salted_join_equals_plain_join(sides, how, on, rows_per_task, spread):
     left, right = sides
     plain = left.join(right, on, how)
-    salted = skew_join(left, right, on, how, rows_per_task=rows_per_task)
+    salted = skew_join(left, right, on, how, rows_per_task=rows_per_task, spread=spread)
     assert salted.columns == plain.columns
     assert rows_of(salted) == rows_of(plain)
 
 
 def test_hot_keys_are_split_by_size(sides):
     left, _ = sides
-    found = {r["k"]: r["_salts"] for r in hot_keys(left, ["k"], 60).collect()}
+    found = {r["k"]: r["_salts"] for r in hot_keys(left, ["k"], 60)}
     count = left.filter("k = 'hot'").count()
     assert found == {"hot": -(-count // 60)}
-    assert hot_keys(left, ["k"], 1000) is None
+    assert hot_keys(left, ["k"], 1000) == []
+
+
+def test_only_rows_without_key_are_hot(spark):
+    left = spark.createDataFrame([(None, i) for i in range(30)] + [("a", 30)], "k string, v int")
+    right = spark.createDataFrame([("a", 1), (None, 2)], "k string, w int")
+    joined = skew_join(left, right, "k", rows_per_task=10)
+    assert rows_of(joined) == rows_of(left.join(right, "k", "left"))
+
+
+def test_spread_columns_keep_scans_narrow(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").withColumnRenamed("p_partkey", "l_partkey")
+    joined = skew_join(lines, parts, "l_partkey", "inner", spread=["l_orderkey"], rows_per_task=5)
+    totals = joined.filter("l_quantity > 10").groupBy("p_brand").agg(F.sum("l_tax"))
+    plan = totals._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(l_quantity,10.0)" in plan
+    assert "l_shipdate" not in plan and "l_returnflag" not in plan
 
 
 def test_salted_rows_reach_several_tasks(spark):
