@@ -66,10 +66,8 @@ def merge_text(a: Column, b: Column, separator: str = " | ") -> Column:
 
 def group_of(c: Column, groups: dict[str, tuple[str, ...]]) -> Column:
     """Name of the group listing the value, NULL when none does."""
-    result = F.lit(None).cast("string")
-    for name, members in reversed(groups.items()):
-        result = F.when(c.isin(*members), F.lit(name)).otherwise(result)
-    return result
+    group_of_value = [F.lit(text) for name, members in groups.items() for m in members for text in (m, name)]
+    return F.try_element_at(F.create_map(*group_of_value), c)
 
 
 def safe_slug(c: Column) -> Column:

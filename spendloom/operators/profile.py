@@ -57,21 +57,26 @@ def histogram(df: DataFrame, column: str, bins: int = 50, *, fill: float | None
     )
 
 
+def _spend(df: DataFrame, spend_col: str) -> Column:
+    """The spend column; what is missing or is no number counts as 0."""
+    is_text = df.schema[spend_col].dataType.typeName() == "string"
+    return to_number(F.col(spend_col)) if is_text else F.coalesce(F.col(spend_col), F.lit(0))
+
+
 def top_groups(df: DataFrame, group_col: str, spend_col: str, n: int | None = 15) -> DataFrame:
     """Spend per group, largest first; the first `n` groups or all."""
     ranked = (
         df.dropna(subset=[group_col])
         .groupBy(group_col)
-        .agg(F.sum(spend_col).alias(spend_col))
+        .agg(F.sum(_spend(df, spend_col)).alias(spend_col))
         .orderBy(F.desc(spend_col), group_col)
     )
     return ranked if n is None else ranked.limit(n)
 
 
 def top_rows(df: DataFrame, spend_col: str, tie_cols: Sequence[str], n: int = 15) -> DataFrame:
-    """The `n` rows with the largest spend; missing spend counts as 0."""
-    spend = F.coalesce(F.col(spend_col), F.lit(0))
-    return df.withColumn(spend_col, spend).orderBy(F.desc(spend_col), *tie_cols).limit(n)
+    """The `n` rows with the largest spend."""
+    return df.withColumn(spend_col, _spend(df, spend_col)).orderBy(F.desc(spend_col), *tie_cols).limit(n)
 
 
 def class_counts(df: DataFrame, class_col: str) -> DataFrame:

@@ -26,9 +26,13 @@ def product_spend(
     description_col: str = "product_description",
     spend_col: str = "purchase_amount_eur",
 ) -> DataFrame:
-    """Spend per (class, product, description); rows missing one of them are left out."""
+    """Spend per (class, product, description); rows missing one of them are left out.
+
+    Missing amounts count as 0, also when a product has no other.
+    """
     keys = [class_col, product_col, description_col]
-    return purchases.dropna(subset=keys).groupBy(*keys).agg(F.sum(spend_col).alias(spend_col))
+    spend = F.coalesce(F.sum(spend_col), F.lit(0))
+    return purchases.dropna(subset=keys).groupBy(*keys).agg(spend.alias(spend_col))
 
 
 def _with_shares(
@@ -193,7 +197,10 @@ def tier_summary(
     return (
         tiers.dropna(subset=[class_col, label_col])
         .groupBy(class_col, label_col)
-        .agg(F.countDistinct(product_col).alias("products"), F.sum(spend_col).alias("spend_total"))
+        .agg(
+            F.countDistinct(product_col).alias("products"),
+            F.coalesce(F.sum(spend_col), F.lit(0)).alias("spend_total"),
+        )
         .withColumn("products_text", thousands(F.col("products")))
         .withColumn("spend_total_text", thousands(F.col("spend_total"), unit))
         .orderBy(class_col, label_col)
@@ -233,6 +240,7 @@ def reconcile(
     )
     difference = F.col("summary_total") - F.col("raw_total")
     close = F.abs(difference.cast("double")) <= atol + rtol * F.abs(F.col("raw_total").cast("double"))
-    return sides.agg(F.sum("_raw").alias("raw_total"), F.sum("_summary").alias("summary_total")).select(
-        "raw_total", "summary_total", difference.alias("difference"), close.alias("matches")
-    )
+    return sides.agg(
+        F.coalesce(F.sum("_raw"), F.lit(0)).alias("raw_total"),
+        F.coalesce(F.sum("_summary"), F.lit(0)).alias("summary_total"),
+    ).select("raw_total", "summary_total", difference.alias("difference"), close.alias("matches"))

@@ -51,6 +51,10 @@ def first_class(year_rows: DataFrame) -> DataFrame:
     return year_rows.groupBy("product_number").agg(earliest.getField("class4").alias("class4"))
 
 
+def _sum_in_year(value_col: str, year_col: str, year: int) -> str:
+    return f"sum(IF(`{year_col}` = {int(year)}, `{value_col}`, NULL))"
+
+
 def known_years(year_rows: DataFrame, year_col: str = "year") -> list[int]:
     return distinct_values(year_rows, year_col, MAX_YEARS)
 
@@ -67,12 +71,7 @@ def pivot_years(
     return (
         year_rows.dropna(subset=[key, year_col])
         .groupBy(key)
-        .agg(
-            *[
-                F.coalesce(F.sum(F.when(F.col(year_col) == y, F.col(value_col))), F.lit(0)).alias(f"{label}_{y}")
-                for y in years
-            ]
-        )
+        .agg(*[F.expr(f"coalesce({_sum_in_year(value_col, year_col, y)}, 0)").alias(f"{label}_{y}") for y in years])
     )
 
 
@@ -90,19 +89,19 @@ def year_split(
     out. Of several segment rows for a product the smallest is used.
     """
     years = known_years(year_rows) if years is None else sorted(years)
-    rows = year_rows.withColumn("product_number", trimmed(F.col("product_number").cast("string")))
+    rows = year_rows.withColumns(
+        {
+            "product_number": trimmed(F.col("product_number").cast("string")),
+            "purchase_quantity": to_number(F.col("purchase_quantity"), None),
+        }
+    )
     result = (
         rows.dropna(subset=["product_number"])
         .groupBy("product_number")
         .agg(
             F.count("year").alias("_years"),
             F.min(F.struct("year", "class4")).getField("class4").alias("class4"),
-            *[
-                round_to_int(F.sum(F.when(F.col("year") == y, to_number(F.col("purchase_quantity"), None)))).alias(
-                    f"{label}_{y}"
-                )
-                for y in years
-            ],
+            *[round_to_int(F.expr(_sum_in_year("purchase_quantity", "year", y))).alias(f"{label}_{y}") for y in years],
         )
         .filter((F.col("_years") > 0) & F.col("class4").isNotNull())
         .drop("_years")
@@ -174,12 +173,11 @@ def year_metrics(
     )
     columns = []
     for y in years:
-        in_year = F.col(year_col) == y
         columns += [
-            F.coalesce(F.sum(F.when(in_year, F.col(source))), F.lit(0)).alias(f"{prefix}_{y}")
+            F.expr(f"coalesce({_sum_in_year(source, year_col, y)}, 0)").alias(f"{prefix}_{y}")
             for source, prefix in sums.items()
         ]
-        columns.append(F.count(F.when(in_year, F.col(order_col))).alias(f"orders_{y}"))
+        columns.append(F.expr(f"count(IF(`{year_col}` = {int(y)}, `{order_col}`, NULL))").alias(f"orders_{y}"))
     return per_order.groupBy(item_col).agg(*columns)
 
 

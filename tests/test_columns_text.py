@@ -105,3 +105,6 @@ def test_profiles(spark):
     assert [tuple(r) for r in profile.top_groups(df, "k", "v", 1).collect()] == [("a", 4.0)]
     assert [r["v"] for r in profile.top_rows(df, "v", ["k"], 2).collect()] == [5.0, 3.0]
     assert tuple(profile.class_counts(df, "k").first()) == ("a", 2)
+    texts = spark.createDataFrame([("a", "x"), ("b", "2.5")], "k string, v string")
+    assert [tuple(r) for r in profile.top_rows(texts, "v", ["k"], 2).collect()] == [("b", 2.5), ("a", 0.0)]
+    assert [tuple(r) for r in profile.top_groups(texts, "k", "v").collect()] == [("b", 2.5), ("a", 0.0)]

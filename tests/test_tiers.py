@@ -145,6 +145,14 @@ def test_spend_drops_missing_keys_and_attach_repeats_rows(spark):
     assert tiers.attach_segment(purchases, tiered, ["class4", "product_number"]).count() == 4
 
 
+def test_product_without_any_amount_has_spend_zero(spark):
+    purchases = spark.createDataFrame(
+        [("c", "p", "d", None), ("c", "q", "d", 2.0)],
+        "class4 string, product_number string, product_description string, purchase_amount_eur double",
+    )
+    assert {r[1]: r[3] for r in tiers.product_spend(purchases).collect()} == {"p": 0.0, "q": 2.0}
+
+
 def test_summary_and_reconciliation(spark):
     rows = [("c", f"p{i}", s) for i, s in enumerate([8000, 1500, 400, 90, 10.5])]
     tiered = tiers.tier_products(frame(spark, rows), "class4", "product", "spend", LOOSE)
