@@ -532,7 +532,8 @@ def spend_trend(spark, d):
 
 @query
 def class_country_matrix(spark, d):
-    return plain(profile.spend_matrix(roles.purchases(spark, d), "class4", "country_of_origin", SPEND))
+    countries = attributes.distinct_values(roles.table(spark, d, "nation"), "n_name")
+    return plain(profile.spend_matrix(roles.purchases(spark, d), "class4", "country_of_origin", SPEND, countries))
 
 
 # --- Columns and text --------------------------------------------------------------
