@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .mixing import OP8_SQL, op8_source_mixing
 from .packing import op10_best_fit_packing
 from .token_frames import op1_token_frames
 
 QUERIES = {
     "op1_token_frames": op1_token_frames,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op8_source_mixing": op8_source_mixing,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op5_exact_dedup": OP5_SQL,
+    "op8_source_mixing": OP8_SQL,
+}
