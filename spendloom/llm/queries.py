@@ -5,11 +5,13 @@ from __future__ import annotations
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .mixing import OP8_SQL, op8_source_mixing
 from .packing import op10_best_fit_packing
+from .secrets import op7_secret_scan
 from .token_frames import op1_token_frames
 
 QUERIES = {
     "op1_token_frames": op1_token_frames,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op8_source_mixing": op8_source_mixing,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
