@@ -7,9 +7,11 @@ from .mixing import OP8_SQL, op8_source_mixing
 from .packing import op10_best_fit_packing
 from .secrets import op7_secret_scan
 from .token_frames import op1_token_frames
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_token_frames": op1_token_frames,
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_source_mixing": op8_source_mixing,
