@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .html_text import op6_html_text
 from .mixing import OP8_SQL, op8_source_mixing
 from .packing import op10_best_fit_packing
 from .secrets import op7_secret_scan
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_token_frames": op1_token_frames,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_html_text": op6_html_text,
     "op7_secret_scan": op7_secret_scan,
     "op8_source_mixing": op8_source_mixing,
     "op10_best_fit_packing": op10_best_fit_packing,
