@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .html_text import op6_html_text
 from .mixing import OP8_SQL, op8_source_mixing
+from .neighbours import op3_permutation_search
 from .packing import op10_best_fit_packing
 from .secrets import op7_secret_scan
 from .token_frames import op1_token_frames
@@ -12,6 +13,7 @@ from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_token_frames": op1_token_frames,
+    "op3_permutation_search": op3_permutation_search,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_html_text": op6_html_text,
