@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .html_text import op6_html_text
 from .mixing import OP8_SQL, op8_source_mixing
+from .near_dedup import op9_near_dedup
 from .neighbours import op3_permutation_search
 from .packing import op10_best_fit_packing
 from .secrets import op7_secret_scan
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_html_text": op6_html_text,
     "op7_secret_scan": op7_secret_scan,
     "op8_source_mixing": op8_source_mixing,
+    "op9_near_dedup": op9_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
