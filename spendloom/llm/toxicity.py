@@ -258,7 +258,8 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
-    known = stored(texts.filter(~held_out(F.col("doc_id"))).join(marked, "doc_id"), "labelled")
+    # one form of join at every size: texts are shuffled, never the labels sent to all
+    known = stored(texts.filter(~held_out(F.col("doc_id"))).join(marked.hint("merge"), "doc_id"), "labelled")
     calibrates = F.floor(fold_hash(F.col("doc_id")) / FOLDS) % 5 == 0
     counts = class_counts(known.filter(~calibrates))
     evidence = spark.sparkContext.broadcast(evidence_cells(string_evidence(stored(counts, "strings"))))
