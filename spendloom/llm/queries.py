@@ -8,12 +8,14 @@ from .mixing import OP8_SQL, op8_source_mixing
 from .near_dedup import op9_near_dedup
 from .neighbours import op3_permutation_search
 from .packing import op10_best_fit_packing
+from .repeats import op2_repeat_removal
 from .secrets import op7_secret_scan
 from .token_frames import op1_token_frames
 from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_token_frames": op1_token_frames,
+    "op2_repeat_removal": op2_repeat_removal,
     "op3_permutation_search": op3_permutation_search,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
