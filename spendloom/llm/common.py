@@ -1,4 +1,4 @@
-"""Shared helpers: scratch tables, row ids, text rules."""
+"""Shared helpers: scratch tables, text rules."""
 
 from __future__ import annotations
 
@@ -29,16 +29,14 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_per_part(df: DataFrame, count: int, rows: int) -> int:
-    """Partitions for ``count`` rows at ``rows`` rows each, at least the session's parallelism."""
-    spark = df.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-count // rows))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
+
+
+def text_hash(text: Column) -> Column:
+    """Together with doc_id this names a row's content, also in tables that repeat a number."""
+    return F.xxhash64(text_or_empty(text))

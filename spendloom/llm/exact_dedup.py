@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, stored, table, text_or_empty
+from .common import SPACE, stored, table, text_hash, text_or_empty
 
 #: A chunk ends behind one of these endings, at 512 characters at least and 8,192 at most.
 CHUNK = r"(?s).{509,8189}?[nrs][ ,.]\x20|.{1,8192}"
@@ -32,24 +32,23 @@ def chunks(text: Column) -> Column:
 
 
 def exact_groups(docs: DataFrame, chunk_id: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, row.
+    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, text_hash.
 
     Of equal texts the smallest doc_id stays (null only if all are); of rows that repeat this number
-    too, the first in row order. ``row`` is ``monotonically_increasing_id`` over ``docs``. Empty and
-    null texts are equal; no rows give no rows. ``chunk_id`` maps a chunk to 64 bits; it may collide.
+    too, one. ``text_hash`` is that of the text as it is. Empty and null texts are equal; no rows give no
+    rows. ``chunk_id`` maps a chunk to 64 bits; it may collide.
     """
     texts = docs.select(
-        F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), normalised(F.col("text")).alias("text")
-    )
-    listed = texts.withColumn("chunks", chunks(F.col("text")))
-    recipes = stored(
-        listed.select("doc_id", "row", F.sha2("text", 256).alias("text_sha256"), F.transform("chunks", lambda c: chunk_id(c)).alias("recipe")),
-        "recipes",
+        F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("text_hash"), normalised(F.col("text")).alias("text")
     )
+    listed = texts.select("doc_id", "text_hash", F.sha2("text", 256).alias("text_sha256"), chunks(F.col("text")).alias("chunks"))
+    ids = F.transform("chunks", lambda c: chunk_id(c)).alias("recipe")
+    recipes = listed.select("doc_id", "text_hash", "text_sha256", ids, F.monotonically_increasing_id().alias("row"))
+    recipes = stored(recipes, "recipes")
     contents = listed.select(F.explode("chunks").alias("chunk")).select(chunk_id(F.col("chunk")).alias("id"), "chunk").distinct()
     shared = stored(contents.groupBy("id").count().filter("count > 1").select("id"), "shared-ids")
     if not shared.isEmpty():
-        recipes = recipes.join(_ordinals(listed, contents, shared), "row", "left")
+        recipes = recipes.join(_ordinals(listed, contents, shared), "text_sha256", "left")
     else:
         recipes = recipes.withColumn("ordinals", F.lit(None).cast("array<struct<place:int,ordinal:int>>"))
 
@@ -64,22 +63,22 @@ def exact_groups(docs: DataFrame, chunk_id: Callable[[Column], Column] = F.xxhas
         "g.group_size",
         (F.col("r.row") == F.col("g.first.row")).alias("kept"),
         "r.text_sha256",
-        "r.row",
+        "r.text_hash",
     )
 
 
 def _ordinals(listed: DataFrame, contents: DataFrame, shared: DataFrame) -> DataFrame:
-    """Per row with chunks whose identifier stands for several contents: place and ordinal of each."""
+    """Per text with chunks whose identifier stands for several contents: place and ordinal of each."""
     by_content = Window.partitionBy("id").orderBy("chunk")
     numbered = contents.join(shared, "id", "left_semi").withColumn("ordinal", F.row_number().over(by_content))
-    places = listed.select("row", F.posexplode("chunks").alias("place", "chunk"))
-    found = places.join(numbered, "chunk").groupBy("row")
+    places = listed.select("text_sha256", F.posexplode("chunks").alias("place", "chunk")).distinct()
+    found = places.join(numbered, "chunk").groupBy("text_sha256")
     return found.agg(F.array_sort(F.collect_list(F.struct("place", "ordinal"))).alias("ordinals"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts of all documents."""
-    return exact_groups(table(spark, sf_dir, "documents")).drop("row")
+    return exact_groups(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 OP5_SQL = r"""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, stored, table, text_or_empty
+from .common import WORD, stored, table, text_hash, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 #: Slope of the schedule by place in WEIGHTS: 0.5 starts at half the mean weight and ends at 1.5 times.
@@ -73,18 +73,19 @@ def schedule_time(demand: Column, target: Column, trend: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, trends: tuple = TRENDS) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken, positions, row.
+    """Per row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken, positions, text_hash.
 
     A source gives whole passes over its documents and, of one more pass, the documents whose middle
     word lies in what is left: what it takes is within half a document of the target. ``positions``
     has one training position a copy; ``taken`` is size times copies. Rows come range-sorted by first
     position. Empty texts and sources of no words are never taken. Equal numbers share a hash and
-    are taken in order of size; no rows give no rows. ``row`` is ``monotonically_increasing_id``.
+    are taken in order of size; no rows give no rows.
     """
     sized = stored(
         docs.select(
             F.col("doc_id").cast("long"),
             F.monotonically_increasing_id().alias("row"),
+            text_hash(F.col("text")).alias("text_hash"),
             "source",
             word_count(F.col("text")).alias("size"),
             F.md5(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))).alias("hash"),
@@ -114,7 +115,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, trends: tuple = TRENDS) -> Da
     placed = placed.withColumn("positions", positions).withColumn("first", F.get("positions", F.lit(0)))
     out = placed.repartitionByRange("first", "row").sortWithinPartitions("first", "row")
     return out.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "positions", "row"
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "positions", "text_hash"
     )
 
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_or_empty
+from .common import stored, table, text_hash, text_or_empty
 from .components import components
 from .sketches import band_keys, fast_sketch, set_digest, shingles
 
@@ -43,7 +43,7 @@ class Settings:
 
 
 def _sets(texts: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, n_shingles, digest and band keys of every row of (doc_id, text)."""
+    """doc_id, text_hash, n_shingles, digest and band keys of every row of (doc_id, text_hash, text)."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -53,9 +53,10 @@ def _sets(texts: DataFrame, settings: Settings) -> DataFrame:
                 keys = band_keys(fast_sketch(found, settings.coordinates), settings.rows) if len(found) else np.empty(0, np.uint64)
                 rows.append((len(found), set_digest(found), keys.astype(np.int64)))
             n, digest, bands = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "digest": digest, "bands": bands})
+            named = {"doc_id": batch["doc_id"], "text_hash": batch["text_hash"]}
+            yield pd.DataFrame(named | {"n_shingles": n, "digest": digest, "bands": bands})
 
-    return texts.mapInPandas(sketch, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return texts.mapInPandas(sketch, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>")
 
 
 def _candidates(texts: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
@@ -136,13 +137,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, text_hash.
 
     Texts of fewer than five words are one shingle; null texts and texts without words have none and
     link with nothing. Rows without number come last in their component and are kept only if it has
     no number at all; rows that repeat a number are both kept or both not. No rows give no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
+    text = text_or_empty(F.col("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(text).alias("text_hash"), text.alias("text"))
     rows = stored(_sets(texts, settings), "shingle-sets")
     classes = rows.filter("n_shingles > 0").groupBy("digest")
     classes = classes.agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
@@ -174,12 +176,12 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     placed = classes.join(found, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = placed.join(least, "component").select("digest", "component_id")
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
     component_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", component_id.alias("component_id"))
+    out = out.select("doc_id", "n_shingles", component_id.alias("component_id"), "text_hash")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
