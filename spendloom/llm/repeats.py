@@ -134,8 +134,25 @@ def _segment_batch(rows: list[tuple], node: int, n: int) -> pa.RecordBatch:
     return pa.record_batch(columns, ["key", "node", "start", "n", "anchor", "id", "segment"])
 
 
-def _scanned(segments: DataFrame, settings: Settings) -> DataFrame:
-    """Occurrences of the maximal repeats of distinct segments (key, id, segment), anchor by anchor."""
+def _covered(found: list, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segment, start in it and length of the stretches that occurrences of repeats cover together."""
+    at = np.array([p for r in found for p in r.occurrences], np.int64)
+    stop = at + np.array([r.length for r in found for _ in r.occurrences], np.int64)
+    order = np.argsort(at, kind="stable")
+    at, stop = at[order], stop[order]
+    owner = np.searchsorted(ends, at, side="right")
+    reached = np.maximum.accumulate(stop)  # occurrences end within their segment
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] > reached[:-1]) | (owner[1:] != owner[:-1])])[: len(at)])
+    last = np.concatenate([first[1:], [len(at)]])[: len(first)] - 1
+    return owner[first], at[first] - begins[owner[first]], reached[last] - at[first]
+
+
+def _scanned(segments: DataFrame, settings: Settings, listed: bool) -> DataFrame:
+    """Maximal repeats of distinct segments (key, id, segment), anchor by anchor: id, start, length, repeat.
+
+    ``listed`` gives a row for each occurrence of each repeat, named by its string; else a row for each
+    stretch of a segment that repeats cover, which grows with the segments alone.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[bytes] = []
@@ -144,6 +161,11 @@ def _scanned(segments: DataFrame, settings: Settings) -> DataFrame:
 
         def repeats() -> pa.RecordBatch:
             found, begins, ends = maximal_repeats(parts, settings.length)
+            if not listed:
+                owner, start, length = _covered(found, begins, ends)
+                none = pa.nulls(len(owner), pa.binary())
+                covered = [pa.array([ids[i] for i in owner.tolist()], pa.binary()), pa.array(start), pa.array(length), none]
+                return pa.record_batch(covered, ["id", "start", "length", "repeat"])
             at = np.array([p for r in found for p in r.occurrences], np.int64)
             owner = np.searchsorted(ends, at, side="right")
             names = [_id((parts[o])[p - b : p - b + r.length]) for r in found for o, b, p in _first(r, begins, ends)]
@@ -210,18 +232,19 @@ def _distinct(segments: DataFrame) -> DataFrame:
     return segments.groupBy("key", "id", "segment").agg(F.sum("n").alias("n"), F.min("anchor").alias("anchor"))
 
 
-def _repeats(distinct: DataFrame, settings: Settings, widths: tuple[int, ...]) -> DataFrame:
-    """Occurrences of repeats in distinct segments: id, start, length, repeat."""
+def _repeats(distinct: DataFrame, settings: Settings, widths: tuple[int, ...], listed: bool) -> DataFrame:
+    """Repeats in distinct segments: id, start, length, repeat, as in ``_scanned``."""
     sizes = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     whole = distinct.filter("n > 1").select(
         "id", F.lit(0).cast("long").alias("start"), F.length("segment").cast("long").alias("length"), F.col("id").alias("repeat")
     )
     shared = stored(distinct.join(sizes, "key"), "shared-segments")
-    found = whole.unionByName(_scanned(shared.filter(F.col("size") <= settings.many), settings))
+    found = whole.unionByName(_scanned(shared.filter(F.col("size") <= settings.many), settings, listed))
     crowded = shared.filter(F.col("size") > settings.many)
     if widths and not crowded.isEmpty():
         pieces = stored(_split(crowded, widths[0], settings), "split-segments")
-        inner = _repeats(stored(_distinct(pieces), "distinct-segments"), settings, widths[1:]).withColumnRenamed("start", "inside")
+        inner = _repeats(stored(_distinct(pieces), "distinct-segments"), settings, widths[1:], listed)
+        inner = inner.withColumnRenamed("start", "inside")
         back = pieces.select("id", "parent", "start").join(inner, "id")
         found = found.unionByName(
             back.select(F.col("parent").alias("id"), (F.col("start") + F.col("inside")).alias("start"), "length", "repeat")
@@ -229,12 +252,15 @@ def _repeats(distinct: DataFrame, settings: Settings, widths: tuple[int, ...]) -
     return found
 
 
-def repeated_strings(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeated_strings(
+    docs: DataFrame, settings: Settings = Settings(), *, listed: bool = True
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Maximal repeats of (doc_id, text): rows, touched classes, and occurrences.
 
     rows: doc_id, n_bytes, sha256, digest of every row. touched: node, digest, n (rows with this text),
     data (compressed bytes) of texts with repeats. occurrences: node, start, length, repeat (names the
-    repeated string, or a segment that occurs in full elsewhere). Texts shorter than the least
+    repeated string, or a segment that occurs in full elsewhere; without ``listed`` stretches that
+    repeats cover, without names). Texts shorter than the least
     length, null and empty ones hold no repeats; equal texts, repeated rows too, repeat in full.
     """
     texts = _texts(docs)
@@ -244,12 +270,12 @@ def repeated_strings(docs: DataFrame, settings: Settings = Settings()) -> tuple[
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "text-classes")
     hashes = classes.select("node", "n", F.explode("anchors").alias("hash"))
     shared = hashes.groupBy("hash").agg(F.sum("n").alias("times")).filter("times > 1").select("hash")
-    listed = hashes.join(shared, "hash").groupBy("node").agg(F.collect_set("hash").alias("shared"))
-    wanted = classes.select("node", "n", "digest").join(listed, "node")
+    kept = hashes.join(shared, "hash").groupBy("node").agg(F.collect_set("hash").alias("shared"))
+    wanted = classes.select("node", "n", "digest").join(kept, "node")
     data = _packed(texts).dropDuplicates(["digest"])
     touched = stored(data.join(wanted.hint("merge"), "digest"), "touched-texts", codec="none")
     segments = stored(_segments(touched, settings), "segments")
-    found = _repeats(stored(_distinct(segments), "distinct-segments"), settings, settings.widths)
+    found = _repeats(stored(_distinct(segments), "distinct-segments"), settings, settings.widths, listed)
     spots = segments.select("node", "id", F.col("start").alias("at"))
     occurrences = spots.join(found, "id").select("node", (F.col("at") + F.col("start")).alias("start"), "length", "repeat")
     return rows, touched, occurrences
@@ -261,7 +287,7 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     Every byte within a string of the least length that also starts elsewhere is removed. ``kept`` is
     what is left as bytes, null for rows that lose nothing.
     """
-    rows, touched, occurrences = repeated_strings(docs, settings)
+    rows, touched, occurrences = repeated_strings(docs, settings, listed=False)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
