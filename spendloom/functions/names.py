@@ -68,17 +68,19 @@ def similar_names(names: Sequence[str], threshold: float, protect: str) -> dict[
 
 
 def resolve_column(df: DataFrame, candidates: Sequence[str]) -> str:
-    """First candidate the frame has: exact, then by letters and digits only."""
-    if not candidates:
-        raise ValueError("no candidate columns given")
-    by_key = {key_of(c): c for c in df.columns}
-    for candidate in candidates:
-        if candidate in df.columns:
-            return candidate
-        for key in (key_of(candidate), key_of(standard_name(candidate))):
-            if key in by_key:
-                return by_key[key]
-    return candidates[0]
+    """The column that fits the candidates best; raises, naming the columns, when none does.
+
+    Earlier candidates win; for one candidate the same name wins over one with the same letters and digits.
+    """
+    fits = [
+        (place, column != candidate, column)
+        for place, candidate in enumerate(candidates)
+        for column in df.columns
+        if column == candidate or key_of(column) == key_of(candidate)
+    ]
+    if not fits:
+        raise ValueError(f"none of {list(candidates)} among the columns {df.columns}")
+    return min(fits, key=lambda fit: fit[:2])[2]
 
 
 def first_present(df: DataFrame, candidates: Iterable[str]) -> str | None:

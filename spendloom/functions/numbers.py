@@ -6,10 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A number as text: no suffixes, no 'NaN', no 'Infinity'.
+PLAIN_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def finite(c: Column) -> Column:
+    """The double, NULL when it is no number or infinite."""
+    return F.when(F.abs(c) < float("inf"), c)
+
+
 def to_number(c: Column, default: float | None = 0.0) -> Column:
-    """Number in any column; what is not numeric becomes `default`."""
-    number = c.try_cast("double")
-    number = F.when(~F.isnan(number), number)
+    """Number in any column; what is not a finite number, as '1d' or 'Infinity', becomes `default`."""
+    # the type is known when the plan is made, so only texts are matched
+    is_text = F.typeof(c) == "string"
+    number = F.when(~is_text | c.cast("string").rlike(PLAIN_NUMBER), finite(c.try_cast("double")))
     return number if default is None else F.coalesce(number, F.lit(default))
 
 

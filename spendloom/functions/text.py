@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from spendloom.config import ID_PREFIXES
 
-_WHITESPACE = " \t\n\r\x0b\x0c"
+#: Every kind of white space: ASCII, the separators 1C to 1F, next line, and Unicode spaces.
+_WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(n) for n in range(0x2000, 0x200B)
+)
 
 
 def trimmed(c: Column) -> Column:

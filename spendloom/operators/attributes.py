@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from spendloom.config import DETAIL_NAMES, ID_PREFIXES, AttributeRule
 from spendloom.functions.names import key_of, title_name
 from spendloom.functions.text import looks_latin, merge_text, non_blank, trimmed
-from spendloom.operators.joins import lookup_join
 from spendloom.operators.lookups import keep_first
 
 #: Most columns a discovered pivot may get.
@@ -113,7 +112,7 @@ def expected_attributes(values: DataFrame, template: DataFrame) -> DataFrame:
             expected = (
                 template.select("attribute_id", column).dropna().distinct().withColumn(flag, F.lit(True))
             )
-            result = lookup_join(result, expected, ["attribute_id", column], "left")
+            result = result.join(expected, ["attribute_id", column], "left")
         else:
             result = result.withColumn(flag, F.lit(None).cast("boolean"))
     return result.filter(F.col("_by_brick") | F.col("_by_node")).select(*values.columns)
@@ -122,26 +121,12 @@ def expected_attributes(values: DataFrame, template: DataFrame) -> DataFrame:
 # --- Product details: (product_number, detail_name, detail_value) -----------------
 
 
-def candidate_ids(
-    numbers: DataFrame,
-    number_col: str = "product_number",
-    *,
-    canonical_only_above: int | None = None,
-) -> DataFrame:
-    """Distinct product ids a number may be stored under: each prefix, and none.
-
-    `canonical_only_above` keeps the first prefix only once there are more ids
-    than that; a join does not need it.
-    """
+def candidate_ids(numbers: DataFrame, number_col: str = "product_number") -> DataFrame:
+    """Distinct product ids a number may be stored under: each prefix, and none."""
     distinct_numbers = (
         numbers.select(non_blank(F.col(number_col).cast("string")).alias(number_col)).dropna().distinct()
     )
-    prefixes = ID_PREFIXES
-    if canonical_only_above is not None:
-        most = canonical_only_above // len(ID_PREFIXES)
-        if distinct_numbers.limit(most + 1).count() > most:
-            prefixes = ID_PREFIXES[:1]
-    prefix = F.explode(F.array(*[F.lit(p) for p in prefixes]))
+    prefix = F.explode(F.array(*[F.lit(p) for p in ID_PREFIXES]))
     ids = distinct_numbers.select(number_col, prefix.alias("_prefix")).select(
         number_col, F.concat("_prefix", number_col).alias("product_id")
     )
@@ -189,10 +174,9 @@ def pivot_details(details: DataFrame, names: Sequence[str] = DETAIL_NAMES) -> Da
     return pivot_values(present, ["product_number"], "detail_name", "detail_value", list(names))
 
 
-def detail_names(details: DataFrame, allowed: Sequence[str] = DETAIL_NAMES, top: int = 10) -> DataFrame:
-    """Allowed detail names that occur, else the most frequent names."""
+def detail_names(details: DataFrame, allowed: Sequence[str] = DETAIL_NAMES) -> DataFrame:
+    """Rows of each allowed detail name that occurs or, if none does, of every name."""
     counts = details.dropna(subset=["detail_name"]).groupBy("detail_name").agg(F.count("*").alias("rows"))
-    listed = counts.filter(F.col("detail_name").isin(*allowed))
-    if not listed.isEmpty():
-        return listed
-    return counts.orderBy(F.desc("rows"), "detail_name").limit(top)
+    listed = F.col("detail_name").isin(*allowed)
+    known = counts.agg(F.coalesce(F.bool_or(listed), F.lit(False)).alias("_known"))
+    return counts.join(known, listed | ~F.col("_known")).select("detail_name", "rows")

@@ -15,6 +15,7 @@ from spendloom.functions.names import (
     standard_names,
 )
 from spendloom.functions.numbers import to_number
+from spendloom.operators.profile import null_profile
 
 #: Column names that only differ by their number are different columns.
 NUMBERED_NAMES = r"^(class|level)\s*\d+$"
@@ -67,13 +68,15 @@ def harmonize_columns(
         protect = r"^class\d+$"
     groups = similar_names(df.columns, threshold, protect)
     absorbed = {name for others in groups.values() for name in others}
-    return df.select(
-        *[
-            F.coalesce(F.col(c), *[F.col(o) for o in groups[c]]).alias(c) if c in groups else F.col(c)
-            for c in df.columns
-            if c not in absorbed
-        ]
-    )
+    types = dict(df.dtypes)
+
+    def merged(name: str) -> Column:
+        others = groups.get(name, [])
+        if len({types[c] for c in (name, *others)}) > 1:  # columns of different types become text
+            return F.coalesce(*[F.col(c).cast("string") for c in (name, *others)]).alias(name)
+        return F.coalesce(*[F.col(c) for c in (name, *others)]).alias(name)
+
+    return df.select(*[merged(c) for c in df.columns if c not in absorbed])
 
 
 def prepare_columns(df: DataFrame, threshold: float = 0.8, **options) -> DataFrame:
@@ -92,9 +95,15 @@ def spend_column(df: DataFrame, prefer: str = "Purchase Amount Eur") -> tuple[Da
 def class_column(df: DataFrame) -> Column:
     """First class-like column as text, else 'Unknown'. Missing text stays NULL."""
     name = first_present(df, CLASS_CANDIDATES)
-    return (F.col(name).cast("string") if name else F.lit("Unknown")).alias("class3")
+    return (F.col(f"`{name}`").cast("string") if name else F.lit("Unknown")).alias("class3")
 
 
 def preprocess(df: DataFrame) -> DataFrame:
     """Distinct, standard, harmonised column names; values are left as they are."""
     return df.transform(distinct_columns).transform(prepare_columns)
+
+
+def preprocess_report(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The preprocessed frame and how many values each of its columns misses."""
+    prepared = preprocess(df)
+    return prepared, null_profile(prepared)

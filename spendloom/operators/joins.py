@@ -1,91 +1,31 @@
-"""Joins that stay balanced when one key holds most rows."""
+"""A join for keys that are known to be hot.
+
+Elsewhere joins are plain: the planner chooses their form from sizes it measures while it runs, and it
+splits skewed partitions of sort-merge joins.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendloom.session import BROADCAST_BYTES, input_bytes, is_small
-
-#: A key with more rows than this is spread over several tasks.
-ROWS_PER_TASK = 2_000_000
-
-#: Most keys that are spread; the rest are joined as they are, only less evenly.
-MAX_HOT_KEYS = 10_000
-
 _SALT, _SALTS = "_salt", "_salts"
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> list[Row]:
-    """The keys worth spreading, each with its number of salts; at most MAX_HOT_KEYS.
-
-    One pass over the key columns with map-side counting.
-    """
-    counts = df.groupBy(*on).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > rows_per_task)
-    salts = F.ceil(F.col("_rows") / F.lit(rows_per_task)).cast("int").alias(_SALTS)
-    return counts.select(*on, salts).orderBy(F.desc(_SALTS)).limit(MAX_HOT_KEYS).collect()
-
-
-def skew_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: str | Sequence[str],
-    how: str = "left",
-    *,
-    spread: Sequence[str] | None = None,
-    rows_per_task: int | None = None,
+def salted_join(
+    left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left", *, hot: DataFrame, spread: Sequence[str]
 ) -> DataFrame:
-    """Equi-join (inner, left, left_semi or left_anti) whose left side may be skewed.
-
-    Small left sides, and sides without hot keys, take a plain join. Otherwise
-    the left rows of hot keys are salted, and only the matching right rows are
-    repeated, once per salt: every left row still meets every match exactly
-    once. Left rows without a key match nothing, so they are spread freely.
+    """Equi-join (inner, left, left_semi or left_anti) that spreads the left rows of listed keys.
 
-    The salt is a hash of the `spread` columns, which should tell the rows of a
-    key apart. Without them it is a hash of the whole row and its partition,
-    which also keeps identical copies apart but reads every column. Both are the
-    same when a task is retried. `rows_per_task` overrides the choice by size.
+    `hot` is a lazy frame of the `on` columns and `salts`, one row per key. The salt of a left row is a
+    hash of its `spread` columns, so a retried task gives the same; only the right rows of listed keys are
+    repeated, once per salt. No job runs here.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if rows_per_task is None:
-        if is_small(left):
-            return left.join(right, on, how)
-        rows_per_task = ROWS_PER_TASK
-    rows = hot_keys(left, on, rows_per_task)
-    if not rows:
-        return left.join(right, on, how)
-
-    keyless = [r for r in rows if None in tuple(r)]
-    keyed = [r for r in rows if None not in tuple(r)]
-    schema = left.select(*on, F.lit(1).alias(_SALTS)).schema
-    # At most MAX_HOT_KEYS rows, so broadcasting them is always safe.
-    hot = F.broadcast(left.sparkSession.createDataFrame([tuple(r) for r in keyed], schema))
-    no_key = F.lit(False)
-    for key in on:
-        no_key = no_key | F.col(key).isNull()
-    most = max((r[_SALTS] for r in keyless), default=1)
-    salts = F.when(no_key, F.lit(most)).otherwise(F.coalesce(_SALTS, F.lit(1)))
-    place = F.xxhash64(*spread) if spread else F.xxhash64(*left.columns, F.spark_partition_id())
-
-    salted_left = left.join(hot, on, "left").withColumn(_SALT, F.pmod(place, salts).cast("int"))
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce(_SALTS, F.lit(1)) - 1))
-    salted_right = right.join(hot, on, "left").withColumn(_SALT, copies)
-    joined = salted_left.drop(_SALTS).join(salted_right.drop(_SALTS), [*on, _SALT], how)
-    return joined.drop(_SALT)
-
-
-def lookup_join(
-    fact: DataFrame,
-    lookup: DataFrame,
-    on: str | Sequence[str],
-    how: str = "left",
-    *,
-    spread: Sequence[str] | None = None,
-) -> DataFrame:
-    """Join to a lookup: broadcast while its files are small, else as a skewed join."""
-    if input_bytes(lookup) <= BROADCAST_BYTES:
-        return fact.join(F.broadcast(lookup), on, how)
-    return skew_join(fact, lookup, on, how, spread=spread)
+    listed = hot.select(*on, F.col("salts").alias(_SALTS))
+    salts = F.coalesce(_SALTS, F.lit(1))
+    spread_left = left.join(listed, on, "left").withColumn(_SALT, F.pmod(F.xxhash64(*spread), salts).cast("int"))
+    repeated = right.join(listed, on, "left").withColumn(_SALT, F.explode(F.sequence(F.lit(0), salts - 1)))
+    return spread_left.drop(_SALTS).join(repeated.drop(_SALTS), [*on, _SALT], how).drop(_SALT)

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendloom.operators.joins import lookup_join, skew_join
 
 
 def any_value_per_key(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -42,7 +41,7 @@ def brand_map(brands: DataFrame, purchases: DataFrame) -> DataFrame:
     """Distinct (product, brand) pairs of the products that were purchased."""
     pairs = brands.select(F.col("product_number").cast("string"), "key_brand_identifier").distinct()
     bought = purchases.select(F.col("product_number").cast("string")).distinct()
-    return skew_join(pairs, bought, "product_number", "left_semi")
+    return pairs.join(bought, "product_number", "left_semi")
 
 
 def stop_flag(company_products: DataFrame, products: DataFrame, companies: DataFrame, company_prefix: str) -> DataFrame:
@@ -54,7 +53,7 @@ def stop_flag(company_products: DataFrame, products: DataFrame, companies: DataF
     """
     ours = companies.filter(F.col("company_short_description").startswith(f"{company_prefix} ")).select("company_id")
     per_id = (
-        lookup_join(company_products, ours, "company_id", "left_semi")
+        company_products.join(ours, "company_id", "left_semi")
         .select("product_id", "purchase_stop_ind")
         .distinct()
     )

@@ -8,80 +8,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spendloom.session import cut_lineage, is_small, shuffle_partitions
-
-#: Number of the sorted block a row belongs to; 0 throughout for small inputs.
+#: Block of a row: a whole number that never falls as the ordering number rises.
 BLOCK = "_block"
 
+#: Blocks between a number and its double; equal numbers share a block.
+PER_DOUBLING = 16
+
+#: Numbers nearer to zero than 2^-40 share the blocks next to that of zero.
+_LEAST = 40
 
-def block_count(df: DataFrame, blocks: int | None = None) -> int:
-    """Sorted blocks to use for `df`: one for small inputs, else one per shuffle partition."""
-    return blocks or (1 if is_small(df) else shuffle_partitions(df.sparkSession))
+
+def block_of(number: Column, per_doubling: int = PER_DOUBLING) -> Column:
+    """Block of a number, by its sign and logarithm; NULL has the lowest."""
+    size = F.greatest(F.floor(F.log2(F.abs(number.cast("double"))) * per_doubling) + _LEAST * per_doubling + 1, F.lit(1))
+    return F.when(number > 0, size).when(number < 0, -size).when(number == 0, 0).otherwise(-(2**40)).cast("bigint")
 
 
 def running_totals(
     df: DataFrame,
     group: Sequence[str],
-    order: Sequence[Column],
+    number: str,
     measure: str,
+    ties: Sequence[str] = (),
     *,
-    blocks: int | None = None,
+    descending: bool = False,
+    per_doubling: int = PER_DOUBLING,
 ) -> DataFrame:
-    """Add `running` (inclusive, in `order` within `group`), `total` and the block.
-
-    With one block (small inputs) this is one window per group. Otherwise the
-    rows are sorted into equal blocks by (group, order) — a hot group simply
-    spans many blocks — and frozen by a checkpoint, so that a lost executor
-    cannot move a row to another block. Block sums (at most blocks + groups
-    rows) give the offset of each block, and the window then runs inside
-    (group, block). `blocks` overrides the choice by size.
+    """Add `running` (inclusive, by `number` and then `ties` within `group`), `total` and the block.
 
-    `group` columns must not be NULL.
+    Rows fall into blocks by the logarithm of `number`, so a block is known from the row alone: nothing
+    is sampled, frozen or run while the plan is built, and a retried task finds the same block. Sums
+    per (group, block) give each block its offset, and the window runs inside (group, block); sums,
+    window and the join between them share one partitioning. A hot group spans all its blocks.
+    Rows of equal number are ordered by `ties` in one task. `group` columns must not be NULL.
     """
-    blocks = block_count(df, blocks)
-    if blocks == 1:
-        running = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumns(
-            {
-                BLOCK: F.lit(0),
-                "running": F.sum(measure).over(running),
-                "total": F.sum(measure).over(W.partitionBy(*group)),
-            }
-        )
-
-    keys = [F.col(g) for g in group]
-    ranged = cut_lineage(
-        df.repartitionByRange(blocks, *keys, *order).withColumn(BLOCK, F.spark_partition_id())
-    )
     by = [*group, BLOCK]
-    before = W.partitionBy(*group).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    blocked = df.withColumn(BLOCK, block_of(F.col(number), per_doubling))
+    direction = F.col(BLOCK).desc() if descending else F.col(BLOCK).asc()
+    earlier = W.partitionBy(*group).orderBy(direction).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy(*by)
+        blocked.groupBy(*by)
         .agg(F.sum(measure).alias("_sum"))
         .select(
             *by,
-            F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"),
+            F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"),
             F.sum("_sum").over(W.partitionBy(*group)).alias("total"),
         )
     )
-    inside = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    # The window sorts by (group, block, order), which the join can use as it is.
+    first = F.col(number).desc_nulls_last() if descending else F.col(number).asc_nulls_first()
+    inside = W.partitionBy(*by).orderBy(first, *ties).rowsBetween(W.unboundedPreceding, 0)
     return (
-        ranged.withColumn("_inside", F.sum(measure).over(inside))
+        blocked.withColumn("_inside", F.sum(measure).over(inside))
         .join(offsets, by)
-        .withColumn("running", F.col("_before") + F.col("_inside"))
+        .withColumn("running", F.col("_before") + F.coalesce("_inside", F.lit(0)))
         .drop("_before", "_inside")
     )
 
 
-def quantiles(df: DataFrame, value: str, shares: dict[str, float], *, blocks: int | None = None) -> DataFrame:
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], *, per_doubling: int = PER_DOUBLING) -> DataFrame:
     """One row of exact quantiles with linear interpolation, NULL values ignored.
 
     Equal values are counted first, so a hot value is one row; the position of
     each value then comes from running totals over the counts.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    placed = running_totals(counts, [], [F.col("_v").asc()], "_n", blocks=blocks)
+    placed = running_totals(counts, [], "_v", "_n", per_doubling=per_doubling)
     first, last = F.col("running") - F.col("_n"), F.col("running") - 1
 
     def at(position: Column) -> Column:

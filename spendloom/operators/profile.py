@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spendloom.functions.numbers import to_number
 from spendloom.operators.attributes import distinct_values
-from spendloom.operators.prefix import quantiles
+from spendloom.operators.prefix import PER_DOUBLING, quantiles
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def null_profile(df: DataFrame) -> DataFrame:
     return counts.unpivot([], df.columns, "column_name", "missing")
 
 
-def describe_column(df: DataFrame, column: str, *, blocks: int | None = None) -> DataFrame:
+def describe_column(df: DataFrame, column: str, *, per_doubling: int = PER_DOUBLING) -> DataFrame:
     """One row: count, mean, sample deviation, minimum, exact quartiles, maximum."""
     numbers = df.select(to_number(F.col(column), None).alias("_v"))
     moments = numbers.agg(
@@ -28,7 +28,7 @@ def describe_column(df: DataFrame, column: str, *, blocks: int | None = None) ->
         F.min("_v").alias("min"),
         F.max("_v").alias("max"),
     )
-    quartiles = quantiles(numbers, "_v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, blocks=blocks)
+    quartiles = quantiles(numbers, "_v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, per_doubling=per_doubling)
     both = moments.withColumn("_one", F.lit(1)).join(quartiles.withColumn("_one", F.lit(1)), "_one")
     return both.select("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 

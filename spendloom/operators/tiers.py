@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,9 +12,8 @@ from pyspark.sql.types import DecimalType
 
 from spendloom.config import ABC, ABCDE, TierScheme
 from spendloom.functions.numbers import thousands
-from spendloom.operators.joins import skew_join
 from spendloom.operators.lookups import keep_first
-from spendloom.operators.prefix import BLOCK, block_count, running_totals
+from spendloom.operators.prefix import BLOCK, PER_DOUBLING, running_totals
 
 _SPEND, _LABEL = "_spend", "_label"
 
@@ -35,28 +34,33 @@ def product_spend(
     return purchases.dropna(subset=keys).groupBy(*keys).agg(spend.alias(spend_col))
 
 
-def _with_shares(
-    df: DataFrame, class_col: str, product_col: str, spend_col: str, scale: int, blocks: int | None
-) -> DataFrame:
-    """Add the exact spend, running spend, class total and block of every product."""
-    spend = F.col(spend_col)
-    if df.schema[spend_col].dataType.typeName() in ("double", "float"):
-        spend = F.when(~F.isnan(spend), spend)
-    ranked = running_totals(
-        df.filter(F.col(class_col).isNotNull()).withColumn(_SPEND, spend.cast(DecimalType(18, scale))),
-        [class_col],
-        [F.col(_SPEND).desc_nulls_last(), F.col(product_col).asc()],
-        _SPEND,
-        blocks=blocks,
-    )
-    # A fixed width keeps `threshold * total` exact: sums of sums would be widened
-    # to 38 digits, and their product rounded back to two decimals.
-    exact = DecimalType(28, scale)
+def _exact_spend(df: DataFrame, spend_col: str) -> Column:
+    """The spend as a decimal: decimals as they are, whole numbers whole, doubles rounded to nine decimals.
+
+    What is no finite number, or has more than 21 digits before the point, is NULL.
+    """
+    kind, spend = df.schema[spend_col].dataType, F.col(spend_col)
+    if isinstance(kind, DecimalType):
+        return spend
+    if kind.typeName() in ("double", "float"):
+        return spend.try_cast(DecimalType(30, 9))
+    return spend.try_cast(DecimalType(20, 0))
+
+
+def _with_shares(df: DataFrame, class_col: str, product_col: str, spend_col: str, per_doubling: int) -> DataFrame:
+    """Add the exact spend, running spend, class total and block of every product.
+
+    Equal spends are ordered by product and then by all other columns, so labels do not depend on the
+    order of the rows.
+    """
+    ties = [product_col, *[c for c in df.columns if c not in (class_col, product_col, spend_col)]]
+    exact = df.filter(F.col(class_col).isNotNull()).withColumn(_SPEND, _exact_spend(df, spend_col))
+    scale = exact.schema[_SPEND].dataType.scale
+    ranked = running_totals(exact, [class_col], _SPEND, _SPEND, ties, descending=True, per_doubling=per_doubling)
+    # Room for a factor of up to 1,000: `denominator * running` then keeps its decimals.
+    sums = DecimalType(34, scale)
     return ranked.withColumns(
-        {
-            "running": F.col("running").cast(exact),
-            "total": F.coalesce(F.col("total").cast(exact), F.lit(0).cast(exact)),
-        }
+        {"running": F.col("running").cast(sums), "total": F.coalesce(F.col("total").cast(sums), F.lit(0).cast(sums))}
     )
 
 
@@ -73,24 +77,24 @@ def cumulative_share(
     product_col: str,
     spend_col: str,
     *,
-    scale: int = 2,
-    blocks: int | None = None,
+    per_doubling: int = PER_DOUBLING,
 ) -> DataFrame:
     """Add `cum_share`: share of the class spent on products up to and including this one.
 
     NULL when the class total is not positive or the spend is missing.
     """
-    shared = _with_shares(df, class_col, product_col, spend_col, scale, blocks)
+    shared = _with_shares(df, class_col, product_col, spend_col, per_doubling)
     return shared.select(*df.columns, _share().alias("cum_share"))
 
 
 def _label(scheme: TierScheme) -> Column:
-    """Right-closed bins, compared as `running <= threshold * total`, never by division."""
+    """Right-closed bins, compared as `denominator * running <= numerator * total` in whole factors."""
     running, total = F.col("running"), F.col("total")
     label = F.when(total <= 0, F.lit(scheme.labels[-1]))
     label = label.when(F.col(_SPEND).isNull(), F.lit(scheme.out_of_range))
     for name, threshold in zip(scheme.labels, scheme.thresholds):
-        label = label.when(running <= F.lit(Decimal(str(threshold))) * total, F.lit(name))
+        part = Fraction(str(threshold))
+        label = label.when(F.lit(part.denominator) * running <= F.lit(part.numerator) * total, F.lit(name))
     return label.when(running <= total, F.lit(scheme.labels[-1])).otherwise(F.lit(scheme.out_of_range))
 
 
@@ -121,15 +125,6 @@ def _collapse_thin_tiers(df: DataFrame, class_col: str, scheme: TierScheme) -> D
     )
 
 
-def _collapse_thin_tiers_windowed(df: DataFrame, class_col: str, scheme: TierScheme) -> DataFrame:
-    """The same with one window per class and tier, for inputs of a single block."""
-    size = F.count("*").over(W.partitionBy(class_col, _LABEL))
-    thin = (size < scheme.min_products) & F.col(_LABEL).isin(*scheme.labels)
-    return df.withColumn("_thin", thin).withColumn(
-        _LABEL, F.when(F.col("_thin"), scheme.labels[-1]).otherwise(F.col(_LABEL))
-    )
-
-
 def tier_products(
     df: DataFrame,
     class_col: str,
@@ -138,7 +133,7 @@ def tier_products(
     scheme: TierScheme = ABCDE,
     *,
     label_col: str = "segmentation",
-    blocks: int | None = None,
+    per_doubling: int = PER_DOUBLING,
 ) -> DataFrame:
     """Label each product of a class by cumulative spend share, largest spend first.
 
@@ -146,15 +141,14 @@ def tier_products(
     the only product of a class has share 1 and gets the last label. Classes
     whose total is not positive get the last label; missing spend, and running
     spend above the class total (credits), get `scheme.out_of_range`. Equal
-    spends are ordered by product.
+    spends are ordered by product, then by the other columns. Decimals are compared exactly; doubles
+    count to nine decimals.
     """
-    blocks = block_count(df, blocks)
-    labelled = _with_shares(df, class_col, product_col, spend_col, scheme.scale, blocks).withColumn(
+    labelled = _with_shares(df, class_col, product_col, spend_col, per_doubling).withColumn(
         _LABEL, _label(scheme)
     )
     if scheme.min_products:
-        collapse = _collapse_thin_tiers if blocks > 1 else _collapse_thin_tiers_windowed
-        labelled = collapse(labelled, class_col, scheme)
+        labelled = _collapse_thin_tiers(labelled, class_col, scheme)
     return labelled.select(*df.columns, _share().alias("cum_share"), F.col(_LABEL).alias(label_col))
 
 
@@ -174,10 +168,9 @@ def collapse_small_tiers(
         .withColumn("_thin", F.lit(True))
         .drop("_n")
     )
-    # Only thin groups are listed, so a hot class is at most a few rows here and
-    # the salted join keeps its products apart.
+    # Only thin groups are listed; a hot class is at most a few rows here.
     label = F.when(F.col("_thin"), F.lit(labels[-1])).otherwise(F.col(label_col))
-    return skew_join(df, counts, [class_col, label_col], "left").withColumn(label_col, label).select(*df.columns)
+    return df.join(counts, [class_col, label_col], "left").withColumn(label_col, label).select(*df.columns)
 
 
 def tier_counts(df: DataFrame, class_col: str, label_col: str = "segmentation") -> DataFrame:
@@ -218,7 +211,7 @@ def attach_segment(
     By product alone a product tiered in several classes, or under several
     descriptions, repeats its purchases; join on class and product to avoid it.
     """
-    return skew_join(purchases, tiers.select(*on, label_col), list(on), "left")
+    return purchases.join(tiers.select(*on, label_col), list(on), "left")
 
 
 def segment_per_product(tiers: DataFrame, product_col: str = "product_number") -> DataFrame:

@@ -11,7 +11,6 @@ from spendloom.config import CLASS_SCOPE
 from spendloom.functions.numbers import round_to_int, to_number, year_of
 from spendloom.functions.text import in_scope, trimmed
 from spendloom.operators.attributes import distinct_values
-from spendloom.operators.joins import skew_join
 from spendloom.operators.lookups import keep_first
 
 #: Most year columns a discovered pivot may get.
@@ -124,7 +123,7 @@ def enrich_year_rows(year_rows: DataFrame, segments: DataFrame, suffix: str = "_
     description is filled from there.
     """
     clashes = {c: c + suffix for c in segments.columns if c in year_rows.columns and c != "product_number"}
-    joined = skew_join(year_rows, segments.withColumnsRenamed(clashes), "product_number", "left")
+    joined = year_rows.join(segments.withColumnsRenamed(clashes), "product_number", "left")
     return fill_missing(joined, "product_description", "product_description" + suffix)
 
 
@@ -139,7 +138,7 @@ def fill_missing(df: DataFrame, column: str, source: str) -> DataFrame:
 def fill_from_map(df: DataFrame, lookup: DataFrame, key: str, column: str) -> DataFrame:
     """Fill a column, or add it, from a key -> value table; of several values the largest."""
     values = lookup.dropna(subset=[key]).groupBy(key).agg(F.max(column).alias("_mapped"))
-    joined = skew_join(df, values, key, "left")
+    joined = df.join(values, key, "left")
     return fill_missing(joined, column, "_mapped").drop("_mapped")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,12 +12,10 @@ from spendloom.config import DETAIL_NAMES
 from spendloom.functions.text import non_blank, strip_id_prefix, trimmed
 from spendloom.operators.attributes import (
     candidate_ids,
-    detail_names,
     first_detail,
     pivot_details,
     unpivot_details,
 )
-from spendloom.operators.joins import skew_join
 
 DETAIL_SCHEMA = "product_number string, detail_name string, detail_value string"
 
@@ -25,7 +24,7 @@ def details_from_enrichment(enrichment: DataFrame, numbers: DataFrame) -> DataFr
     """Details of the products in a wide table keyed by product number."""
     wanted = numbers.select(non_blank(F.col("product_number").cast("string")).alias("product_number"))
     rows = enrichment.withColumn("product_number", F.col("product_number").cast("string"))
-    kept = skew_join(rows, wanted.dropna().distinct(), "product_number", "left_semi")
+    kept = rows.join(wanted.dropna().distinct(), "product_number", "left_semi")
     return first_detail(unpivot_details(kept, display_names=False))
 
 
@@ -39,12 +38,10 @@ def details_from_long(
     """Details of the ids in a long table, for the given names or for all."""
     rows = product_data
     if isinstance(names, DataFrame):
-        # Discovered names: at most the allowed ones or the ten most frequent.
-        wanted = F.broadcast(names.select(F.col("detail_name").alias("attribute_name")))
-        rows = rows.join(wanted, "attribute_name", "left_semi")
+        rows = rows.join(names.select(F.col("detail_name").alias("attribute_name")), "attribute_name", "left_semi")
     elif names is not None:
         rows = rows.filter(F.col("attribute_name").isin(*names))
-    kept = skew_join(rows, ids, "product_id", "left_semi")
+    kept = rows.join(ids, "product_id", "left_semi")
     return kept.select(
         trimmed(strip_id_prefix(F.col("product_id"))).alias("product_number"),
         trimmed(F.col("attribute_name").cast("string")).alias("detail_name"),
@@ -54,7 +51,7 @@ def details_from_long(
 
 def details_from_wide(product_data: DataFrame, ids: DataFrame) -> DataFrame:
     """Details of the ids in a table with one column per attribute."""
-    kept = skew_join(product_data, ids, "product_id", "left_semi")
+    kept = product_data.join(ids, "product_id", "left_semi")
     if "product_number" not in kept.columns:
         kept = kept.withColumn("product_number", strip_id_prefix(F.col("product_id").cast("string")))
     return first_detail(unpivot_details(kept, skip=["product_id"]))
@@ -69,27 +66,29 @@ def fetch_details(
 ) -> DataFrame:
     """(product_number, detail_name, detail_value) of the products, one value each.
 
-    The first source with any row is used: the enrichment table, the long
-    product table with the known names, the wide product table, the long table
-    with the names found in it. Which sources apply is decided on their schema.
+    Sources in order: the enrichment table, then the long product table with the known names and with
+    any names, or the wide product table. Each product takes the first source that has it. All of it is
+    one lazy plan; which sources apply is decided on their schema.
     """
+    sources = []
     if enrichment is not None and "product_number" in enrichment.columns:
-        details = details_from_enrichment(enrichment, numbers)
-        if not details.isEmpty():
-            return details
-    empty = numbers.sparkSession.createDataFrame([], DETAIL_SCHEMA)
-    if product_data is None:
-        return empty
-    ids = candidate_ids(numbers)
-    if not is_long(product_data):
-        return details_from_wide(product_data, ids)
-    known = details_from_long(product_data, ids)
-    if not known.isEmpty():
-        return first_detail(known)
-    if discover_names:
-        found = detail_names(details_from_long(product_data, ids, None))
-        return first_detail(details_from_long(product_data, ids, found))
-    return empty
+        sources.append(details_from_enrichment(enrichment, numbers))
+    if product_data is not None:
+        ids = candidate_ids(numbers)
+        if not is_long(product_data):
+            sources.append(details_from_wide(product_data, ids))
+        else:
+            sources.append(details_from_long(product_data, ids))
+            if discover_names:
+                sources.append(details_from_long(product_data, ids, None))
+    if not sources:
+        return numbers.sparkSession.createDataFrame([], DETAIL_SCHEMA)
+    columns = ["product_number", "detail_name", "detail_value"]
+    ranked = reduce(
+        DataFrame.unionByName, [s.select(*columns, F.lit(rank).alias("_source")) for rank, s in enumerate(sources)]
+    )
+    best = ranked.groupBy("product_number").agg(F.min("_source").alias("_source"))
+    return first_detail(ranked.join(best, ["product_number", "_source"], "left_semi").select(*columns))
 
 
 def product_details(

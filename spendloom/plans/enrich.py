@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from spendloom.config import EnrichmentScope
 from spendloom.functions.text import attribute_key, merge_text
 from spendloom.operators.attributes import list_values, pivot_values
-from spendloom.operators.joins import skew_join
 
 
 def attributes_per_product(values: DataFrame, scope: EnrichmentScope) -> DataFrame:
@@ -45,6 +44,6 @@ def enrich_purchases(
     """
     attributes = attributes_per_product(values, scope)
     rows = purchases.withColumn("product_number", F.col("product_number").cast("string")).distinct()
-    return skew_join(rows, attributes, "product_number", "left").select(
+    return rows.join(attributes, "product_number", "left").select(
         *purchases.columns, *scope.outputs.values()
     )

@@ -9,7 +9,6 @@ from spendloom.config import ATTRIBUTE_ID_PREFIX, ITEM_BRAND_GROUPS, SALES_BRAND
 from spendloom.functions.text import group_of
 from spendloom.operators.attributes import pivot_values
 from spendloom.operators.columns import stage_string_keys
-from spendloom.operators.joins import lookup_join, skew_join
 from spendloom.operators.lookups import stop_flag
 
 ITEM_COLUMNS = (
@@ -53,10 +52,10 @@ def items_in_scope(
     classes = hierarchy.select(F.col("class4_number").alias("key_class4_number"), *HIERARCHY_COLUMNS)
     brand_types = brands.select("key_brand_identifier", F.col("brand_type").alias("_brand_type"))
     published = items.filter(F.col("publishable_in_country").isNotNull())
-    joined = lookup_join(published, classes, "key_class4_number")
+    joined = published.join(classes, "key_class4_number", "left")
     if scope.class2:
         joined = joined.filter(F.col("class2_description").isin(*scope.class2))
-    joined = lookup_join(joined, brand_types, "key_brand_identifier").join(dimension, "id", "left")
+    joined = joined.join(brand_types, "key_brand_identifier", "left").join(dimension, "id", "left")
     is_sized = F.lower("item_description_eng").contains(scope.dimension_word) & (
         F.col("class3_description") == scope.dimension_class3
     )
@@ -81,16 +80,6 @@ def purchases_by_year(purchases: DataFrame) -> DataFrame:
     )
 
 
-def purchase_rows(purchases: DataFrame) -> DataFrame:
-    """Purchase rows as they are."""
-    return purchases.select(
-        F.col("product_number").cast("string").alias("item_number"),
-        F.col("year_authorization").alias("purchase_year_authorization"),
-        "purchase_amount_eur",
-        "purchase_quantity",
-    )
-
-
 def build_orders(
     sales: DataFrame,
     items: DataFrame,
@@ -102,15 +91,11 @@ def build_orders(
     companies: DataFrame,
     purchases: DataFrame,
     scope: OrderScope,
-    *,
-    every_purchase_row: bool = False,
 ) -> DataFrame:
     """Sales lines of active items in scope, with the purchases of the item.
 
     Purchases come as one row per year, so a sales line is repeated at most once
-    per year. `every_purchase_row` pairs it with each purchase row instead; a
-    product with m sales and n purchases then has m x n rows, so use that on
-    small extracts only. Either way, do not sum the sales measures afterwards.
+    per year. Do not sum the sales measures afterwards.
     """
     sold = items_sold(stage_string_keys(sales, ["product_number"]), scope.after_year)
     active = stop_flag(company_products, products, companies, scope.company_prefix).filter(
@@ -120,14 +105,8 @@ def build_orders(
     scoped = stage_string_keys(wanted, ["item_number"]).join(
         active.withColumnRenamed("product_number", "item_number"), "item_number"
     )
-    if not every_purchase_row:
-        scoped = scoped.join(purchases_by_year(purchases), "item_number", "left")
-    lines = skew_join(
-        sold, scoped.withColumn("product_number", F.col("item_number")), "product_number", "inner"
-    )
-    if every_purchase_row:
-        lines = skew_join(lines, purchase_rows(purchases), "item_number", "left")
-    extra = [] if every_purchase_row else ["purchase_rows"]
+    scoped = scoped.join(purchases_by_year(purchases), "item_number", "left")
+    lines = sold.join(scoped.withColumn("product_number", F.col("item_number")), "product_number", "inner")
     return lines.select(
         *sales.columns,
         *wanted.columns,
@@ -135,5 +114,5 @@ def build_orders(
         "purchase_year_authorization",
         "purchase_amount_eur",
         "purchase_quantity",
-        *extra,
+        "purchase_rows",
     )

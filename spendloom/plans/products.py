@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from spendloom.config import ATTRIBUTE_ID_PREFIX, PRODUCT_RULES, PRODUCT_RULES_MIN, AttributeRule
 from spendloom.operators.attributes import clean_values, pivot_by_rules
 from spendloom.operators.columns import safe_columns, stage_string_keys
-from spendloom.operators.joins import lookup_join
 
 _VALUE_KEYS = ("id", "attribute_id", "value")
 
@@ -48,7 +47,7 @@ def build_products(
     they meet the bricks.
     """
     english = _attribute_names(meta).filter(F.col("name_eng").isNotNull())
-    wide = pivot_by_rules(lookup_join(attribute_values(values), english, "attribute_id", "inner"), ["id"], rules)
+    wide = pivot_by_rules(attribute_values(values).join(english, "attribute_id", "inner"), ["id"], rules)
     bricks = product_bricks(rel, hierarchy).select("product_id", "brick_id").dropna(subset=["product_id"]).distinct()
     return bricks.join(wide.withColumnRenamed("id", "product_id"), "product_id").select(
         "product_id", "brick_id", *[r.output for r in rules]
@@ -59,5 +58,5 @@ def build_products_min(
     values: DataFrame, meta: DataFrame, rules: Sequence[AttributeRule] = PRODUCT_RULES_MIN
 ) -> DataFrame:
     """One row per product with a few columns; attributes without a name are kept."""
-    named = lookup_join(attribute_values(values), _attribute_names(meta), "attribute_id", "left")
+    named = attribute_values(values).join(_attribute_names(meta), "attribute_id", "left")
     return pivot_by_rules(named, ["id"], rules).withColumnRenamed("id", "product_id")

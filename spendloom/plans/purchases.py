@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from spendloom.config import CLASS_SCOPE, PURCHASE_KEYS, PurchaseScope
 from spendloom.functions.text import class_code, equals_normalised, in_scope
 from spendloom.operators.columns import stage_string_keys
-from spendloom.operators.joins import skew_join
 from spendloom.operators.lookups import any_value_per_key, stop_flag
 
 
@@ -52,7 +51,7 @@ def build_purchases(
         .join(rounding, "product_number", "left")
         .join(brand_ids.distinct(), "product_number", "left")
     )
-    return skew_join(fact, lookup, "product_number", "inner").select(
+    return fact.join(lookup, "product_number", "inner").select(
         *purchases.columns, "key_brand_identifier", "purchase_stop_ind", "sales_rounding"
     )
 

@@ -1,23 +1,11 @@
-"""Session helpers: local sessions for tests, shared scratch space, input sizes."""
+"""Session helpers: local sessions for tests, shared scratch space."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Inputs whose files add up to less than this need no skew handling: even one
-#: key holding every row then fits a single task.
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-
-#: Small tables of at least this size are worth spreading over the cores.
-SPREAD_BYTES = 4 * 1024 * 1024
-
-#: Lookups whose files add up to less than this are broadcast.
-BROADCAST_BYTES = 8 * 1024 * 1024
-
-
 def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """Local session for tests and the bench; clusters bring their own session."""
     builder = (
@@ -39,19 +27,12 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder that driver and executors share, as the session names it.
 
-    A machine-local folder is made up only for a local master without the setting.
+    Sessions without `spark.checkpoint.dir` use a folder of their warehouse, which is shared too.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="spendloom-")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -65,31 +46,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Total size of the tables `df` reads, from the plan's own statistics; no job.
-
-    Sums the leaves, because Spark's estimate for a join without column
-    statistics is the product of both sides. Unknown sizes count as huge.
-    """
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    return input_bytes(df) <= (SMALL_INPUT_BYTES if limit is None else limit)
-
-
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small table, which one task would read whole, over all cores.
-
-    Larger tables have splits enough and are left as they are; so are tiny ones.
-    """
-    if SPREAD_BYTES <= input_bytes(df) <= SMALL_INPUT_BYTES:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
-    return df
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Write dispositions and the Spark save modes they stand for.
@@ -49,23 +50,31 @@ def table_schema(spark: SparkSession, table: str) -> StructType:
     return spark.table(table).schema
 
 
+def _files(frame: DataFrame):
+    """Size and newest modification time of the files of a table."""
+    files = frame.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return files.agg(
+        F.coalesce(F.sum("file_size"), F.lit(0)).alias("size"), F.max("file_modification_time").alias("modified")
+    ).first()
+
+
 def table_info(spark: SparkSession, table: str) -> dict[str, Any]:
-    """Rows, columns, size, creation time, location and the schema of a table."""
+    """Rows, columns, size, creation and modification time, location and the schema of a table."""
     details = {
         r["col_name"]: r["data_type"]
         for r in spark.sql("DESCRIBE TABLE EXTENDED IDENTIFIER(:t)", args={"t": table}).collect()
     }
     described = spark.catalog.getTable(table)
     frame = spark.table(table)
-    size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    files = _files(frame)
     return {
         "table": described.name,
         "database": ".".join(described.namespace or []),
         "num_rows": frame.count(),
         "num_columns": len(frame.columns),
-        "size_bytes": int(str(size)),
+        "size_bytes": files.size,
         "created": details.get("Created Time"),
-        "modified": details.get("Last Access"),
+        "modified": files.modified,
         "location": details.get("Location"),
         "schema": [
             {

@@ -12,14 +12,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 from spendloom.functions.text import safe_slug
 from spendloom.sources.catalog import run_sql
 
-#: Longest name of an exported table.
-MAX_NAME = 31
-
-
 def write_csv(df: DataFrame, path: str, add_timestamp: bool = True) -> str:
-    """Write CSV files with a header below `path`, which is returned as used."""
-    target = f"{path}_{datetime.now():%Y%m%d_%H%M%S}.csv" if add_timestamp else f"{path}.csv"
-    df.write.option("header", True).csv(target)
+    """Write CSV files with a header below `path`, which is returned as used; what stood there is replaced."""
+    target = f"{path}_{datetime.now():%Y%m%d_%H%M%S_%f}.csv" if add_timestamp else f"{path}.csv"
+    df.write.mode("overwrite").option("header", True).csv(target)
     return target
 
 
@@ -28,14 +24,14 @@ def query_to_csv(spark: SparkSession, sql: str, path: str, add_timestamp: bool =
 
 
 def safe_table_name(name: str) -> str:
-    return name[:MAX_NAME].replace(":", "_").replace("/", "_")
+    return name.replace(":", "_").replace("/", "_")
 
 
 def write_tables(tables: Mapping[str, DataFrame], path: str, file_format: str = "parquet") -> list[str]:
     """Write each table to its own folder below `path`; returns the folders."""
     names = [safe_table_name(n) for n in tables]
     if len(set(names)) < len(names):
-        raise ValueError(f"table names are not distinct once shortened: {names}")
+        raise ValueError(f"table names are not distinct as folder names: {names}")
     written = []
     for name, df in zip(names, tables.values()):
         target = f"{path}/{name}"
@@ -52,17 +48,24 @@ def export_by_class(df: DataFrame, path: str, class_col: str = "class4", file_fo
     being written by one task.
     """
     slug = f"{class_col}_slug"
-    named = df.filter(F.col(class_col).isNotNull()).withColumn(slug, safe_slug(F.col(class_col)))
+    text = F.col(class_col).cast("string")
+    # classes with one slug get folders of their own
+    distinct_slug = F.when(safe_slug(text) == text, text).otherwise(F.concat(safe_slug(text), F.lit("-"), F.hex(F.crc32(text))))
+    named = df.filter(text.isNotNull()).withColumn(slug, distinct_slug)
     gathered = named.hint("rebalance", F.col(slug))
     gathered.write.mode("overwrite").option("header", True).partitionBy(slug).format(file_format).save(path)
     folder = F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1).alias("folder")
-    written = df.sparkSession.read.option("header", True).format(file_format).load(path)
+    written = df.sparkSession.read.schema(named.schema).option("header", True).format(file_format).load(path)
     return written.select(slug, folder).distinct()
 
 
 def read_export(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
     """Rows of an export with the file each one comes from."""
-    rows = spark.read.option("header", True).format(file_format).load(path)
+    reader = spark.read.option("header", True).format(file_format)
+    schema = reader.load(path).schema
+    # slugs are text, also where they look like numbers
+    fields = [StructField(f.name, StringType()) if f.name.endswith("_slug") else f for f in schema]
+    rows = reader.schema(StructType(fields)).load(path)
     return rows.withColumn("source_file", F.col("_metadata.file_name"))
 
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from spendloom.verification.queries import SCOPE, YEARS
+from spendloom.functions.names import similar_names, standard_names
+from spendloom.operators.columns import NUMBERED_NAMES
+from spendloom.verification.queries import SCOPE
+
+#: The years in the test tables; SQL needs its columns named.
+YEARS = range(1995, 2002)
 
 _SCOPE = ", ".join(f"'{c}'" for c in SCOPE)
 _SPACES = "' ' || chr(9) || chr(10) || chr(13)"
@@ -41,15 +46,16 @@ CREDITS = """credits AS (
   FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
 
 
-def _tiers(source: str, spend: str, labels: str, cuts: list[str], minimum: int, name: str = "tiers") -> str:
+def _tiers(source: str, spend: str, labels: str, cuts: list[str], minimum: int, name: str = "tiers",
+           ties: str = "product_number, product_description", money_type: str = "DECIMAL(28,2)") -> str:
     """Tiering as plain windows over `source`."""
-    money = f"CAST({spend} AS DECIMAL(28,2))"
+    money = f"CAST({spend} AS {money_type})"
     arms = " ".join(f"WHEN running <= {cut} * total THEN '{label}'" for label, cut in zip(labels, cuts))
     last = labels[-1]
     return f"""{name}_run AS (
-  SELECT *, CAST(sum({money}) OVER (PARTITION BY class4 ORDER BY {money} DESC NULLS LAST, product_number
-                               ROWS UNBOUNDED PRECEDING) AS DECIMAL(28,2)) AS running,
-         CAST(coalesce(sum({money}) OVER (PARTITION BY class4), 0) AS DECIMAL(28,2)) AS total
+  SELECT *, CAST(sum({money}) OVER (PARTITION BY class4 ORDER BY {money} DESC NULLS LAST, {ties}
+                               ROWS UNBOUNDED PRECEDING) AS {money_type}) AS running,
+         CAST(coalesce(sum({money}) OVER (PARTITION BY class4), 0) AS {money_type}) AS total
   FROM {source}),
 {name}_raw AS (
   SELECT *, CASE WHEN total > 0 AND {spend} IS NOT NULL
@@ -65,7 +71,9 @@ def _tiers(source: str, spend: str, labels: str, cuts: list[str], minimum: int,
 
 
 TIERS = SPEND + ",\n" + _tiers("spend", "purchase_amount_eur", "ABCDE", ["0.8", "0.95", "0.99", "0.999"], 5)
-CREDIT_TIERS = CREDITS + ",\n" + _tiers("credits", "balance", "ABCDE", ["0.8", "0.95", "0.99", "0.999"], 0)
+CREDIT_TIERS = CREDITS + ",\n" + _tiers(
+    "credits", "balance", "ABCDE", ["0.8", "0.95", "0.99", "0.999"], 0, ties="product_number"
+)
 ABC = SPEND + ",\n" + _tiers("spend", "purchase_amount_eur", "ABC", ["0.8", "0.95"], 0)
 
 _EUR = "CAST(purchase_amount_eur AS DOUBLE) AS purchase_amount_eur"
@@ -271,10 +279,13 @@ DETAILS = """long AS (
 wanted AS (
   SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS product_number
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal < 0),
+asked AS (
+  SELECT *, detail_name IN ('Unit', 'Material', 'Head shape', 'Length') AS known
+  FROM long JOIN wanted USING (product_number) WHERE detail_name IS NOT NULL),
 details AS (
   SELECT product_number, detail_name, min(detail_value) AS detail_value
-  FROM long JOIN wanted USING (product_number)
-  WHERE detail_name IN ('Unit', 'Material', 'Head shape', 'Length') GROUP BY 1, 2)"""
+  FROM asked JOIN (SELECT product_number, bool_or(known) AS any_known FROM asked GROUP BY 1) USING (product_number)
+  WHERE known OR NOT any_known GROUP BY 1, 2)"""
 
 WIDE = """wide AS (
   SELECT CAST(p_partkey AS VARCHAR) AS product_number, 'Material' AS detail_name,
@@ -325,8 +336,66 @@ def _with(*ctes: str) -> str:
 def _title(name: str) -> str:
     return " ".join(w.capitalize() for w in name.split("_"))
 
+FOUR = """four_spend AS (
+  SELECT p_brand AS class4, CAST(p_partkey AS VARCHAR) AS product_number, d AS product_description, purchase_amount_eur
+  FROM part JOIN (SELECT l_partkey, sum(CAST(l_tax * l_discount AS DECIMAL(18,4))) AS purchase_amount_eur
+                  FROM lineitem GROUP BY 1) ON l_partkey = p_partkey, unnest([p_name, p_type]) AS u(d))"""
+FOUR_TIERS = FOUR + ",\n" + _tiers(
+    "four_spend", "purchase_amount_eur", "ABCDE", ["0.8", "0.95", "0.99", "0.999"], 5, money_type="DECIMAL(28,4)"
+)
+
+_TOTALS = "SELECT count(*) AS rows, round(CAST(sum(purchase_amount_eur) AS DOUBLE), 2) AS spend"
+
+ODD_DETAILS = """odd AS (
+  SELECT product_number, detail_value, product_id FROM long JOIN wanted USING (product_number))"""
+
+
+def _missing() -> str:
+    """Missing values of the preprocessed purchases: nearly equal names count as one column."""
+    names = standard_names(_PURCHASE_COLUMNS)
+    groups = similar_names(names, 0.8, NUMBERED_NAMES)
+    absorbed = {n for others in groups.values() for n in others}
+    source = dict(zip(names, _PURCHASE_COLUMNS))
+    rows = []
+    for name in names:
+        if name not in absorbed:
+            columns = ", ".join(f"CAST({source[n]} AS VARCHAR)" for n in (name, *groups.get(name, [])))
+            rows.append(f"SELECT '{name}' AS column_name, count(*) - count(coalesce({columns})) AS missing FROM purchases")
+    return " UNION ALL ".join(rows)
+
+
 
 ORACLE: dict[str, str] = {
+    "tiers_four_decimals": _with(FOUR_TIERS)
+    + "SELECT * REPLACE (CAST(purchase_amount_eur AS DOUBLE) AS purchase_amount_eur) FROM tiers",
+    "kmeans_tiers": _with(SPEND) + _TOTALS + ", 5 AS labels, 0 AS overlaps FROM spend",
+    "gmm_tiers": _with(SPEND) + _TOTALS + " FROM spend",
+    "product_clusters": _with(SPEND) + _TOTALS.replace("count(*)", "count(DISTINCT product_number)") + ", true AS candidate FROM spend",
+    "report_tables": _with(PURCHASES, TIERS, YEAR_ROWS, SEGMENTS, SPLIT)
+    + """SELECT 'product_spend' AS name, count(*) AS rows, round(CAST(sum(purchase_amount_eur) AS DOUBLE), 2) AS total FROM spend
+UNION ALL SELECT 'tiers', count(*), round(CAST(sum(purchase_amount_eur) AS DOUBLE), 2) FROM tiers
+UNION ALL SELECT 'purchases', count(*), round(CAST(sum(p.purchase_amount_eur) AS DOUBLE), 2)
+  FROM purchases p LEFT JOIN tiers t USING (product_number)
+UNION ALL SELECT 'summary', count(DISTINCT (class4, segmentation)), round(CAST(sum(purchase_amount_eur) AS DOUBLE), 2) FROM tiers
+UNION ALL SELECT 'reconciliation', 1, round(CAST(sum(purchase_amount_eur) AS DOUBLE), 2) FROM purchases
+UNION ALL SELECT 'year_quantity', count(*), round(CAST(sum(purchase_quantity) AS DOUBLE), 2) FROM year_rows
+UNION ALL SELECT 'year_split', count(*), NULL FROM split""",
+    "detail_fetch_discovered": _with(DETAILS)
+    + """SELECT product_number, 'Odd ' || (l_name % 13) AS detail_name, min(detail_value) AS detail_value
+FROM (SELECT product_number, detail_value, length(detail_value) * 7 + ascii(detail_value) + ascii(right(detail_value, 1)) AS l_name
+      FROM long JOIN wanted USING (product_number)) GROUP BY 1, 2""",
+    "detail_fetch_mixed": _with(DETAILS)
+    + """SELECT CAST(p_partkey AS VARCHAR) AS product_number, d.n AS detail_name, d.v AS detail_value
+FROM part JOIN wanted ON product_number = CAST(p_partkey AS VARCHAR),
+     unnest([{'n': 'size', 'v': CAST(p_size AS VARCHAR)}, {'n': 'make', 'v': p_brand}]) AS u(d)
+WHERE p_partkey % 3 = 0 AND d.v IS NOT NULL
+UNION ALL SELECT * FROM details WHERE CAST(product_number AS BIGINT) % 3 <> 0""",
+    "number_text": """SELECT c_custkey, CASE WHEN c_custkey % 7 IN (0, 1) OR c_custkey % 5 IN (0, 1) THEN 0.0
+  WHEN c_custkey % 5 = 3 THEN c_nationkey * 10.0 ELSE CAST(c_nationkey AS DOUBLE) END AS total_spend FROM customer""",
+    "odd_space_scope": f"SELECT p_partkey, p_brand AS class4 FROM part WHERE lower(p_brand) IN ({_SCOPE})",
+    "harmonize_mixed": """SELECT p_partkey, CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) ELSE p_brand END AS brand_name FROM part""",
+    "renamed_columns": "SELECT p_partkey, p_name AS name, p_brand AS class3 FROM part",
+    "preprocess_report": _with(PURCHASES) + _missing(),
     "abcde_tiers": _with(TIERS) + _TIER_ROWS,
     "abcde_tiers_blocks": _with(TIERS) + _TIER_ROWS,
     "abc_tiers": _with(ABC) + _TIER_ROWS,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spendloom.config import ABCDE, EnrichmentScope, OrderScope, PurchaseScope, SALES_BRAND_GROUPS, TierScheme
 from spendloom.functions import text
+from spendloom.functions.names import resolve_column
 from spendloom.functions.numbers import year_of
 from spendloom.operators import attributes, clustering, columns, lookups, profile, tiers, years
 from spendloom.plans import details, enrich as enrichment, orders, products, purchases, segmentation
@@ -29,7 +30,6 @@ PURCHASES = PurchaseScope(
     brand="red", company_prefix="Acme", class2_code="2", after_year=1996, classes=SCOPE, exclude_product="01$"
 )
 ORDERS = OrderScope(company_prefix="Acme", after_year=1997, dimension_word="bolt")
-YEARS = range(1995, 2002)
 
 
 def query(function: Query) -> Query:
@@ -61,8 +61,8 @@ def abcde_tiers(spark, d):
 
 @query
 def abcde_tiers_blocks(spark, d):
-    """The form for large inputs: sorted blocks instead of one window per class."""
-    return plain(_tiers(spark, d, blocks=16))
+    """The same with finer blocks."""
+    return plain(_tiers(spark, d, per_doubling=64))
 
 
 @query
@@ -85,7 +85,7 @@ def credit_tiers(spark, d):
 def credit_tiers_blocks(spark, d):
     scheme = TierScheme(min_products=0)
     return plain(
-        tiers.tier_products(roles.credits(spark, d), "class4", "product_number", "balance", scheme, blocks=16)
+        tiers.tier_products(roles.credits(spark, d), "class4", "product_number", "balance", scheme, per_doubling=64)
     )
 
 
@@ -129,26 +129,66 @@ def reconcile(spark, d):
 
 @query
 def segmentation_report(spark, d):
-    report = segmentation.segmentation_report(roles.purchases(spark, d), classes=SCOPE, years=YEARS)
+    report = segmentation.segmentation_report(roles.purchases(spark, d), classes=SCOPE)
     return plain(report["year_split"])
 
 
+@query
+def report_tables(spark, d):
+    """Rows of every table of the report, and what its spend columns add up to."""
+    report = segmentation.segmentation_report(roles.purchases(spark, d), classes=SCOPE)
+    sums = {"product_spend": SPEND, "tiers": SPEND, "purchases": SPEND, "summary": "spend_total", "reconciliation": "raw_total", "year_quantity": "purchase_quantity"}
+    tables = []
+    for name, df in report.items():
+        total = F.sum(sums[name]) if name in sums else F.lit(None)
+        tables.append(df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.round(total.cast("double"), 2).alias("total")))
+    return reduce(DataFrame.union, tables)
+
+
+@query
+def tiers_four_decimals(spark, d):
+    """Small spends of four decimals, each product under two descriptions of equal spend."""
+    parts = roles.table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("class4"), F.explode(F.array("p_name", "p_type")).alias("product_description"))
+    taxes = roles.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey"))
+    spend = taxes.agg(F.sum((F.col("l_tax") * F.col("l_discount")).cast("decimal(18,4)")).alias(SPEND))
+    rows = parts.join(spend, "p_partkey").withColumn("product_number", F.col("p_partkey").cast("string")).drop("p_partkey")
+    return plain(tiers.tier_products(rows, *TIER_ARGS))
+
+
+def _ranges(df: DataFrame, label: str, value: str) -> DataFrame:
+    """What any right labelling gives: rows, spend, labels in use, and pairs of labels whose ranges overlap."""
+    each = df.groupBy(label).agg(
+        F.count("*").alias("rows"), F.sum(value).alias("spend"), F.min(value).alias("low"), F.max(value).alias("high")
+    )
+    everything = each.agg(
+        F.sum("rows").alias("rows"), F.sum("spend").cast("double").alias("spend"), F.count("*").alias("labels"),
+        F.collect_list(F.struct("low", "high")).alias("ranges"),
+    )
+    over = F.size(F.filter("ranges", lambda a: F.size(F.filter("ranges", lambda b: (b["low"] < a["low"]) & (a["low"] <= b["high"]))) > 0))
+    return everything.select("rows", F.round("spend", 2).alias("spend"), "labels", over.alias("overlaps"))
+
+
 @query
 def kmeans_tiers(spark, d):
-    return plain(clustering.kmeans_tiers(_spend(spark, d), SPEND))
+    return _ranges(clustering.kmeans_tiers(_spend(spark, d), SPEND), "segmentation", SPEND)
 
 
 @query
 def gmm_tiers(spark, d):
-    return plain(clustering.gmm_tiers(_spend(spark, d), SPEND))
+    """Ranges of a mixture may overlap, so only the rest is compared."""
+    return _ranges(clustering.gmm_tiers(_spend(spark, d), SPEND), "segmentation", SPEND).drop("overlaps", "labels")
 
 
 @query
 def product_clusters(spark, d):
+    """The chosen number of clusters is one of the candidates, and every product has a cluster."""
     per_product = roles.purchases(spark, d).groupBy("product_number").agg(
         F.sum(SPEND).cast("double").alias("spend"), F.sum("purchase_quantity").alias("quantity")
     )
-    return clustering.ProductClustering(["spend", "quantity"], candidates=(2, 3, 4)).run(per_product)
+    found = clustering.ProductClustering(["spend", "quantity"], candidates=(2, 3, 4)).run(per_product)
+    return found.agg(
+        F.count("*").alias("rows"), F.round(F.sum("spend"), 2).alias("spend"), F.countDistinct("cluster").isin(2, 3, 4).alias("candidate")
+    )
 
 
 # --- Purchases ---------------------------------------------------------------------
@@ -349,6 +389,25 @@ def detail_fetch_wide(spark, d):
     return details.fetch_details(roles.detail_numbers(spark, d), product_data=roles.wide_products(spark, d))
 
 
+@query
+def detail_fetch_discovered(spark, d):
+    """Thirteen names, none of them known: all are found."""
+    value = text.trimmed(F.col("attribute_value"))
+    number = F.length(value) * 7 + F.ascii(value) + F.ascii(F.right(value, F.lit(1)))
+    odd = F.concat(F.lit("Odd "), (number % 13).cast("string"))
+    long = roles.long_details(spark, d).withColumn("attribute_name", odd)
+    return details.fetch_details(roles.detail_numbers(spark, d), product_data=long)
+
+
+@query
+def detail_fetch_mixed(spark, d):
+    """An enrichment table that has a third of the products; the others come from the long table."""
+    enriched = roles.table(spark, d, "part").filter("p_partkey % 3 = 0").select(
+        F.col("p_partkey").cast("string").alias("product_number"), F.col("p_size").alias("size"), F.col("p_brand").alias("make")
+    )
+    return details.fetch_details(roles.detail_numbers(spark, d), enriched, roles.long_details(spark, d))
+
+
 @query
 def detail_discovery(spark, d):
     long = roles.long_details(spark, d).withColumnRenamed("attribute_name", "detail_name")
@@ -408,12 +467,13 @@ def class_map(spark, d):
 
 @query
 def year_pivot(spark, d):
-    return years.pivot_years(_year_rows(spark, d), YEARS)
+    rows = _year_rows(spark, d)
+    return years.pivot_years(rows, years.known_years(rows))
 
 
 @query
 def year_split(spark, d):
-    return years.year_split(_year_rows(spark, d), _labels(spark, d), years=YEARS)
+    return years.year_split(_year_rows(spark, d), _labels(spark, d))
 
 
 @query
@@ -431,7 +491,7 @@ def year_fill(spark, d):
 @query
 def year_split_export(spark, d):
     path = scratch_path(spark, "year-split")
-    split = years.year_split(_year_rows(spark, d), _labels(spark, d), years=YEARS)
+    split = years.year_split(_year_rows(spark, d), _labels(spark, d))
     files.export_by_class(split, path)
     return files.read_export(spark, path).drop("source_file")
 
@@ -440,7 +500,7 @@ def year_split_export(spark, d):
 def merge_exports(spark, d):
     """A year split and a spend table, written and stacked by name."""
     path = scratch_path(spark, "merge")
-    split = years.year_split(_year_rows(spark, d), years=YEARS)
+    split = years.year_split(_year_rows(spark, d))
     spend = _spend(spark, d).withColumn(SPEND, F.col(SPEND).cast("double"))
     written = files.write_tables({"split": split, "spend": spend}, path)
     return files.merge_exports(spark, written).drop("source_file")
@@ -448,12 +508,12 @@ def merge_exports(spark, d):
 
 @query
 def year_metrics(spark, d):
-    return plain(years.year_metrics(roles.sales(spark, d), "product_number", YEARS))
+    return plain(years.year_metrics(roles.sales(spark, d), "product_number"))
 
 
 @query
 def year_totals(spark, d):
-    metrics = years.year_metrics(roles.sales(spark, d), "product_number", YEARS)
+    metrics = years.year_metrics(roles.sales(spark, d), "product_number")
     prefixes = ["turnover_eur", "quantity_sold", "orders"]
     totals = years.year_totals(metrics, prefixes)
     return plain(totals.select("product_number", *[f"{p}_total" for p in prefixes]))
@@ -461,7 +521,7 @@ def year_totals(spark, d):
 
 @query
 def super_summary(spark, d):
-    metrics = years.year_metrics(roles.sales(spark, d), "product_number", YEARS)
+    metrics = years.year_metrics(roles.sales(spark, d), "product_number")
     prefixes = ["turnover_eur", "margin_gross_eur", "orders"]
     return plain(years.summarize_totals(years.year_totals(metrics, prefixes), prefixes))
 
@@ -485,8 +545,8 @@ def describe(spark, d):
 
 @query
 def describe_blocks(spark, d):
-    """The form for large inputs: positions from sorted blocks."""
-    return _rounded(profile.describe_column(roles.table(spark, d, "lineitem"), "l_extendedprice", blocks=16))
+    """The same with finer blocks."""
+    return _rounded(profile.describe_column(roles.table(spark, d, "lineitem"), "l_extendedprice", per_doubling=64))
 
 
 def _counts(df: DataFrame) -> DataFrame:
@@ -563,6 +623,48 @@ def spend_column(spark, d):
     return columns.spend_column(rows)[0]
 
 
+@query
+def number_text(spark, d):
+    """Texts that a cast would take for numbers, and numbers with odd spaces around."""
+    suffix = F.element_at(F.array(*[F.lit(x) for x in ("d", "f", "", "e1", " ")]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    words = F.when(F.col("c_custkey") % 7 == 0, "Infinity").when(F.col("c_custkey") % 7 == 1, "NaN")
+    value = F.coalesce(words, F.concat(F.col("c_nationkey").cast("string"), suffix))
+    rows = roles.table(spark, d, "customer").select("c_custkey", value.alias("total_spend"))
+    return columns.spend_column(rows)[0]
+
+
+@query
+def odd_space_scope(spark, d):
+    """Classes in scope that stand between no-break and other spaces."""
+    space = F.element_at(F.array(F.lit("\u00a0"), F.lit("\u2003\t"), F.lit("\u3000 ")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    padded = roles.table(spark, d, "part").select("p_partkey", F.concat(space, "p_brand", space).alias("class4"))
+    return padded.filter(text.in_scope(F.col("class4"), SCOPE)).select("p_partkey", text.trimmed(F.col("class4")).alias("class4"))
+
+
+@query
+def harmonize_mixed(spark, d):
+    """Two columns of nearly one name, a number and a text."""
+    rows = roles.table(spark, d, "part").select(
+        "p_partkey", F.when(F.col("p_size") > 25, F.col("p_size")).alias("brand_name"), F.col("p_brand").alias("brand_names")
+    )
+    return columns.harmonize_columns(rows)
+
+
+@query
+def renamed_columns(spark, d):
+    """Renaming, selecting what exists, resolving a name and a class column."""
+    rows = columns.rename_columns(roles.table(spark, d, "part"), {"p_brand": "Class 3", "p_name": "item_name"})
+    found = columns.select_existing(rows, ["p_partkey", "item_name", "absent", "Class 3"])
+    name = resolve_column(found, ["missing", "Item Name"])
+    return found.select("p_partkey", F.col(name).alias("name"), columns.class_column(found))
+
+
+@query
+def preprocess_report(spark, d):
+    """What the preprocessed purchases miss, column by column."""
+    return columns.preprocess_report(roles.purchases(spark, d))[1]
+
+
 @query
 def amount_text(spark, d):
     rows = roles.table(spark, d, "supplier").select("s_suppkey", "s_acctbal").union(

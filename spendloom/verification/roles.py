@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spendloom.operators.joins import lookup_join, skew_join
-from spendloom.session import spread_small
 
 #: Schemas of the test tables, so that reading one starts no job.
 SCHEMAS = {
@@ -22,7 +20,6 @@ SCHEMAS = {
 }
 
 #: What tells the line items of a part, supplier, order or customer apart.
-_LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey")
 
 _PRODUCT = "CAST(l_partkey AS STRING)"
 _PRICE = "CAST(l_extendedprice AS DECIMAL(18,2))"
@@ -32,7 +29,7 @@ _BRAND_NUMBER = "CAST(substring(p_brand, 7) AS INT)"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small(df, "l_partkey") if name == "lineitem" else df
+    return df
 
 
 def _by_line(values: dict[int, str]) -> str:
@@ -43,15 +40,15 @@ def _by_line(values: dict[int, str]) -> str:
 def lines_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with their part; a part may hold most lines."""
     parts = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
-    return skew_join(table(spark, sf_dir, "lineitem"), parts, "l_partkey", "inner", spread=_LINE_KEY)
+    return table(spark, sf_dir, "lineitem").join(parts, "l_partkey", "inner")
 
 
 def purchase_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchase rows: line items with part, supplier and nation."""
     nations = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
-    suppliers = lookup_join(table(spark, sf_dir, "supplier"), nations, "s_nationkey", "inner")
+    suppliers = table(spark, sf_dir, "supplier").join(nations, "s_nationkey", "inner")
     suppliers = suppliers.withColumnRenamed("s_suppkey", "l_suppkey")
-    rows = lookup_join(lines_with_parts(spark, sf_dir), suppliers, "l_suppkey", "inner", spread=_LINE_KEY)
+    rows = lines_with_parts(spark, sf_dir).join(suppliers, "l_suppkey", "inner")
     return rows.selectExpr(
         "year(l_shipdate) AS year_authorization",
         "CAST(l_suppkey AS STRING) AS uniquevendorcode",
@@ -111,7 +108,7 @@ def part_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account balances, some negative, by nation."""
     nations = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
-    return lookup_join(table(spark, sf_dir, "customer"), nations, "c_nationkey", "inner").selectExpr(
+    return table(spark, sf_dir, "customer").join(nations, "c_nationkey", "inner").selectExpr(
         "n_name AS class4", "CAST(c_custkey AS STRING) AS product_number", "c_acctbal AS balance"
     )
 
@@ -146,8 +143,8 @@ def company_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales lines: line items with order and customer."""
     orders = table(spark, sf_dir, "orders").withColumnsRenamed({"o_orderkey": "l_orderkey", "o_custkey": "c_custkey"})
-    lines = skew_join(table(spark, sf_dir, "lineitem"), orders, "l_orderkey", "inner", spread=_LINE_KEY)
-    rows = skew_join(lines, table(spark, sf_dir, "customer"), "c_custkey", "inner", spread=_LINE_KEY)
+    lines = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey", "inner")
+    rows = lines.join(table(spark, sf_dir, "customer"), "c_custkey", "inner")
     brand_type = _by_line(
         {
             1: "Global A",
@@ -349,5 +346,5 @@ def long_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detail_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product numbers asked for: every part bought from a supplier in debt."""
     suppliers = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").selectExpr("s_suppkey AS l_suppkey")
-    bought = lookup_join(table(spark, sf_dir, "lineitem"), suppliers, "l_suppkey", "left_semi", spread=("l_partkey",))
+    bought = table(spark, sf_dir, "lineitem").join(suppliers, "l_suppkey", "left_semi")
     return bought.selectExpr(f"' ' || {_PRODUCT} AS product_number")

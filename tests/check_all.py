@@ -1,8 +1,4 @@
-"""Run every query against its SQL: python tests/check_all.py [--large] [sf_dir] [name ...].
-
---large makes every input count as large and every key with 40 rows as hot, so
-that all queries take the forms meant for skewed data.
-"""
+"""Run every query against its SQL: python tests/check_all.py [sf_dir] [name ...]."""
 
 from __future__ import annotations
 
@@ -16,19 +12,10 @@ from compare import connect, difference  # noqa: E402
 
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
 from spendloom import session  # noqa: E402
-from spendloom.operators import joins  # noqa: E402
-
-
-def treat_as_large(rows_per_task: int = 40) -> None:
-    session.SMALL_INPUT_BYTES = -1
-    joins.BROADCAST_BYTES = -1
-    joins.ROWS_PER_TASK = rows_per_task
 
 
 def main() -> int:
-    arguments = [a for a in sys.argv[1:] if a != "--large"]
-    if len(arguments) < len(sys.argv) - 1:
-        treat_as_large()
+    arguments = sys.argv[1:]
     sf_dir = arguments[0] if arguments else "/root/testdata/sf0.01"
     names = arguments[1:] or list(queries())
     spark, connection, failed = session.local_session(8), connect(sf_dir), 0

@@ -23,14 +23,3 @@ def spark(tmp_path_factory):
     )
     yield session
     session.stop()
-
-
-@pytest.fixture
-def large(monkeypatch):
-    """Every input counts as large and three rows make a key hot."""
-    from spendloom import session
-    from spendloom.operators import joins
-
-    monkeypatch.setattr(session, "SMALL_INPUT_BYTES", -1)
-    monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
-    monkeypatch.setattr(joins, "ROWS_PER_TASK", 3)

@@ -53,7 +53,9 @@ def test_names():
 def test_resolve_column(spark):
     df = spark.createDataFrame([(1, 2)], "`Group Vendor` int, spend int")
     assert names.resolve_column(df, ["crm", "group_vendor"]) == "Group Vendor"
-    assert names.resolve_column(df, ["nothing", "else"]) == "nothing"
+    assert names.resolve_column(df, ["Spend", "group vendor"]) == "spend"
+    with pytest.raises(ValueError, match="Group Vendor"):
+        names.resolve_column(df, ["nothing", "else"])
     with pytest.raises(ValueError):
         names.resolve_column(df, [])
 

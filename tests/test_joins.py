@@ -4,10 +4,9 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from spendloom import session
-from spendloom.operators.joins import hot_keys, lookup_join, skew_join
+from spendloom.operators.joins import salted_join
 from spendloom.operators.lookups import any_value_per_key, brand_map, keep_first, stop_flag
 from spendloom.operators.prefix import quantiles, running_totals
 
@@ -29,90 +28,46 @@ def sides(spark):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 @pytest.mark.parametrize("on", ["k", ["k", "j"]])
-@pytest.mark.parametrize("rows_per_task, spread", [(10, None), (10, ["v"]), (60, None), (1000, None)])
-def test_salted_join_equals_plain_join(sides, how, on, rows_per_task, spread):
+def test_salted_join_equals_plain_join(spark, sides, how, on):
     left, right = sides
+    hot = spark.createDataFrame([("hot", "y", 4), ("none", "y", 9)], "k string, j string, salts int")
     plain = left.join(right, on, how)
-    salted = skew_join(left, right, on, how, rows_per_task=rows_per_task, spread=spread)
+    salted = salted_join(left, right, on, how, hot=hot, spread=["v"])
     assert salted.columns == plain.columns
     assert rows_of(salted) == rows_of(plain)
 
 
-def test_hot_keys_are_split_by_size(sides):
-    left, _ = sides
-    found = {r["k"]: r["_salts"] for r in hot_keys(left, ["k"], 60)}
-    count = left.filter("k = 'hot'").count()
-    assert found == {"hot": -(-count // 60)}
-    assert hot_keys(left, ["k"], 1000) == []
-
-
-def test_only_rows_without_key_are_hot(spark):
-    left = spark.createDataFrame([(None, i) for i in range(30)] + [("a", 30)], "k string, v int")
-    right = spark.createDataFrame([("a", 1), (None, 2)], "k string, w int")
-    joined = skew_join(left, right, "k", rows_per_task=10)
-    assert rows_of(joined) == rows_of(left.join(right, "k", "left"))
-
-
-def test_spread_columns_keep_scans_narrow(spark):
-    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
-    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").withColumnRenamed("p_partkey", "l_partkey")
-    joined = skew_join(lines, parts, "l_partkey", "inner", spread=["l_orderkey"], rows_per_task=5)
-    totals = joined.filter("l_quantity > 10").groupBy("p_brand").agg(F.sum("l_tax"))
-    plan = totals._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThan(l_quantity,10.0)" in plan
-    assert "l_shipdate" not in plan and "l_returnflag" not in plan
-
-
-def test_salted_rows_reach_several_tasks(spark):
-    left = spark.range(4000).select(F.lit("hot").alias("k"), "id")
-    right = spark.createDataFrame([("hot", 1)], "k string, w int")
-    joined = skew_join(left, right.hint("merge"), "k", rows_per_task=500)
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert len(sizes) > 1 and sum(r["count"] for r in sizes) == 4000
-
-
-def test_lookup_join_beyond_the_broadcast_bound(sides, large):
-    left, right = sides
-    assert rows_of(lookup_join(left, right, "k")) == rows_of(left.join(right, "k", "left"))
-
-
-def test_input_bytes_adds_up_the_files(spark):
-    part = spark.read.parquet("/root/testdata/sf0.01/part.parquet")
-    size = session.input_bytes(part)
-    assert 0 < size < 64 * 1024
-    joined = part.join(part.withColumnRenamed("p_name", "n"), "p_partkey")
-    assert session.input_bytes(joined) == 2 * size
-    assert session.is_small(joined)
-
-
 def test_shared_dir_comes_from_the_session(spark):
     assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
 
 
-@pytest.mark.parametrize("blocks", [1, 3, 9])
-def test_running_totals(spark, blocks):
+@pytest.mark.parametrize("per_doubling", [1, 16])
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_totals(spark, per_doubling, descending):
     rng = random.Random(3)
-    rows = [(rng.choice(["a", "a", "a", "b"]), i, rng.randint(-5, 9)) for i in range(200)]
-    df = spark.createDataFrame(rows, "g string, i int, v bigint")
+    numbers = [None, 0.0, -0.0, 1e-20, -1e-20, 1e20, 3.0, 3.5, -7.25]
+    rows = [(rng.choice(["a", "a", "a", "b"]), rng.choice(numbers + [rng.uniform(-9, 9)] * 9), i, rng.randint(-5, 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, n double, i int, v bigint")
+
+    def place(row):
+        n = row[1]
+        return row[0], (n is None) == descending, 0 if n is None else -n if descending else n, row[2]
+
     run, totals, wanted = Counter(), Counter(), {}
-    for g, i, v in sorted(rows):
+    for g, _, i, v in sorted(rows, key=place):
         run[g] += v
         wanted[i] = run[g]
         totals[g] = run[g]
-    found = running_totals(df, ["g"], [F.col("i").asc()], "v", blocks=blocks).collect()
+    found = running_totals(df, ["g"], "n", "v", ["i"], descending=descending, per_doubling=per_doubling).collect()
     assert {r["i"]: r["running"] for r in found} == wanted
     assert all(r["total"] == totals[r["g"]] for r in found)
 
 
-@pytest.mark.parametrize("blocks", [1, 4])
-def test_quantiles_interpolate(spark, blocks):
+@pytest.mark.parametrize("per_doubling", [1, 16])
+def test_quantiles_interpolate(spark, per_doubling):
     df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 2.0, 4.0, None)], "v double")
-    row = quantiles(df, "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0}, blocks=blocks).first()
+    row = quantiles(df, "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0}, per_doubling=per_doubling).first()
     assert tuple(row) == (1.75, 2.0, 2.5, 4.0)
 
 

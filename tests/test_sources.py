@@ -27,7 +27,7 @@ def test_catalog(spark, table):
     assert catalog.table_schema(spark, table).names == ["id", "name"]
     info = catalog.table_info(spark, table)
     assert (info["num_rows"], info["num_columns"], info["database"].split(".")[-1]) == (4, 2, database)
-    assert info["size_bytes"] > 0 and info["created"] and info["location"]
+    assert info["size_bytes"] > 0 and info["created"] and info["modified"] and info["location"]
     assert info["schema"][0] == {"name": "id", "type": "int", "mode": "NULLABLE", "description": None}
     assert catalog.replace_table(df, table).count() == 2
     catalog.save_table(df, table, "overwrite")
@@ -42,6 +42,8 @@ def test_csv(spark, tmp_path):
     path = files.query_to_csv(spark, "SELECT 1 AS a, 'x' AS b", str(tmp_path / "q"), add_timestamp=False)
     assert path.endswith("q.csv")
     assert spark.read.option("header", True).csv(path).collect() == [("1", "x")]
+    assert files.write_csv(spark.range(5), str(tmp_path / "q"), add_timestamp=False) == path
+    assert spark.read.option("header", True).csv(path).count() == 5
     stamped = files.write_csv(spark.range(2), str(tmp_path / "r"))
     assert stamped != str(tmp_path / "r.csv") and spark.read.csv(stamped).count() >= 2
 
@@ -49,7 +51,7 @@ def test_csv(spark, tmp_path):
 def test_export_and_merge(spark, tmp_path):
     df = spark.createDataFrame([("a/b", 1), ("a/b", 2), ("c", 3), (None, 4)], "class4 string, v int")
     folders = files.export_by_class(df, str(tmp_path / "one")).collect()
-    assert {r["class4_slug"] for r in folders} == {"a_b", "c"}
+    assert {r["class4_slug"][:3] for r in folders} == {"a_b", "c"}
     assert all(r["folder"].endswith(f"class4_slug={r['class4_slug']}") for r in folders)
     other = spark.createDataFrame([("d", "w")], "class4 string, w string")
     files.write_tables({"two": other}, str(tmp_path))
@@ -61,7 +63,15 @@ def test_export_and_merge(spark, tmp_path):
 
 
 def test_table_names():
-    assert files.safe_table_name("a/b:c" + "x" * 40) == "a_b_c" + "x" * 26
+    assert files.safe_table_name("a/b:c" + "x" * 40) == "a_b_c" + "x" * 40
+
+
+def test_classes_that_look_alike_stay_apart(spark, tmp_path):
+    df = spark.createDataFrame([("007", 1), ("7", 2), ("a b", 3), ("a/b", 4)], "class4 string, v int")
+    assert files.export_by_class(df, str(tmp_path / "x")).count() == 4
+    found = files.read_export(spark, str(tmp_path / "x")).collect()
+    assert {(r["class4"], r["v"]) for r in found} == {("007", 1), ("7", 2), ("a b", 3), ("a/b", 4)}
+    assert {r["class4_slug"] for r in found if r["v"] < 3} == {"007", "7"}
 
 
 def test_clashing_table_names(spark, tmp_path):
