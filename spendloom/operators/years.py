@@ -185,6 +185,12 @@ def year_columns(df: DataFrame, prefix: str) -> list[str]:
     return sorted(c for c in df.columns if c.startswith(f"{prefix}_") and c[len(prefix) + 1 :].isdigit())
 
 
+def year_column_groups(df: DataFrame, prefixes: Sequence[str]) -> dict[str, list[str]]:
+    """For each measure the frame has by year, its year columns."""
+    groups = {prefix: year_columns(df, prefix) for prefix in prefixes}
+    return {prefix: found for prefix, found in groups.items() if found}
+
+
 def year_totals(df: DataFrame, prefixes: Sequence[str]) -> DataFrame:
     """Add `<prefix>_total`, the sum over the year columns of each prefix."""
     totals = {}

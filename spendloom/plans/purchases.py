@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendloom.config import CLASS_SCOPE, PURCHASE_KEYS, PurchaseScope
+from spendloom.functions.numbers import to_number
 from spendloom.functions.text import class_code, equals_normalised, in_scope
 from spendloom.operators.columns import stage_string_keys
 from spendloom.operators.lookups import any_value_per_key, stop_flag
@@ -96,3 +97,16 @@ def fetch_super_table(
     if brand_name:
         df = df.filter(F.col("brand_name").isin(*brand_name))
     return df if limit is None else df.limit(limit)
+
+
+def fetch_super_table_for_clustering(
+    df: DataFrame,
+    features: Sequence[str],
+    key: str = "product_number",
+    class3: Sequence[str] | None = None,
+    brand_name: Sequence[str] | None = None,
+) -> DataFrame:
+    """Key and numeric features of the rows in the filters, without rows that miss one of them."""
+    rows = fetch_super_table(df, class3, brand_name)
+    numbers = rows.select(F.col(key), *[to_number(F.col(c), None).alias(c) for c in features])
+    return numbers.dropna(subset=[key, *features])

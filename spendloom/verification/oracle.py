@@ -433,6 +433,13 @@ FROM purchases WHERE lower(trim(class4)) IN ({_SCOPE}) GROUP BY {_KEYS}""",
     "scoped_sample": _with(PURCHASES)
     + f"""SELECT least(count(*), 1000) AS rows, least(count(*), 1000) AS rows_in_scope FROM purchases
 WHERE lower(class4) IN ({_SCOPE})""",
+    "clustering_fetch": _with(PURCHASES)
+    + """SELECT product_number, CAST(purchase_amount_eur AS DOUBLE) AS purchase_amount_eur, purchase_quantity FROM purchases
+WHERE class3 IN ('PROMO', 'SMALL') AND brand_name = ' RED' || chr(9) AND product_number IS NOT NULL
+  AND purchase_amount_eur IS NOT NULL AND purchase_quantity IS NOT NULL""",
+    "year_groups": """SELECT measure, string_agg(measure || '_' || y, ',' ORDER BY y) AS year_columns
+FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+     (VALUES ('turnover_eur'), ('orders')) AS m(measure) GROUP BY 1""",
     "super_table": _with(PURCHASES)
     + f"""SELECT * REPLACE ({_EUR}) FROM purchases
 WHERE class3 IN ('PROMO', 'SMALL') AND brand_name = ' RED' || chr(9)""",

@@ -215,6 +215,22 @@ def super_table(spark, d):
     )
 
 
+@query
+def clustering_fetch(spark, d):
+    rows = roles.purchases(spark, d)
+    return purchases.fetch_super_table_for_clustering(
+        rows, [SPEND, "purchase_quantity"], class3=["PROMO", "SMALL"], brand_name=[" RED\t"]
+    )
+
+
+@query
+def year_groups(spark, d):
+    """The year columns of each measure."""
+    metrics = years.year_metrics(roles.sales(spark, d), "product_number")
+    groups = years.year_column_groups(metrics, ["turnover_eur", "orders", "absent"])
+    return spark.createDataFrame([(k, ",".join(v)) for k, v in groups.items()], "measure string, year_columns string")
+
+
 @query
 def purchase_build(spark, d):
     return plain(

@@ -17,7 +17,7 @@ NEED_LARGER = ("candidate_ids", "detail_fetch", "detail_fetch_wide", "detail_piv
 NEED_JOBS = {
     "attributes_wide", "class_country_matrix", "gmm_tiers", "histogram", "kmeans_tiers", "merge_exports", "product_clusters",
     "quantity_histogram", "segmentation_report", "report_tables", "super_summary", "year_metrics", "year_pivot", "year_split",
-    "year_split_export", "year_totals",
+    "year_groups", "year_split_export", "year_totals",
 }
 
 
