@@ -5,7 +5,7 @@
 2. Equal sets become one class; only classes go on. Bands that several classes share are buckets.
 3. Small buckets give their pairs. In a larger one, sketches estimate all similarities, and only the
    links of a spanning forest of the likely pairs go on, so a large group of copies costs a row a
-   member. Very large buckets are dealt in pairs of blocks.
+   member. A pair is weighed in one bucket only. Very large buckets are dealt in pairs of blocks.
 4. Pairs are verified on the full sets. Where a bucket still holds several components, all likely
    pairs across components are verified too, so no link between components is missed.
 5. Components of the verified links give each row the smallest doc_id that is reachable.
@@ -84,16 +84,19 @@ def _find(parents: dict[int, int], x: int) -> int:
 
 
 def _likely_pairs(rows: pd.DataFrame, settings: Settings, every: bool) -> pd.DataFrame:
-    """Pairs of one block (or two) of a bucket whose estimate is likely: across components all of them,
-    or else those of a spanning forest, most similar first."""
+    """Pairs of one block (or two) of a bucket whose estimate is likely: all across components, or else those
+    of a spanning forest, most similar first. A pair counts in the first band that it shares."""
     rows = rows.drop_duplicates("node").sort_values("node")
     nodes, component = rows["node"].tolist(), rows["component"].to_numpy()
     sketches = np.frombuffer(b"".join(rows["sketch"]), "<u2").reshape(len(rows), -1)
+    band = int(rows["band"].iloc[0])
     found: list[tuple[float, int, int]] = []
     for i in range(len(nodes) - 1):
-        same = (sketches[i + 1 :] == sketches[i]).mean(axis=1)
-        good = np.flatnonzero((same >= settings.likely) & (component[i + 1 :] != component[i])) + i + 1
-        found += [(-same[j - i - 1], i, j) for j in good.tolist()]
+        agree = sketches[i + 1 :] == sketches[i]
+        same = agree.mean(axis=1)
+        good = np.flatnonzero((same >= settings.likely) & (component[i + 1 :] != component[i]))
+        first = agree[good].reshape(len(good), settings.bands, settings.rows).all(axis=2).argmax(axis=1)
+        found += [(-same[j], i, i + 1 + j) for j in good[first == band].tolist()]
     if not every:
         forest, parents = [], {}
         for pair in sorted(found):
@@ -106,12 +109,12 @@ def _likely_pairs(rows: pd.DataFrame, settings: Settings, every: bool) -> pd.Dat
 
 
 def _bucket_pairs(members: DataFrame, sketches: DataFrame, settings: Settings, every: bool) -> DataFrame:
-    """Likely pairs of large buckets: members (bucket, size, node, component)."""
+    """Likely pairs of large buckets: members (bucket, band, size, node, component)."""
     blocks = F.ceil(F.col("size") / settings.block).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a member meets every block: once with each pair of blocks that its own is in
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component")
+    dealt = dealt.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component")
     met = dealt.join(sketches.select("node", "sketch"), "node").groupBy("bucket", "i", "j")
     return met.applyInPandas(lambda rows: _likely_pairs(rows, settings, every), "a long, b long")
 
@@ -150,7 +153,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     classes = classes.agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-classes")
 
-    banded = classes.select(F.explode("bands").alias("bucket"), "node")
+    banded = classes.select(F.posexplode("bands").alias("band", "bucket"), "node")
     buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = stored(banded.join(buckets, "bucket"), "bucket-members")
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "digest")
