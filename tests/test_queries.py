@@ -12,7 +12,7 @@ from spendloom.verification.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.01"
 #: Filters that leave nothing of the smallest tables.
-NEED_LARGER = ("candidate_ids", "detail_fetch", "detail_fetch_wide", "detail_pivot", "detail_fetch_mixed")
+NEED_LARGER = ("candidate_ids", "detail_fetch", "detail_fetch_wide", "detail_pivot", "detail_fetch_discovered", "detail_fetch_mixed")
 #: Queries that must know values to name columns, write files, fit clusters or find a histogram's edges.
 NEED_JOBS = {
     "attributes_wide", "class_country_matrix", "gmm_tiers", "histogram", "kmeans_tiers", "merge_exports", "product_clusters",
