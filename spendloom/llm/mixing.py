@@ -66,10 +66,10 @@ def schedule_time(demand: Column, target: Column, trend: Column) -> Column:
 
     The schedule is target * (1 + trend * (2t - 1)); its integral target * ((1 - trend) t + trend t^2).
     """
-    share = F.least(demand / target, F.lit(1.0))
+    share = F.least(F.try_divide(demand, target), F.lit(1.0))
     flat = 1 - trend
     root = F.sqrt(flat * flat + 4 * trend * share)
-    return F.when(trend == 0, share).otherwise(2 * share / (flat + root))
+    return F.when(trend == 0, share).otherwise(F.coalesce(F.try_divide(2 * share, flat + root), F.lit(0.0)))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, trends: tuple = TRENDS) -> DataFrame:
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, trends: tuple = TRENDS) -> Da
     in_block = Window.partitionBy("source", "block").orderBy("hash", "doc_id", "size", "row")
     before = F.coalesce(F.sum("size").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     middle = F.col("earlier") + before + F.col("size") / 2
-    passes = F.floor(F.col("target") / F.col("source_size"))
+    passes = F.floor(F.try_divide(F.col("target"), F.col("source_size")))
     extra = middle < F.col("target") - passes * F.col("source_size")
     copies = F.when(F.col("size") > 0, passes + extra.cast("int")).otherwise(0).cast("int")
     placed = placed.withColumn("middle", middle).withColumn("copies", copies)

@@ -52,9 +52,10 @@ def choose_pivots(vectors: DataFrame, count: int) -> np.ndarray:
     """Directions of distinct vectors, the first by a hash of the vector; a bounded sample."""
     picked = vectors.select(F.xxhash64("embedding").alias("h"), "embedding").distinct()
     rows = picked.orderBy("h", "embedding").limit(count).collect()
-    size = len(rows[0].embedding) if rows else 0
-    found = np.array([r.embedding for r in rows if len(r.embedding) == size], np.float64).reshape(-1, size)
-    return found / np.linalg.norm(found, axis=1, keepdims=True) if len(found) else found
+    if not rows:
+        return np.empty((0, 0))
+    found = np.array([r.embedding for r in rows if len(r.embedding) == len(rows[0].embedding)], np.float64)
+    return found / np.linalg.norm(found, axis=1, keepdims=True)
 
 
 def pivot_orders(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:

@@ -30,7 +30,10 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{12,}"
 LEAST_CANDIDATE = 20
 #: Natural log-likelihood ratio from which a string counts as random.
 LEAST_RATIO = 12.0
-#: Added to every pair count; without samples both models are uniform and report nothing.
+#: Taken off every pair count and given to the model's single characters, so that what was seen once, as an
+#: unlabelled secret among the identifiers, teaches nothing about its pairs.
+DISCOUNT = 1.0
+#: Added to the counts of single characters; without samples both models are uniform and report nothing.
 SMOOTHING = 0.5
 
 _SPAN = "struct<start:int,kind:int,end:int>"
@@ -107,10 +110,16 @@ def ratio_table(samples: DataFrame, smoothing: float = SMOOTHING) -> list[float]
     seen: dict[bool, dict[tuple[int, int], int]] = {True: {}, False: {}}
     for row in counts.collect():
         seen[row.random][row.a, row.b] = row["count"]
-    rows = {label: {a: sum(seen[label].get((a, b), 0) for b in range(128)) for a in range(128)} for label in seen}
+    rows = {label: [sum(seen[label].get((a, b), 0) for b in range(128)) for a in range(128)] for label in seen}
+    ends = {label: [sum(seen[label].get((a, b), 0) for a in range(128)) for b in range(128)] for label in seen}
+    freed = {label: [sum(min(DISCOUNT, seen[label].get((a, b), 0)) for b in range(128)) for a in range(128)] for label in seen}
 
     def log_p(label: bool, a: int, b: int) -> float:
-        return math.log((seen[label].get((a, b), 0) + smoothing) / (rows[label][a] + 128 * smoothing))
+        single = (ends[label][b] + smoothing) / (sum(ends[label]) + 128 * smoothing)
+        if not rows[label][a]:
+            return math.log(single)
+        kept = max(seen[label].get((a, b), 0) - DISCOUNT, 0)
+        return math.log((kept + freed[label][a] * single) / rows[label][a] if freed[label][a] else single)
 
     return [log_p(True, a, b) - log_p(False, a, b) for a in range(128) for b in range(128)]
 
