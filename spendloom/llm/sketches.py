@@ -16,7 +16,7 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
 #: Word hashes kept per worker; only affects speed.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 _known: dict[str, int] = {}
 
 

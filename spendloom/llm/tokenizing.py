@@ -29,7 +29,7 @@ _PIECES = {
 #: Pieces of plain letters, which need no normalising: the model takes them as they are.
 _PLAIN = re.compile(" ?[a-zA-Z]+")
 #: Pieces kept per worker, and the longest piece worth keeping; both only affect speed.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 350_000
 KEPT_LENGTH = 40
 
 

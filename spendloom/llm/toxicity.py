@@ -33,6 +33,8 @@ SHARED_DISCOUNT = 0.75
 #: The model that is sent to all tasks has so many cells of 10 bytes at most; of strings that meet in a
 #: cell the most frequent stays, the others count as unseen.
 CELLS = 1 << 22
+#: Characters that a task collects before it merges their counts; bounds its memory.
+MERGE_EVERY = 1_000_000
 #: Evidence of a word, in nats, that counts from these levels on.
 LEVELS = (2.0, 4.0)
 #: Text features are brought to about 1 for toxic texts; the logistic model's prior, last the intercept.
@@ -110,7 +112,7 @@ def class_counts(texts: DataFrame) -> DataFrame:
                 keys = keys_of(_characters(text.as_py()))
                 waiting[toxic].append(keys)
                 size += len(keys)
-                if size >= 4_000_000:
+                if size >= MERGE_EVERY:
                     merge()
                     size = 0
                     if len(known[0][0]) > 4_000_000:
