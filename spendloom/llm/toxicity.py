@@ -12,7 +12,7 @@ texts that the language models have not seen, turns that into a score.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -30,10 +30,9 @@ MASK = (1 << BITS) - 1
 #: Discounts of the class counts and of the shared counts.
 CLASS_DISCOUNT = 1.0
 SHARED_DISCOUNT = 0.75
-#: The model that is sent to all tasks has so many cells of 10 bytes at most; of strings that meet in a
-#: cell the most frequent stays, the others count as unseen.
-CELLS = 1 << 22
-#: Characters that a task collects before it merges their counts; bounds its memory.
+#: Tasks hold the evidence of so many strings at most, 12 bytes each, the most frequent; the others are joined.
+HOT = 1 << 22
+#: Characters that a task collects before it merges their counts or looks them up; bounds its memory.
 MERGE_EVERY = 1_000_000
 #: Evidence of a word, in nats, that counts from these levels on.
 LEVELS = (2.0, 4.0)
@@ -45,6 +44,7 @@ CALIBRATION_ROWS = 50_000
 THRESHOLD = 0.7
 FOLDS = 3
 HELD_OUT = 1
+_PARTS, _ROW, _ADDED, _FEATURES = (f"__{x}" for x in ("parts", "row", "added", "features"))
 
 
 def fold_hash(doc_id: Column) -> Column:
@@ -158,54 +158,86 @@ def string_evidence(counts: DataFrame) -> DataFrame:
         freed = total - F.sum(kept).over(context)
         return F.log(F.when(total > 0, (kept + freed * F.col("shared")) / total).otherwise(F.col("shared")))
 
-    return sixes.select("key", n.alias("n"), (log_p("toxic") - log_p("ordinary")).alias("evidence"))
+    return sixes.select("key", n.alias("n"), (log_p("toxic") - log_p("ordinary")).cast("float").alias("evidence"))
 
 
 @dataclass(frozen=True)
 class Evidence:
-    """Cells of the strings' evidence, each with a check value of its string."""
+    """Evidence of strings in order of their keys: of all if ``complete``, else of the most frequent."""
 
-    checks: np.ndarray
+    keys: np.ndarray
     values: np.ndarray
-
-    @staticmethod
-    def place(keys: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-        mixed = keys.astype(np.uint64)
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (mixed >> np.uint64(40)).astype(np.int64) % cells, ((mixed >> np.uint64(20)) & np.uint64(0x7FFF)).astype(np.int16)
-
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        cell, check = self.place(keys, len(self.values))
-        return np.where(self.checks[cell] == check, self.values[cell], np.float32(0))
-
-    def features(self, text: str) -> tuple[float, float, float]:
-        """Mean evidence above each level over the words, and the share of words above the last."""
-        characters = _characters(text)
-        words = np.bincount(np.cumsum(_spaces(characters)), self.of(keys_of(characters)))
-        n = len(words)
-        above = [float(np.clip(words - level, 0, None).sum()) / n for level in LEVELS]
-        found = (*above, float((words > LEVELS[-1]).sum()) / n)
-        return tuple(f * s for f, s in zip(found, SCALES, strict=True))
-
-
-def evidence_cells(strings: DataFrame, cells: int = CELLS) -> Evidence:
-    """The model as arrays; at most ``cells`` rows reach the driver."""
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cell, check = Evidence.place(batch.column(0).to_numpy(zero_copy_only=False), cells)
-            yield pa.record_batch([pa.array(cell), pa.array(check), batch.column(0), batch.column(1), batch.column(2)], ["cell", "check", "key", "n", "evidence"])
-
-    placed = strings.select("key", "n", F.col("evidence").cast("float")).mapInArrow(
-        place, "cell long, check short, key long, n long, evidence float"
-    )
-    best = placed.groupBy("cell").agg(F.max(F.struct("n", "key", "check", "evidence")).alias("x"))
-    rows = best.select(F.col("cell").cast("int"), "x.check", "x.evidence").toArrow()
-    checks, values = np.full(cells, -1, np.int16), np.zeros(cells, np.float32)
-    at = rows.column(0).to_numpy()
-    checks[at], values[at] = rows.column(1).to_numpy(), rows.column(2).to_numpy()
-    return Evidence(checks, values)
+    complete: bool
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The evidence of each key, and whether it is known here."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.full(len(keys), self.complete)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        found = self.keys[at] == keys
+        return np.where(found, self.values[at], 0.0), found | self.complete
+
+    def parts(self, texts: list[str]) -> list[tuple[int, list[float], list[float], list[list[int]]]]:
+        """For each text its words, the sums of word_features over those whose strings are all known here, and
+        of every other word the evidence of its known strings and the keys of the others."""
+        characters = [_characters(text) for text in texts]
+        all_characters = np.concatenate(characters)
+        distinct, at = np.unique(keys_of(all_characters), return_inverse=True)
+        values, known = self.of(distinct)
+        # words begin with a space, as every text does
+        spaces = _spaces(all_characters)
+        places, word = np.flatnonzero(spaces), np.cumsum(spaces) - 1
+        evidence = np.bincount(word, values[at])
+        open_words = np.bincount(word, ~known[at]) > 0
+        first = word[np.cumsum([0, *map(len, characters[:-1])])]
+        sums = np.add.reduceat(np.where(open_words, 0.0, word_features(evidence)), first, axis=1).T
+        counts = np.diff(np.append(first, len(places)))
+        out = [(int(n) + 1, x.tolist(), [], []) for n, x in zip(counts, sums, strict=True)]
+        ends = np.append(places[1:], len(all_characters))
+        opened = np.flatnonzero(open_words)
+        for w, text in zip(opened.tolist(), (np.searchsorted(first, opened, "right") - 1).tolist(), strict=True):
+            strings = at[places[w] : ends[w]]
+            out[text][2].append(float(evidence[w]))
+            out[text][3].append(distinct[strings[~known[strings]]].tolist())
+        return out
+
+
+def word_features(evidence: np.ndarray) -> np.ndarray:
+    """Of each word: evidence above each level, and whether it is above the last."""
+    return np.array([*(np.clip(evidence - level, 0, None) for level in LEVELS), evidence > LEVELS[-1]], dtype=float)
+
+
+def hot_evidence(strings: DataFrame, most: int = HOT) -> Evidence:
+    """The most frequent strings, by powers of two of their counts; at most ``most`` rows reach the driver."""
+    level = F.floor(F.log2("n")).cast("int")
+    sizes = dict(strings.groupBy(level.alias("level")).count().collect())
+    lowest, total, complete = 64, 0, True
+    for size in sorted(sizes, reverse=True):
+        total += sizes[size]
+        if total > most:
+            complete = False
+            break
+        lowest = size
+    rows = strings.filter(level >= lowest).select("key", "evidence").toArrow()
+    keys, values = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    order = np.argsort(keys)
+    return Evidence(keys[order], values[order], complete)
+
+
+def _joined(parts: DataFrame, strings: DataFrame) -> DataFrame:
+    """``parts`` with the words that tasks left open added to the sums, by a join with all strings."""
+    parts = stored(parts.withColumn(_ROW, F.monotonically_increasing_id()), "open-words")
+    words = parts.select(_ROW, F.posexplode(F.arrays_zip(f"{_PARTS}.known", f"{_PARTS}.keys")).alias("word", "x"))
+    words = words.select(_ROW, "word", "x.known", F.explode("x.keys").alias("key"))
+    values = words.select("key").distinct().join(strings.select("key", "evidence"), "key", "left")
+    values = values.select("key", F.coalesce("evidence", F.lit(0.0)).cast("double").alias("evidence"))
+    words = words.join(values, "key").groupBy(_ROW, "word").agg((F.max("known") + F.sum("evidence")).alias("evidence"))
+    e = F.col("evidence")
+    features = [*(F.greatest(e - level, F.lit(0.0)) for level in LEVELS), (e > LEVELS[-1]).cast("double")]
+    added = words.groupBy(_ROW).agg(F.array(*(F.sum(f) for f in features)).alias(_ADDED))
+    sums = F.zip_with(f"{_PARTS}.sums", F.col(_ADDED), lambda x, y: x + F.coalesce(y, F.lit(0.0)))
+    sums = F.when(F.col(_ADDED).isNull(), F.col(f"{_PARTS}.sums")).otherwise(sums)
+    return parts.join(added, _ROW, "left").withColumn(_PARTS, F.struct(F.col(f"{_PARTS}.n").alias("n"), sums.alias("sums"))).drop(_ROW, _ADDED)
 
 
 def fit_logistic(features: np.ndarray, labels: np.ndarray, prior: tuple = PRIOR, strength: float = 4.0) -> np.ndarray:
@@ -223,38 +255,53 @@ def fit_logistic(features: np.ndarray, labels: np.ndarray, prior: tuple = PRIOR,
     return w
 
 
-def _scored(texts: DataFrame, found: str, evidence, weights: np.ndarray | None) -> DataFrame:
-    """All columns of ``texts`` with ``found``: the score, or without weights the features."""
+def _featured(texts: DataFrame, found: str, model: ToxicityModel) -> DataFrame:
+    """All columns of ``texts`` with ``found``: the features of its ``text``."""
+    evidence = model.evidence
 
-    @F.pandas_udf("double" if weights is not None else "array<double>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = evidence.value
+    @F.pandas_udf("n long, sums array<double>, known array<double>, keys array<array<long>>")
+    def parts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = evidence.value
         for batch in batches:
-            features = [model.features(text) for text in batch]
-            if weights is None:
-                yield pd.Series(features, dtype=object)
-            else:
-                x = np.clip(np.array(features, dtype=float).reshape(-1, len(SCALES)), 0, 6)
-                yield pd.Series(1 / (1 + np.exp(-(x @ weights[:-1] + weights[-1]))))
+            rows, waiting, size = [], [], 0
+            for text in batch:
+                waiting.append(text)
+                size += len(text)
+                if size >= MERGE_EVERY:
+                    rows += known.parts(waiting)
+                    waiting, size = [], 0
+            rows += known.parts(waiting) if waiting else []
+            yield pd.DataFrame(rows, columns=["n", "sums", "known", "keys"])
 
-    return texts.withColumn(found, score(text_or_empty(F.col("text"))))
+    with_parts = texts.withColumn(_PARTS, parts(text_or_empty(F.col("text"))))
+    if not model.complete:
+        with_parts = _joined(with_parts, model.strings)
+    features = [F.col(f"{_PARTS}.sums")[i] * scale / F.col(f"{_PARTS}.n") for i, scale in enumerate(SCALES)]
+    return with_parts.withColumn(found, F.array(*features)).drop(_PARTS)
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
+    """``evidence`` is the broadcast of the most frequent of all ``strings``, or of all if ``complete``."""
+
     evidence: object
-    weights: np.ndarray
+    complete: bool
+    strings: DataFrame
+    weights: np.ndarray | None = None
 
     def score(self, docs: DataFrame, column: str = "score") -> DataFrame:
         """All rows and columns of ``docs`` with a score of 0 to 1 of its ``text`` (null as empty)."""
-        return _scored(docs, column, self.evidence, self.weights)
+        x = [F.least(F.greatest(F.col(_FEATURES)[i], F.lit(0.0)), F.lit(6.0)) for i in range(len(SCALES))]
+        total = sum((f * float(w) for f, w in zip(x, self.weights, strict=False)), F.lit(float(self.weights[-1])))
+        return _featured(docs, _FEATURES, self).withColumn(column, 1 / (1 + F.exp(-total))).drop(_FEATURES)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, hot: int = HOT) -> ToxicityModel:
     """The model of documents (doc_id, text) with labels (doc_id, toxic), outside the held-out fold.
 
     A fifth of the training texts, by the same hash, only calibrates. Null labels are left out; of
-    several labels of a document the larger counts. Without labels all texts score the prior.
+    several labels of a document the larger counts. Without labels all texts score the prior. ``hot``
+    only says how many strings tasks hold; scores are the same for every value.
     """
     spark = docs.sparkSession
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -264,11 +311,13 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     known = stored(texts.filter(~held_out(F.col("doc_id"))).join(marked.hint("merge"), "doc_id"), "labelled")
     calibrates = F.floor(fold_hash(F.col("doc_id")) / FOLDS) % 5 == 0
     counts = class_counts(known.filter(~calibrates))
-    evidence = spark.sparkContext.broadcast(evidence_cells(string_evidence(stored(counts, "strings"))))
-    rows = _scored(known.filter(calibrates), "features", evidence, None).select("doc_id", "toxic", "features")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(CALIBRATION_ROWS).select("toxic", "features").collect()
-    features = np.array([r.features for r in rows], dtype=float).reshape(-1, len(SCALES))
-    return ToxicityModel(evidence, fit_logistic(features, np.array([r.toxic for r in rows], dtype=float)))
+    strings = stored(string_evidence(stored(counts, "strings")), "evidence")
+    known_strings = hot_evidence(strings, hot)
+    model = ToxicityModel(spark.sparkContext.broadcast(known_strings), known_strings.complete, strings)
+    rows = known.filter(calibrates).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(CALIBRATION_ROWS)
+    rows = _featured(rows, _FEATURES, model).select("toxic", _FEATURES).collect()
+    features = np.array([r[_FEATURES] for r in rows], dtype=float).reshape(-1, len(SCALES))
+    return replace(model, weights=fit_logistic(features, np.array([r.toxic for r in rows], dtype=float)))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,3 +245,24 @@ def test_neighbours_exact_when_small_with_ties_and_bad_rows(spark):
         assert [(v, s) for _, v, s in ours] == [(i, -s) for s, i in expected]
     assert {r.query_id for r in found} == {0, 20, 40}
     assert nearest(table.limit(0), F.lit(True)).count() == 0
+
+
+def test_toxicity_drops_no_string(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 7)))
+    rows = [(i, " ".join(word() for _ in range(40)) + (" moron" * 3 if i % 5 == 0 else ""), "s") for i in range(300)]
+    rows += [(300, None, "s"), (301, "", "s"), (302, "moron  unseen wordsofothers", "s"), (302, "moron  unseen wordsofothers", "s"), (None, "x", "s")]
+    table = docs(spark, rows)
+    given = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    whole = train(table, given)
+    assert whole.complete and len(whole.evidence.value.keys) == whole.strings.count()
+    expected = sorted((str(r.doc_id), r.f) for r in whole.score(table, "f").collect())
+    for hot in (100, 0):
+        part = train(table, given, hot)
+        assert not part.complete and len(part.evidence.value.keys) <= hot
+        assert np.allclose(part.weights, whole.weights, atol=1e-9)
+        found = part.score(table, "f")
+        assert found.columns == [*table.columns, "f"]
+        found = sorted((str(r.doc_id), r.f) for r in found.collect())
+        assert [i for i, _ in found] == [i for i, _ in expected]
+        assert np.allclose([f for _, f in found], [f for _, f in expected], atol=1e-9)
