@@ -4,9 +4,11 @@ Counts of six-character strings are gathered per class over all labelled trainin
 model discounts its own counts and gives what that frees to one backoff that both share: the
 Kneser-Ney model of all training text, itself backed off over distinct contexts to four, two and one
 characters. Expressions rare in a class thus score alike in both. A word's evidence is the
-difference of its two log-likelihoods; a text's is the evidence above fixed levels a word, averaged
-over its words, so that length neither adds to nor hides it. A small logistic model, fitted on training
-texts that the language models have not seen, turns that into a score.
+difference of its two log-likelihoods, where strings that neither class has seen are backed off like
+all others. A text's main feature is the difference of its two log-likelihoods by characters; beside it
+stands the evidence above fixed levels a word, averaged over its words, so that length neither adds to
+nor hides it. A small logistic model, fitted on training texts that the language models have not seen,
+turns that into a score.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ ORDER = 6
 #: Bits of a character in a key; characters beyond 1,023 share codes.
 BITS = 10
 MASK = (1 << BITS) - 1
+#: Added to keys of contexts; above all keys of strings.
+CONTEXT = 1 << (BITS * ORDER)
 #: Discounts of the class counts and of the shared counts.
 CLASS_DISCOUNT = 1.0
 SHARED_DISCOUNT = 0.75
@@ -36,9 +40,10 @@ HOT = 1 << 22
 MERGE_EVERY = 1_000_000
 #: Evidence of a word, in nats, that counts from these levels on.
 LEVELS = (2.0, 4.0)
-#: Text features are brought to about 1 for toxic texts; the logistic model's prior, last the intercept.
-SCALES = (12.0, 16.0, 70.0)
-PRIOR = (0.5, 2.0, 2.0, -3.5)
+#: Text features are brought to about 1 for toxic texts, the mean log-likelihood difference first; the logistic
+#: model's prior, last the intercept.
+SCALES = (20.0, 12.0, 16.0, 70.0)
+PRIOR = (2.0, 0.5, 2.0, 2.0, -3.5)
 #: The logistic model is fitted on so many labelled rows at most, the first by a hash of doc_id.
 CALIBRATION_ROWS = 50_000
 THRESHOLD = 0.7
@@ -135,8 +140,18 @@ def _discounted(count: Column, context: Window, below: Column, discount: float =
     return (F.greatest(count - discount, F.lit(0.0)) + discount * kinds * below) / total
 
 
+def context_key(key):
+    """The key of the row of a string's context, its first five characters; keys and columns of keys."""
+    return (F.shiftright(key, BITS) if isinstance(key, Column) else key >> BITS) + CONTEXT
+
+
 def string_evidence(counts: DataFrame) -> DataFrame:
-    """Per six-character string: key, n, evidence (log-likelihood, toxic less ordinary, of its last character)."""
+    """Per six-character string: key, n, evidence (log-likelihood, toxic less ordinary, of its last character).
+
+    A row of each context, under context_key with n 0, holds the evidence of strings that were not counted:
+    what the two classes leave to the shared backoff after it, whose own probability cancels out. After
+    contexts that were not counted either, both classes are the shared model and the evidence is 0.
+    """
     after = lambda key: Window.partitionBy(F.shiftright(key, BITS))
     fours = counts.groupBy(_low("key", 4).alias("four")).agg(F.count(F.lit(1)).alias("n4"))
     twos = fours.groupBy(_low("four", 2).alias("two")).agg(F.count(F.lit(1)).alias("n2"))
@@ -152,13 +167,25 @@ def string_evidence(counts: DataFrame) -> DataFrame:
     n, context = F.col("toxic") + F.col("ordinary"), after("key")
     sixes = sixes.withColumn("shared", _discounted(n, context, F.col("p4")))
 
-    def log_p(count: str) -> Column:
+    def left(count: str) -> tuple[Column, Column, Column]:
         kept = F.greatest(F.col(count) - CLASS_DISCOUNT, F.lit(0.0))
         total = F.sum(count).over(context)
-        freed = total - F.sum(kept).over(context)
+        return kept, total, total - F.sum(kept).over(context)
+
+    def log_p(count: str) -> Column:
+        kept, total, freed = left(count)
         return F.log(F.when(total > 0, (kept + freed * F.col("shared")) / total).otherwise(F.col("shared")))
 
-    return sixes.select("key", n.alias("n"), (log_p("toxic") - log_p("ordinary")).cast("float").alias("evidence"))
+    def log_backoff(count: str) -> Column:
+        _, total, freed = left(count)
+        return F.log(F.when(total > 0, freed / total).otherwise(F.lit(1.0)))
+
+    row = lambda key, n, evidence: F.struct(key.alias("key"), n.alias("n"), evidence.cast("float").alias("evidence"))
+    string = row(F.col("key"), n, log_p("toxic") - log_p("ordinary"))
+    backoff = row(context_key(F.col("key")), F.lit(0).cast("long"), log_backoff("toxic") - log_backoff("ordinary"))
+    first = F.col("key") == F.min("key").over(context)
+    sixes = sixes.select(F.when(first, F.array(string, backoff)).otherwise(F.array(string)).alias("rows"))
+    return sixes.select(F.explode("rows").alias("row")).select("row.*")
 
 
 @dataclass(frozen=True)
@@ -169,17 +196,24 @@ class Evidence:
     values: np.ndarray
     complete: bool
 
-    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The evidence of each key, and whether it is known here."""
+    def _of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
-            return np.zeros(len(keys)), np.full(len(keys), self.complete)
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         found = self.keys[at] == keys
-        return np.where(found, self.values[at], 0.0), found | self.complete
+        return np.where(found, self.values[at], 0.0), found
 
-    def parts(self, texts: list[str]) -> list[tuple[int, list[float], list[float], list[list[int]]]]:
-        """For each text its words, the sums of word_features over those whose strings are all known here, and
-        of every other word the evidence of its known strings and the keys of the others."""
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The evidence of each key, and whether it is known here."""
+        values, found = self._of(keys)
+        if self.complete:
+            values[~found] = self._of(context_key(keys[~found]))[0]
+        return values, found | self.complete
+
+    def parts(self, texts: list[str]) -> list[tuple[list[int], list[float], list[float], list[list[int]]]]:
+        """For each text what each feature is a mean of (characters, or words), the sums of word_features over
+        the words whose strings are all known here, and of every other word the evidence of its known strings
+        and the keys of the others."""
         characters = [_characters(text) for text in texts]
         all_characters = np.concatenate(characters)
         distinct, at = np.unique(keys_of(all_characters), return_inverse=True)
@@ -192,7 +226,8 @@ class Evidence:
         first = word[np.cumsum([0, *map(len, characters[:-1])])]
         sums = np.add.reduceat(np.where(open_words, 0.0, word_features(evidence)), first, axis=1).T
         counts = np.diff(np.append(first, len(places)))
-        out = [(int(n) + 1, x.tolist(), [], []) for n, x in zip(counts, sums, strict=True)]
+        numbers = [[len(c), *[int(n) + 1] * (len(SCALES) - 1)] for c, n in zip(characters, counts, strict=True)]
+        out = [(n, x.tolist(), [], []) for n, x in zip(numbers, sums, strict=True)]
         ends = np.append(places[1:], len(all_characters))
         opened = np.flatnonzero(open_words)
         for w, text in zip(opened.tolist(), (np.searchsorted(first, opened, "right") - 1).tolist(), strict=True):
@@ -203,13 +238,13 @@ class Evidence:
 
 
 def word_features(evidence: np.ndarray) -> np.ndarray:
-    """Of each word: evidence above each level, and whether it is above the last."""
-    return np.array([*(np.clip(evidence - level, 0, None) for level in LEVELS), evidence > LEVELS[-1]], dtype=float)
+    """Of each word: evidence, evidence above each level, and whether it is above the last."""
+    return np.array([evidence, *(np.clip(evidence - level, 0, None) for level in LEVELS), evidence > LEVELS[-1]], dtype=float)
 
 
 def hot_evidence(strings: DataFrame, most: int = HOT) -> Evidence:
-    """The most frequent strings, by powers of two of their counts; at most ``most`` rows reach the driver."""
-    level = F.floor(F.log2("n")).cast("int")
+    """The most frequent strings, by powers of two of their counts, contexts last; at most ``most`` rows reach the driver."""
+    level = F.when(F.col("n") > 0, F.floor(F.log2("n")).cast("int")).otherwise(-1)
     sizes = dict(strings.groupBy(level.alias("level")).count().collect())
     lowest, total, complete = 64, 0, True
     for size in sorted(sizes, reverse=True):
@@ -230,10 +265,12 @@ def _joined(parts: DataFrame, strings: DataFrame) -> DataFrame:
     words = parts.select(_ROW, F.posexplode(F.arrays_zip(f"{_PARTS}.known", f"{_PARTS}.keys")).alias("word", "x"))
     words = words.select(_ROW, "word", "x.known", F.explode("x.keys").alias("key"))
     values = words.select("key").distinct().join(strings.select("key", "evidence"), "key", "left")
-    values = values.select("key", F.coalesce("evidence", F.lit(0.0)).cast("double").alias("evidence"))
+    backoff = strings.select(F.col("key").alias("context"), F.col("evidence").alias("backoff"))
+    values = values.withColumn("context", context_key(F.col("key"))).join(backoff, "context", "left")
+    values = values.select("key", F.coalesce("evidence", "backoff", F.lit(0.0)).cast("double").alias("evidence"))
     words = words.join(values, "key").groupBy(_ROW, "word").agg((F.max("known") + F.sum("evidence")).alias("evidence"))
     e = F.col("evidence")
-    features = [*(F.greatest(e - level, F.lit(0.0)) for level in LEVELS), (e > LEVELS[-1]).cast("double")]
+    features = [e, *(F.greatest(e - level, F.lit(0.0)) for level in LEVELS), (e > LEVELS[-1]).cast("double")]
     added = words.groupBy(_ROW).agg(F.array(*(F.sum(f) for f in features)).alias(_ADDED))
     sums = F.zip_with(f"{_PARTS}.sums", F.col(_ADDED), lambda x, y: x + F.coalesce(y, F.lit(0.0)))
     sums = F.when(F.col(_ADDED).isNull(), F.col(f"{_PARTS}.sums")).otherwise(sums)
@@ -242,7 +279,7 @@ def _joined(parts: DataFrame, strings: DataFrame) -> DataFrame:
 
 def fit_logistic(features: np.ndarray, labels: np.ndarray, prior: tuple = PRIOR, strength: float = 4.0) -> np.ndarray:
     """Weights of a logistic model, the intercept last, drawn to ``prior``; without rows the prior itself."""
-    x = np.column_stack([np.clip(features, 0, 6), np.ones(len(features))])
+    x = np.column_stack([np.clip(features, -6, 6), np.ones(len(features))])
     centre = np.array(prior)
     w = centre.copy()
     for _ in range(100):
@@ -259,7 +296,7 @@ def _featured(texts: DataFrame, found: str, model: ToxicityModel) -> DataFrame:
     """All columns of ``texts`` with ``found``: the features of its ``text``."""
     evidence = model.evidence
 
-    @F.pandas_udf("n long, sums array<double>, known array<double>, keys array<array<long>>")
+    @F.pandas_udf("n array<long>, sums array<double>, known array<double>, keys array<array<long>>")
     def parts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = evidence.value
         for batch in batches:
@@ -276,7 +313,7 @@ def _featured(texts: DataFrame, found: str, model: ToxicityModel) -> DataFrame:
     with_parts = texts.withColumn(_PARTS, parts(text_or_empty(F.col("text"))))
     if not model.complete:
         with_parts = _joined(with_parts, model.strings)
-    features = [F.col(f"{_PARTS}.sums")[i] * scale / F.col(f"{_PARTS}.n") for i, scale in enumerate(SCALES)]
+    features = [F.col(f"{_PARTS}.sums")[i] * scale / F.col(f"{_PARTS}.n")[i] for i, scale in enumerate(SCALES)]
     return with_parts.withColumn(found, F.array(*features)).drop(_PARTS)
 
 
@@ -291,7 +328,7 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, column: str = "score") -> DataFrame:
         """All rows and columns of ``docs`` with a score of 0 to 1 of its ``text`` (null as empty)."""
-        x = [F.least(F.greatest(F.col(_FEATURES)[i], F.lit(0.0)), F.lit(6.0)) for i in range(len(SCALES))]
+        x = [F.least(F.greatest(F.col(_FEATURES)[i], F.lit(-6.0)), F.lit(6.0)) for i in range(len(SCALES))]
         total = sum((f * float(w) for f, w in zip(x, self.weights, strict=False)), F.lit(float(self.weights[-1])))
         return _featured(docs, _FEATURES, self).withColumn(column, 1 / (1 + F.exp(-total))).drop(_FEATURES)
 

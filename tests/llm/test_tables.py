@@ -20,7 +20,7 @@ from spendloom.llm.neighbours import Settings, nearest, op3_permutation_search
 from spendloom.llm.page_model import PageModel, built_in_counts, labels, parse
 from spendloom.llm.queries import ORACLE, QUERIES
 from spendloom.llm.secrets import find_secrets, listed
-from spendloom.llm.toxicity import THRESHOLD, held_out, train
+from spendloom.llm.toxicity import THRESHOLD, held_out, hot_evidence, string_evidence, train
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, lang string, score string, kept string, size string, row string"
@@ -266,3 +266,22 @@ def test_toxicity_drops_no_string(spark):
         found = sorted((str(r.doc_id), r.f) for r in found.collect())
         assert [i for i, _ in found] == [i for i, _ in expected]
         assert np.allclose([f for _, f in found], [f for _, f in expected], atol=1e-9)
+
+
+def test_toxicity_weighs_mild_words_and_backs_off_unseen_strings(spark):
+    rnd = random.Random(9)
+    words = ["anther", "winter", "letter", "butter", "matter", "dinner"]
+    weights = {1: [3, 3, 3, 1, 1, 1], 0: [1, 1, 1, 3, 3, 3]}
+    texts = [(i, i % 2, " ".join(rnd.choices(words, weights[i % 2], k=60))) for i in range(300)]
+    table = docs(spark, [(i, t, "s") for i, _, t in texts])
+    model = train(table, spark.createDataFrame([(i, m) for i, m, _ in texts], "doc_id long, toxic int"))
+    evidence = model.evidence.value
+    mild, other = ["anther winter letter " * 20, "butter matter dinner " * 20]
+    assert all(0 < evidence.parts([w])[0][1][0] < 2 for w in words[:3])
+    found = {r.doc_id: r.f for r in model.score(docs(spark, [(1, mild, "s"), (2, "", "s"), (3, other, "s")]), "f").collect()}
+    assert found[1] > found[2] > found[3]
+    # a string that neither class has: what each leaves to the backoff after its context
+    counts = spark.createDataFrame([(7 * 1024 + 1, 4, 1), (7 * 1024 + 2, 1, 0), (7 * 1024 + 3, 0, 5), (9 * 1024 + 1, 0, 2)], "key long, toxic long, ordinary long")
+    known = hot_evidence(string_evidence(counts))
+    values, found_here = known.of(np.array([7 * 1024 + 9, 9 * 1024 + 9, 8 * 1024 + 9]))
+    assert np.allclose(values, [np.log(2 / 5) - np.log(2 / 6), -np.log(1 / 2), 0.0], atol=1e-6) and found_here.all()
