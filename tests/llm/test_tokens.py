@@ -142,3 +142,14 @@ def test_vocabulary_path_is_a_parameter(spark):
     from spendloom.llm.packing import token_pieces
 
     assert token_pieces(one, vocabulary_path=path).select(F.sum("length")).collect()[0][0] == len(whole(BYTE_BPE, "hello there")) + 1
+
+
+@pytest.mark.parametrize("vocabulary", [WORD_BPE, BYTE_BPE])
+def test_added_tokens_in_texts_have_one_id(vocabulary):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+    texts = ["end <|endoftext|> x", "a<|endoftext|>b  <|startoftext|>\n", "<|endoftext|>", "<|ENDOFTEXT|> c", "<|endof text|> don't", *ODD]
+    found = [np.frombuffer(ids, "<u4").tolist() for ids in piece_ids(vocabulary).encode(texts)]
+    assert found == [fresh.encode(text, add_special_tokens=False).ids for text in texts]
+    assert len(found[2]) == 1
