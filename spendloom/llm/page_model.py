@@ -21,6 +21,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 UNSEEN = frozenset(
     "head title script style noscript template iframe object svg math canvas audio video select option textarea button".split()
 )
+#: What stands in a head; any other start tag, or text, ends one whose end tag is left out.
+IN_HEAD = frozenset("head title base link meta style script noscript template basefont bgsound noframes".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -82,7 +84,12 @@ class _Builder(HTMLParser):
             if scoped and name in SCOPE:
                 return
 
+    def _in_head(self) -> bool:
+        return self.nodes[self.stack[-1]].tag == "head"
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "body" or self._in_head() and tag not in IN_HEAD:
+            self._leave("head", False)
         if tag in VOID:
             self.pieces.append(" ")
             return
@@ -109,6 +116,8 @@ class _Builder(HTMLParser):
         self._leave(tag, tag in INLINE or tag == "p" or tag in ENDS)
 
     def handle_data(self, data: str) -> None:
+        if data.strip() and self._in_head():
+            self._leave("head", False)
         if self.unseen:
             return
         self.pieces.append(data)

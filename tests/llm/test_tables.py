@@ -285,3 +285,16 @@ def test_toxicity_weighs_mild_words_and_backs_off_unseen_strings(spark):
     known = hot_evidence(string_evidence(counts))
     values, found_here = known.of(np.array([7 * 1024 + 9, 9 * 1024 + 9, 8 * 1024 + 9]))
     assert np.allclose(values, [np.log(2 / 5) - np.log(2 / 6), -np.log(1 / 2), 0.0], atol=1e-6) and found_here.all()
+
+
+@pytest.mark.parametrize("cut", ["</head>", "</head><body>"])
+def test_pages_without_the_end_of_head(spark, cut):
+    assert cut in PAGE
+    page = PAGE.replace(cut, "")
+    found = {html: parse(html).blocks for html in (PAGE, page)}
+    assert [text for _, text in found[page]] == [text for _, text in found[PAGE]]
+    pages = spark.createDataFrame([(1, "u", PAGE, "kept"), (2, "u", page, "kept")], "page_id long, url string, html string, text string")
+    texts = {r.page_id: r.found for r in extract_text(pages, train_page_model(pages), "found").collect()}
+    assert texts[2] == texts[1] == "Head\nOne two & <three>\nFour five.\nSix"
+    assert [t for _, t in parse("<head><title>T</title>plain words").blocks] == ["plain words"]
+    assert parse("<head><noscript><p>x</p></noscript><title>T</title></head>").blocks == []
