@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .filter_audit import OP11_SQL, op11_filter_audit
 from .html_text import op6_html_text
 from .mixing import OP8_SQL, op8_source_mixing
 from .near_dedup import op9_near_dedup
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_near_dedup": op9_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE = {
     "op5_exact_dedup": OP5_SQL,
     "op8_source_mixing": OP8_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
