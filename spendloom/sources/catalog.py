@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,31 +51,50 @@ def table_schema(spark: SparkSession, table: str) -> StructType:
     return spark.table(table).schema
 
 
-def _files(frame: DataFrame):
-    """Size and newest modification time of the files of a table."""
-    files = frame.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    return files.agg(
-        F.coalesce(F.sum("file_size"), F.lit(0)).alias("size"), F.max("file_modification_time").alias("modified")
-    ).first()
+def _files(spark: SparkSession, location: str | None):
+    """Size and newest modification time of the files at a table's location, from their listing."""
+    if not location:
+        return None, None
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(location)
+    return listed.agg(F.coalesce(F.sum("length"), F.lit(0)), F.max("modificationTime")).first()
 
 
-def table_info(spark: SparkSession, table: str) -> dict[str, Any]:
-    """Rows, columns, size, creation and modification time, location and the schema of a table."""
-    details = {
-        r["col_name"]: r["data_type"]
-        for r in spark.sql("DESCRIBE TABLE EXTENDED IDENTIFIER(:t)", args={"t": table}).collect()
-    }
-    described = spark.catalog.getTable(table)
-    frame = spark.table(table)
-    files = _files(frame)
+def _described(spark: SparkSession, table: str) -> dict[str, str]:
+    rows = spark.sql("DESCRIBE TABLE EXTENDED IDENTIFIER(:t)", args={"t": table}).collect()
+    return {r["col_name"]: r["data_type"] for r in rows}
+
+
+def analyze_table(spark: SparkSession, table: str) -> None:
+    """Count the rows of a table into the catalog; Spark forgets the count when it writes to the table."""
+    spark.sql("ANALYZE TABLE IDENTIFIER(:t) COMPUTE STATISTICS", args={"t": table})
+
+
+def _row_count(details: dict[str, str]) -> int | None:
+    found = re.search(r"(\d+) rows", details.get("Statistics") or "")
+    return int(found.group(1)) if found else None
+
+
+def table_info(spark: SparkSession, table: str, *, analyze: bool = True) -> dict[str, Any]:
+    """Rows, columns, size, creation and modification time, location and the schema of a table.
+
+    The number of rows is the catalog's statistic, size and time of change are those of the listed files: no
+    data is read. Where the catalog does not know the rows they are counted into it once, or, with
+    `analyze` off, are None.
+    """
+    details = _described(spark, table)
+    if analyze and _row_count(details) is None and details.get("Type") != "VIEW":
+        analyze_table(spark, table)
+        details = _described(spark, table)
+    described, columns = spark.catalog.getTable(table), spark.catalog.listColumns(table)
+    size, modified = _files(spark, details.get("Location"))
     return {
         "table": described.name,
         "database": ".".join(described.namespace or []),
-        "num_rows": frame.count(),
-        "num_columns": len(frame.columns),
-        "size_bytes": files.size,
+        "num_rows": _row_count(details),
+        "num_columns": len(columns),
+        "size_bytes": size,
         "created": details.get("Created Time"),
-        "modified": files.modified,
+        "modified": modified,
         "location": details.get("Location"),
         "schema": [
             {
@@ -83,7 +103,7 @@ def table_info(spark: SparkSession, table: str) -> dict[str, Any]:
                 "mode": "NULLABLE" if c.nullable else "REQUIRED",
                 "description": c.description,
             }
-            for c in spark.catalog.listColumns(table)
+            for c in columns
         ],
     }
 

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
+from scans import scanned_rows
 
 from spendloom.operators.clustering import ProductClustering, gmm_tiers, kmeans_tiers
 from spendloom.sources import catalog, files, named_queries
@@ -74,6 +76,44 @@ def test_classes_that_look_alike_stay_apart(spark, tmp_path):
     assert {r["class4_slug"] for r in found if r["v"] < 3} == {"007", "7"}
 
 
+def files_below(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("part-*") if "_manifest" not in str(f)}
+
+
+def test_replacing_a_class_leaves_the_others_alone(spark, tmp_path):
+    df = spark.createDataFrame([("a b", 1), ("c+%", 2), ("d", 3), ("d", 4)], "class4 string, v int")
+    path = tmp_path / "x"
+    manifest = {r["class4_slug"]: r for r in files.export_by_class(df, str(path)).collect()}
+    assert len(manifest) == 3 and all(r["files"] >= 1 and r["bytes"] > 0 and r["written"] for r in manifest.values())
+    before = files_below(path)
+    other = spark.createDataFrame([("d", 9), ("e", 5)], "class4 string, v int")
+    again = {r["class4_slug"]: r for r in files.export_by_class(other, str(path), replace="classes").collect()}
+    after = files_below(path)
+    assert {f: t for f, t in before.items() if "slug=d" not in f}.items() <= after.items()
+    assert not any("slug=d" in f for f in before.keys() & after.keys())
+    slugs = {r["class4_slug"] for r in files.read_export(spark, str(path)).collect()}
+    assert set(again) == slugs == set(manifest) | {"e"}
+    found = {(r["class4"], r["v"]) for r in files.read_export(spark, str(path)).collect()}
+    assert found == {("a b", 1), ("c+%", 2), ("d", 9), ("e", 5)}
+    assert files.read_manifest(spark, str(path)).count() == 4
+    assert files.export_by_class(other, str(path)).count() == 2 and files.read_export(spark, str(path)).count() == 2
+    with pytest.raises(ValueError):
+        files.export_by_class(df, str(path), replace="some")
+
+
+def test_table_information_reads_no_data(spark, table):
+    df = spark.range(100).select("id", (F.col("id") % 3).alias("k"))
+    catalog.save_table(df, table)
+    assert catalog.table_info(spark, table, analyze=False)["num_rows"] is None
+    assert catalog.table_info(spark, table)["num_rows"] == 100
+    before = scanned_rows(spark)
+    info = catalog.table_info(spark, table)
+    assert info["num_rows"] == 100 and info["size_bytes"] > 0 and info["modified"]
+    assert scanned_rows(spark) - before < 100
+    catalog.save_table(df, table)
+    assert catalog.table_info(spark, table)["num_rows"] == 200
+
+
 def test_clashing_table_names(spark, tmp_path):
     with pytest.raises(ValueError):
         files.write_tables({"a/b": spark.range(1), "a:b": spark.range(1)}, str(tmp_path))
