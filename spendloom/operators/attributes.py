@@ -11,6 +11,7 @@ from spendloom.config import DETAIL_NAMES, ID_PREFIXES, AttributeRule
 from spendloom.functions.names import key_of, title_name
 from spendloom.functions.text import looks_latin, merge_text, non_blank, trimmed
 from spendloom.operators.lookups import keep_first
+from spendloom.operators.prefix import running_totals
 
 #: Most columns a discovered pivot may get.
 MAX_PIVOT_VALUES = 1_000
@@ -63,9 +64,10 @@ def pivot_values(
     )
 
 
-def distinct_values(df: DataFrame, column: str, limit: int = MAX_PIVOT_VALUES) -> list:
-    """The values of a column that are to become columns; raises beyond `limit`."""
-    rows = df.select(column).dropna().distinct().limit(limit + 1).collect()
+def distinct_values(df: DataFrame, column: str | Column, limit: int = MAX_PIVOT_VALUES) -> list:
+    """The values of a column, or of an expression, that are to become columns; raises beyond `limit`."""
+    values = F.col(column) if isinstance(column, str) else column
+    rows = df.select(values.alias("_value")).dropna().distinct().limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"{column} has more than {limit} values; list the wanted ones")
     return sorted(r[0] for r in rows)
@@ -77,9 +79,15 @@ def pivot_attributes_wide(
     value_col: str,
     attribute_col: str = "attribute_id",
     attributes: Sequence[str] | None = None,
+    *,
+    names: DataFrame | None = None,
 ) -> DataFrame:
-    """Attribute rows to columns; the attributes are looked up when not given."""
-    wanted = distinct_values(df, attribute_col) if attributes is None else attributes
+    """Attribute rows to columns.
+
+    The attributes, when not given, are those in the column of that name of `names`, a narrow table such as
+    the attribute list, or else of `df` itself, which is then computed once more.
+    """
+    wanted = distinct_values(df if names is None else names, attribute_col) if attributes is None else attributes
     return pivot_values(df, index_cols, attribute_col, value_col, list(wanted))
 
 
@@ -93,6 +101,29 @@ def list_values(df: DataFrame, keys: Sequence[str], value_col: str, output: str
     return df.groupBy(*keys).agg(texts.alias(output))
 
 
+def list_pages(df: DataFrame, keys: Sequence[str], value_col: str, page_chars: int = 1_000_000, separator: str = " | ") -> DataFrame:
+    """The list of `list_values` in pages: keys, `page` and `value_list`, for keys with more values than one text should hold.
+
+    A value stands on the page on which it would start if the whole list were one text, so no value is
+    cut and a page is longer than `page_chars` only by what its last value exceeds it. Pages follow each
+    other in ascending numbers; a very long value leaves out some. A page depends on its values and on
+    the lengths before it, which are running totals: no task holds all values of a key. Missing keys and
+    values are left out.
+    """
+    values = df.select(*keys, F.col(value_col).cast("string").alias("_value")).dropna().distinct()
+    lengths = values.withColumns({"_length": F.length("_value") + len(separator), "_order": F.lit(0)})
+    placed = running_totals(lengths, list(keys), "_order", "_length", ["_value"])
+    page = F.floor((F.col("running") - F.col("_length")) / page_chars).cast("long")
+    texts = F.expr(f"listagg(_value, '{separator}') WITHIN GROUP (ORDER BY _value)")
+    return placed.withColumn("page", page).groupBy(*keys, "page").agg(texts.alias("value_list"))
+
+
+def join_pages(pages: DataFrame, keys: Sequence[str], separator: str = " | ") -> DataFrame:
+    """One text per key from its pages, in their order: what `list_values` gives for keys and values that are there."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("page", "value_list"))), lambda p: p["value_list"])
+    return pages.groupBy(*keys).agg(F.array_join(texts, separator).alias("value_list"))
+
+
 def merge_columns(df: DataFrame, first: str, second: str, output: str) -> DataFrame:
     """Replace two text columns by one holding both when they differ."""
     merged = merge_text(F.col(first), F.col(second))

@@ -1,4 +1,4 @@
-"""Running totals that stay balanced when one group holds most rows."""
+"""Running totals that stay balanced when one group holds most rows, and when its numbers are close or equal."""
 
 from __future__ import annotations
 
@@ -8,20 +8,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Block of a row: a whole number that never falls as the ordering number rises.
+#: Block of a row: a whole number that never falls along the order.
 BLOCK = "_block"
 
-#: Blocks between a number and its double; equal numbers share a block.
-PER_DOUBLING = 16
+#: Blocks of all groups together. Each holds about this share of all rows, the largest some seven times as much.
+RANGES = 1024
 
-#: Numbers nearer to zero than 2^-40 share the blocks next to that of zero.
-_LEAST = 40
+#: Bounds are searched in two steps of so many.
+_STEP = 32
 
 
-def block_of(number: Column, per_doubling: int = PER_DOUBLING) -> Column:
-    """Block of a number, by its sign and logarithm; NULL has the lowest."""
-    size = F.greatest(F.floor(F.log2(F.abs(number.cast("double"))) * per_doubling) + _LEAST * per_doubling + 1, F.lit(1))
-    return F.when(number > 0, size).when(number < 0, -size).when(number == 0, 0).otherwise(-(2**40)).cast("bigint")
+def order_key(group: Sequence[str], number: str, ties: Sequence[str], *, descending: bool = False) -> Column:
+    """What orders rows, as one ascending value: group, number (NULL first, or last when descending), ties."""
+    value = -F.col(number) if descending else F.col(number)
+    missing = F.col(number).isNull() if descending else F.col(number).isNotNull()
+    return F.struct(*group, missing.alias("_missing"), value.alias("_value"), *ties)
+
+
+def range_bounds(df: DataFrame, key: Column, ranges: int = RANGES) -> Column:
+    """Bounds that cut all rows into about `ranges` parts of equal size: a lazy scalar, at most `ranges` values.
+
+    The bounds are the keys with the smallest hashes: a sample that depends on the rows alone, not on how
+    they are dealt, so every branch of a plan and every retried task finds the same ones.
+    """
+    keys = df.select(key.alias("_key"))
+    sample = keys.orderBy(F.xxhash64("_key"), "_key").limit(ranges)
+    bounds = F.sort_array(F.collect_set("_key"))
+    steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(bounds) / _STEP) - 1, F.lit(0)).cast("int"))
+    return sample.agg(F.transform(steps, lambda i: F.slice(bounds, i * _STEP + 1, _STEP)).alias("_bounds")).scalar()
+
+
+def with_blocks(df: DataFrame, key: Column, ranges: int = RANGES) -> DataFrame:
+    """`df` with the number of bounds that each row's key reaches as BLOCK."""
+    bounds, row_key = F.col("_bounds"), F.col("_key")
+    steps = F.size(F.filter(bounds, lambda step: step[0] <= row_key))
+    inside = F.size(F.filter(F.get(bounds, F.greatest(steps - 1, F.lit(0))), lambda bound: bound <= row_key))
+    # never NULL, so that no join has to filter for it
+    block = F.coalesce(F.when(steps > 0, (steps - 1) * _STEP + inside), F.lit(0)).cast("bigint")
+    placed = df.withColumns({"_bounds": range_bounds(df, key, ranges), "_key": key})
+    return placed.withColumn(BLOCK, block).drop("_bounds", "_key")
 
 
 def running_totals(
@@ -32,20 +57,21 @@ def running_totals(
     ties: Sequence[str] = (),
     *,
     descending: bool = False,
-    per_doubling: int = PER_DOUBLING,
+    ranges: int = RANGES,
 ) -> DataFrame:
     """Add `running` (inclusive, by `number` and then `ties` within `group`), `total` and the block.
 
-    Rows fall into blocks by the logarithm of `number`, so a block is known from the row alone: nothing
-    is sampled, frozen or run while the plan is built, and a retried task finds the same block. Sums
-    per (group, block) give each block its offset, and the window runs inside (group, block); sums,
-    window and the join between them share one partitioning. A hot group spans all its blocks.
-    Rows of equal number are ordered by `ties` in one task. `group` columns must not be NULL.
+    Rows fall into blocks by bounds on the whole order (group, number, ties), so neither close nor equal
+    numbers gather in one block; only rows alike in all of them do. The bounds are found inside the plan:
+    nothing runs while it is built. Sums per (group, block) give each block its offset, at most one more
+    than `ranges` rows a group, and the window runs inside (group, block); sums, window and the join
+    between them share one partitioning. A hot group spans its share of all blocks. `group` columns must
+    not be NULL.
     """
     by = [*group, BLOCK]
-    blocked = df.withColumn(BLOCK, block_of(F.col(number), per_doubling))
-    direction = F.col(BLOCK).desc() if descending else F.col(BLOCK).asc()
-    earlier = W.partitionBy(*group).orderBy(direction).rowsBetween(W.unboundedPreceding, -1)
+    key = order_key(group, number, ties, descending=descending)
+    blocked = with_blocks(df, key, ranges)
+    earlier = W.partitionBy(*group).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         blocked.groupBy(*by)
         .agg(F.sum(measure).alias("_sum"))
@@ -65,18 +91,12 @@ def running_totals(
     )
 
 
-def quantiles(df: DataFrame, value: str, shares: dict[str, float], *, per_doubling: int = PER_DOUBLING) -> DataFrame:
-    """One row of exact quantiles with linear interpolation, NULL values ignored.
-
-    Equal values are counted first, so a hot value is one row; the position of
-    each value then comes from running totals over the counts.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    placed = running_totals(counts, [], "_v", "_n", per_doubling=per_doubling)
-    first, last = F.col("running") - F.col("_n"), F.col("running") - 1
+def quantile_columns(shares: dict[str, float], value: str = "_v", count: str = "_n") -> list[Column]:
+    """Aggregates of counted values with running totals: exact quantiles with linear interpolation."""
+    first, last = F.col("running") - F.col(count), F.col("running") - 1
 
     def at(position: Column) -> Column:
-        return F.max(F.when((first <= position) & (position <= last), F.col("_v")))
+        return F.max(F.when((first <= position) & (position <= last), F.col(value)))
 
     result = []
     for name, share in shares.items():
@@ -84,4 +104,18 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], *, per_doubli
         low, high = at(F.floor(position)), at(F.ceil(position))
         fraction = F.max(position - F.floor(position))
         result.append((low + (high - low) * fraction).alias(name))
-    return placed.agg(*result)
+    return result
+
+
+def counted_values(df: DataFrame, value: str) -> DataFrame:
+    """(_v, _n): each value that is not NULL and how often it occurs; a hot value is one row."""
+    return df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], *, ranges: int = RANGES) -> DataFrame:
+    """One row of exact quantiles with linear interpolation, NULL values ignored.
+
+    The position of each value comes from running totals over its counts.
+    """
+    placed = running_totals(counted_values(df, value), [], "_v", "_n", ranges=ranges)
+    return placed.agg(*quantile_columns(shares))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spendloom.functions.numbers import to_number
 from spendloom.operators.attributes import distinct_values
-from spendloom.operators.prefix import PER_DOUBLING, quantiles
+from spendloom.operators.prefix import RANGES, counted_values, quantile_columns, running_totals
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -18,41 +18,52 @@ def null_profile(df: DataFrame) -> DataFrame:
     return counts.unpivot([], df.columns, "column_name", "missing")
 
 
-def describe_column(df: DataFrame, column: str, *, per_doubling: int = PER_DOUBLING) -> DataFrame:
-    """One row: count, mean, sample deviation, minimum, exact quartiles, maximum."""
-    numbers = df.select(to_number(F.col(column), None).alias("_v"))
-    moments = numbers.agg(
-        F.count("_v").alias("count"),
-        F.avg("_v").alias("mean"),
-        F.stddev_samp("_v").alias("std"),
+def describe_column(df: DataFrame, column: str, *, ranges: int = RANGES) -> DataFrame:
+    """One row: count, mean, sample deviation, minimum, exact quartiles, maximum.
+
+    The column is read once and its values counted; everything comes from the counts. Squares are of
+    distances from the minimum, so close values lose no digits. Missing values and texts that are no
+    number count for nothing; without values the count is 0 and the rest is NULL.
+    """
+    counts = counted_values(df.select(to_number(F.col(column), None).alias("_v")), "_v")
+    least = counts.agg(F.min("_v")).scalar()
+    placed = running_totals(counts, [], "_v", "_n", ranges=ranges).withColumn("_d", F.col("_v") - least)
+    found = placed.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("count"),
+        F.sum(F.col("_d") * F.col("_n")).alias("_s"),
+        F.sum(F.col("_d") * F.col("_d") * F.col("_n")).alias("_q"),
         F.min("_v").alias("min"),
         F.max("_v").alias("max"),
+        *quantile_columns({"p25": 0.25, "p50": 0.5, "p75": 0.75}),
+    )
+    spread = F.greatest(F.col("_q") - F.col("_s") * F.col("_s") / F.nullif("count", F.lit(0)), F.lit(0.0))
+    return found.select(
+        "count",
+        (F.col("min") + F.col("_s") / F.nullif("count", F.lit(0))).alias("mean"),
+        F.when(F.col("count") > 1, F.sqrt(spread / (F.col("count") - 1))).alias("std"),
+        *("min", "p25", "p50", "p75", "max"),
     )
-    quartiles = quantiles(numbers, "_v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, per_doubling=per_doubling)
-    both = moments.withColumn("_one", F.lit(1)).join(quartiles.withColumn("_one", F.lit(1)), "_one")
-    return both.select("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50, *, fill: float | None = 0.0) -> DataFrame:
     """Counts in equal bins between minimum and maximum, empty bins included.
 
-    Values that are no number count as `fill`, or are left out when it is None.
+    Values that are no number count as `fill`, or are left out when it is None; without values there are
+    no rows. The edges are found inside the plan, so nothing runs while it is built.
     """
     numbers = df.select(to_number(F.col(column), fill).alias("_v")).dropna()
-    low, high = numbers.agg(F.min("_v"), F.max("_v")).first()
-    spark = df.sparkSession
-    if low is None:
-        return spark.createDataFrame([], "bin int, low double, high double, rows bigint")
-    if low == high:
-        low, high = low - 0.5, high + 0.5
-    width = (high - low) / bins
-    position = F.floor((F.col("_v") - F.lit(low)) / F.lit(width)).cast("int")
-    counts = numbers.groupBy(F.least(position, F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("_n"))
-    edges = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return edges.join(counts, "bin", "left").select(
+    least, most = F.min("_v"), F.max("_v")
+    # one value alone stands in the middle
+    half = F.when(least == most, 0.5).otherwise(0.0)
+    low, width = (least - half).alias("low"), ((most - least + 2 * half) / bins).alias("width")
+    edges = numbers.agg(F.struct(low, width).alias("edges")).scalar()
+    position = F.floor((F.col("_v") - edges["low"]) / edges["width"]).cast("int")
+    counts = numbers.withColumn("bin", F.least(position, F.lit(bins - 1))).groupBy("bin").agg(F.count("*").alias("_n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), edges.alias("edges"))
+    return every.filter(F.col("edges.low").isNotNull()).join(counts, "bin", "left").select(
         "bin",
-        (F.lit(low) + F.col("bin") * F.lit(width)).alias("low"),
-        (F.lit(low) + (F.col("bin") + 1) * F.lit(width)).alias("high"),
+        (F.col("edges.low") + F.col("bin") * F.col("edges.width")).alias("low"),
+        (F.col("edges.low") + (F.col("bin") + 1) * F.col("edges.width")).alias("high"),
         F.coalesce("_n", F.lit(0)).alias("rows"),
     )
 

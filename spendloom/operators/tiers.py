@@ -12,8 +12,9 @@ from pyspark.sql.types import DecimalType
 
 from spendloom.config import ABC, ABCDE, TierScheme
 from spendloom.functions.numbers import thousands
+from spendloom.operators.joins import skewed_join
 from spendloom.operators.lookups import keep_first
-from spendloom.operators.prefix import BLOCK, PER_DOUBLING, running_totals
+from spendloom.operators.prefix import BLOCK, RANGES, running_totals
 
 _SPEND, _LABEL = "_spend", "_label"
 
@@ -47,7 +48,7 @@ def _exact_spend(df: DataFrame, spend_col: str) -> Column:
     return spend.try_cast(DecimalType(20, 0))
 
 
-def _with_shares(df: DataFrame, class_col: str, product_col: str, spend_col: str, per_doubling: int) -> DataFrame:
+def _with_shares(df: DataFrame, class_col: str, product_col: str, spend_col: str, ranges: int) -> DataFrame:
     """Add the exact spend, running spend, class total and block of every product.
 
     Equal spends are ordered by product and then by all other columns, so labels do not depend on the
@@ -56,7 +57,7 @@ def _with_shares(df: DataFrame, class_col: str, product_col: str, spend_col: str
     ties = [product_col, *[c for c in df.columns if c not in (class_col, product_col, spend_col)]]
     exact = df.filter(F.col(class_col).isNotNull()).withColumn(_SPEND, _exact_spend(df, spend_col))
     scale = exact.schema[_SPEND].dataType.scale
-    ranked = running_totals(exact, [class_col], _SPEND, _SPEND, ties, descending=True, per_doubling=per_doubling)
+    ranked = running_totals(exact, [class_col], _SPEND, _SPEND, ties, descending=True, ranges=ranges)
     # Room for a factor of up to 1,000: `denominator * running` then keeps its decimals.
     sums = DecimalType(34, scale)
     return ranked.withColumns(
@@ -77,13 +78,13 @@ def cumulative_share(
     product_col: str,
     spend_col: str,
     *,
-    per_doubling: int = PER_DOUBLING,
+    ranges: int = RANGES,
 ) -> DataFrame:
     """Add `cum_share`: share of the class spent on products up to and including this one.
 
     NULL when the class total is not positive or the spend is missing.
     """
-    shared = _with_shares(df, class_col, product_col, spend_col, per_doubling)
+    shared = _with_shares(df, class_col, product_col, spend_col, ranges)
     return shared.select(*df.columns, _share().alias("cum_share"))
 
 
@@ -133,7 +134,7 @@ def tier_products(
     scheme: TierScheme = ABCDE,
     *,
     label_col: str = "segmentation",
-    per_doubling: int = PER_DOUBLING,
+    ranges: int = RANGES,
 ) -> DataFrame:
     """Label each product of a class by cumulative spend share, largest spend first.
 
@@ -144,7 +145,7 @@ def tier_products(
     spends are ordered by product, then by the other columns. Decimals are compared exactly; doubles
     count to nine decimals.
     """
-    labelled = _with_shares(df, class_col, product_col, spend_col, per_doubling).withColumn(
+    labelled = _with_shares(df, class_col, product_col, spend_col, ranges).withColumn(
         _LABEL, _label(scheme)
     )
     if scheme.min_products:
@@ -205,13 +206,20 @@ def attach_segment(
     tiers: DataFrame,
     on: Sequence[str] = ("product_number",),
     label_col: str = "segmentation",
+    *,
+    spread: Sequence[str] | None = None,
 ) -> DataFrame:
     """Purchases with the label of their product.
 
     By product alone a product tiered in several classes, or under several
     descriptions, repeats its purchases; join on class and product to avoid it.
+    With `spread`, columns that tell the purchases of a product apart, products
+    that hold much of all purchases are dealt to several tasks.
     """
-    return purchases.join(tiers.select(*on, label_col), list(on), "left")
+    labels = tiers.select(*on, label_col)
+    if spread:
+        return skewed_join(purchases, labels, list(on), "left", spread=spread)
+    return purchases.join(labels, list(on), "left")
 
 
 def segment_per_product(tiers: DataFrame, product_col: str = "product_number") -> DataFrame:

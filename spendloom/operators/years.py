@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendloom.config import CLASS_SCOPE
@@ -13,7 +13,7 @@ from spendloom.functions.text import in_scope, trimmed
 from spendloom.operators.attributes import distinct_values
 from spendloom.operators.lookups import keep_first
 
-#: Most year columns a discovered pivot may get.
+#: Most year columns a discovered pivot may get, unless its caller sets another limit.
 MAX_YEARS = 200
 
 
@@ -54,8 +54,13 @@ def _sum_in_year(value_col: str, year_col: str, year: int) -> str:
     return f"sum(IF(`{year_col}` = {int(year)}, `{value_col}`, NULL))"
 
 
-def known_years(year_rows: DataFrame, year_col: str = "year") -> list[int]:
-    return distinct_values(year_rows, year_col, MAX_YEARS)
+def known_years(source: DataFrame, year: str | Column = "year", limit: int = MAX_YEARS) -> list[int]:
+    """The years of a table, in order; raises beyond `limit`.
+
+    Give the table that the years come from, before it is joined or summed, and the expression of the year:
+    then only the year's own column is read. Years of rows that are filtered later give columns of zeros.
+    """
+    return distinct_values(source, year, limit)
 
 
 def pivot_years(
@@ -74,20 +79,42 @@ def pivot_years(
     )
 
 
+def year_maps(
+    year_rows: DataFrame, key: str = "product_number", year_col: str = "year", value_col: str = "purchase_quantity"
+) -> DataFrame:
+    """One row per key with `by_year`, a map from year to sum; no year has to be known.
+
+    `widen_years` turns the map into columns. A key has as many entries as years.
+    """
+    sums = year_rows.dropna(subset=[key, year_col]).groupBy(key, year_col).agg(F.sum(value_col).alias("_sum"))
+    entries = F.array_sort(F.collect_list(F.struct(year_col, "_sum")))
+    return sums.groupBy(key).agg(F.map_from_entries(entries).alias("by_year"))
+
+
+def widen_years(maps: DataFrame, years: Sequence[int], label: str = "purchase_quantity") -> DataFrame:
+    """The map `by_year` as a column per year, 0 where there is none."""
+    kept = [c for c in maps.columns if c != "by_year"]
+    value = lambda y: F.coalesce(F.try_element_at("by_year", F.lit(int(y))), F.lit(0))
+    return maps.select(*kept, *[value(y).alias(f"{label}_{y}") for y in years])
+
+
 def year_split(
     year_rows: DataFrame,
     segments: DataFrame | None = None,
     *,
     years: Sequence[int] | None = None,
+    limit: int = MAX_YEARS,
     label: str = "purchase_quantity",
     segment_cols: Sequence[str] = ("product_description", "segmentation", "sales_rounding"),
 ) -> DataFrame:
     """One row per product: segment columns, class, and a whole quantity per year.
 
     Products are compared by trimmed text. Products without a class are left
-    out. Of several segment rows for a product the smallest is used.
+    out. Of several segment rows for a product the smallest is used. Without
+    `years` all of `year_rows` is computed once more to find them; `known_years`
+    finds them in the source.
     """
-    years = known_years(year_rows) if years is None else sorted(years)
+    years = known_years(year_rows, limit=limit) if years is None else sorted(years)
     rows = year_rows.withColumns(
         {
             "product_number": trimmed(F.col("product_number").cast("string")),
@@ -149,12 +176,15 @@ def year_metrics(
     *,
     year_col: str = "year_number",
     order_col: str = "order_number",
+    limit: int = MAX_YEARS,
     sums: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Yearly sums and number of orders per item, one column per measure and year.
 
     `sums` maps a source column to the prefix of its year columns. Orders are
-    counted from rows reduced to (item, year, order) first.
+    counted from rows reduced to (item, year, order) first. Without `years` the
+    order lines are computed once more to find them; `known_years` finds them in
+    the source.
     """
     if sums is None:
         sums = {
@@ -164,7 +194,7 @@ def year_metrics(
             "list_price_turnover_euro": "list_price_turnover_eur",
         }
     sums = {source: prefix for source, prefix in sums.items() if source in order_lines.columns}
-    years = distinct_values(order_lines, year_col, MAX_YEARS) if years is None else sorted(years)
+    years = known_years(order_lines, year_col, limit) if years is None else sorted(years)
     per_order = (
         order_lines.dropna(subset=[item_col, year_col])
         .groupBy(item_col, year_col, order_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendloom.config import DETAIL_NAMES
@@ -32,21 +32,19 @@ def is_long(product_data: DataFrame) -> bool:
     return {"attribute_name", "attribute_value"} <= set(product_data.columns)
 
 
-def details_from_long(
-    product_data: DataFrame, ids: DataFrame, names: Sequence[str] | DataFrame | None = DETAIL_NAMES
-) -> DataFrame:
-    """Details of the ids in a long table, for the given names or for all."""
-    rows = product_data
-    if isinstance(names, DataFrame):
-        rows = rows.join(names.select(F.col("detail_name").alias("attribute_name")), "attribute_name", "left_semi")
-    elif names is not None:
-        rows = rows.filter(F.col("attribute_name").isin(*names))
+def details_from_long(product_data: DataFrame, ids: DataFrame, names: Sequence[str] | None = DETAIL_NAMES) -> DataFrame:
+    """Details of the ids in a long table, for the given names or for all; blank names and values are none.
+
+    `_known` tells which names are among the known ones.
+    """
+    rows = product_data if names is None else product_data.filter(F.col("attribute_name").isin(*names))
     kept = rows.join(ids, "product_id", "left_semi")
     return kept.select(
-        trimmed(strip_id_prefix(F.col("product_id"))).alias("product_number"),
-        trimmed(F.col("attribute_name").cast("string")).alias("detail_name"),
-        trimmed(F.col("attribute_value").cast("string")).alias("detail_value"),
-    ).filter(F.col("product_number") != "")
+        non_blank(strip_id_prefix(F.col("product_id"))).alias("product_number"),
+        non_blank(F.col("attribute_name").cast("string")).alias("detail_name"),
+        non_blank(F.col("attribute_value").cast("string")).alias("detail_value"),
+        F.col("attribute_name").isin(*DETAIL_NAMES).alias("_known"),
+    ).dropna()
 
 
 def details_from_wide(product_data: DataFrame, ids: DataFrame) -> DataFrame:
@@ -68,27 +66,25 @@ def fetch_details(
 
     Sources in order: the enrichment table, then the long product table with the known names and with
     any names, or the wide product table. Each product takes the first source that has it. All of it is
-    one lazy plan; which sources apply is decided on their schema.
+    one lazy plan that reads each table once; which sources apply is decided on their schema.
     """
     sources = []
     if enrichment is not None and "product_number" in enrichment.columns:
-        sources.append(details_from_enrichment(enrichment, numbers))
+        sources.append(details_from_enrichment(enrichment, numbers).withColumn("_source", F.lit(0)))
     if product_data is not None:
         ids = candidate_ids(numbers)
-        if not is_long(product_data):
-            sources.append(details_from_wide(product_data, ids))
+        if is_long(product_data):
+            found = details_from_long(product_data, ids, None if discover_names else DETAIL_NAMES)
+            sources.append(found.withColumn("_source", F.when(F.col("_known"), 1).otherwise(2)).drop("_known"))
         else:
-            sources.append(details_from_long(product_data, ids))
-            if discover_names:
-                sources.append(details_from_long(product_data, ids, None))
+            sources.append(details_from_wide(product_data, ids).withColumn("_source", F.lit(1)))
     if not sources:
         return numbers.sparkSession.createDataFrame([], DETAIL_SCHEMA)
-    columns = ["product_number", "detail_name", "detail_value"]
-    ranked = reduce(
-        DataFrame.unionByName, [s.select(*columns, F.lit(rank).alias("_source")) for rank, s in enumerate(sources)]
-    )
-    best = ranked.groupBy("product_number").agg(F.min("_source").alias("_source"))
-    return first_detail(ranked.join(best, ["product_number", "_source"], "left_semi").select(*columns))
+    # the least value of each (product, source, name), before products choose their source
+    rows = reduce(DataFrame.unionByName, sources).groupBy("product_number", "_source", "detail_name")
+    values = rows.agg(F.min("detail_value").alias("detail_value"))
+    best = F.min("_source").over(Window.partitionBy("product_number"))
+    return values.withColumn("_best", best).filter("_source = _best").select("product_number", "detail_name", "detail_value")
 
 
 def product_details(

@@ -287,6 +287,12 @@ details AS (
   FROM asked JOIN (SELECT product_number, bool_or(known) AS any_known FROM asked GROUP BY 1) USING (product_number)
   WHERE known OR NOT any_known GROUP BY 1, 2)"""
 
+#: The same where a third of the values are missing and a third are blank.
+SPARSE_DETAILS = DETAILS.replace(
+    "l_returnflag || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS detail_value",
+    "CASE WHEN CAST(l_quantity AS INTEGER) % 3 = 2 THEN l_returnflag || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS detail_value",
+).replace("WHERE detail_name IS NOT NULL)", "WHERE detail_name IS NOT NULL AND detail_value IS NOT NULL)")
+
 WIDE = """wide AS (
   SELECT CAST(p_partkey AS VARCHAR) AS product_number, 'Material' AS detail_name,
          CASE WHEN p_size % 4 <> 0 THEN p_type END AS detail_value FROM part
@@ -344,7 +350,108 @@ FOUR_TIERS = FOUR + ",\n" + _tiers(
     "four_spend", "purchase_amount_eur", "ABCDE", ["0.8", "0.95", "0.99", "0.999"], 5, money_type="DECIMAL(28,4)"
 )
 
-_TOTALS = "SELECT count(*) AS rows, round(CAST(sum(purchase_amount_eur) AS DOUBLE), 2) AS spend"
+#: Steps of the logarithm of spend, as `operators.clustering.RESOLUTION` has them, and their best split into five.
+_STEP = "CASE WHEN purchase_amount_eur > 0 THEN CAST(floor(ln(CAST(purchase_amount_eur AS DOUBLE)) * 256) AS BIGINT) END"
+
+
+def _split_steps(clusters: int = 5) -> str:
+    """The place of the first step of each cluster, `starts(j, i)`, by trying every split of counted steps."""
+    parts = [
+        f"""logged AS (SELECT {_STEP} AS b FROM spend),
+bins AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY b) AS i, b, n, sum(n) OVER (ORDER BY b) AS w, sum(n * b) OVER (ORDER BY b) AS s, sum(n * b * b) OVER (ORDER BY b) AS q
+  FROM (SELECT b, count(*)::HUGEINT AS n FROM logged WHERE b IS NOT NULL GROUP BY 1)),
+split1 AS MATERIALIZED (SELECT i, (q - s * s / w::DOUBLE)::DOUBLE AS c, 1::BIGINT AS m FROM bins)"""
+    ]
+    for j in range(2, clusters + 1):
+        parts.append(
+            f"""split{j} AS MATERIALIZED (
+  SELECT i, best.c AS c, best.m AS m FROM (
+    SELECT e.i, min({{'c': l.c + greatest((e.q - p.q) - (e.s - p.s) * (e.s - p.s) / (e.w - p.w)::DOUBLE, 0), 'm': p.i + 1}}) AS best
+    FROM split{j - 1} l JOIN bins p ON p.i = l.i JOIN bins e ON e.i > p.i GROUP BY e.i))"""
+        )
+    starts = "(SELECT max(i) FROM bins)"
+    steps = []
+    for j in range(clusters, 0, -1):
+        parts.append(f"start{j} AS MATERIALIZED (SELECT {j} AS j, m AS i FROM split{j} WHERE i = {starts})")
+        starts = f"(SELECT i - 1 FROM start{j})"
+        steps.append(f"SELECT j, i FROM start{j}")
+    parts.append("starts AS MATERIALIZED (SELECT j, starts.i, b AS first FROM (" + " UNION ALL ".join(steps) + ") starts JOIN bins ON bins.i = starts.i)")
+    return ",\n".join(parts)
+
+
+def _mixture(steps: int = 40) -> str:
+    """Parts of a normal mixture, `mix(j, share, mean, variance)`, after so many steps from the split."""
+    parts = [
+        """belongs0 AS MATERIALIZED (
+  SELECT s.j, b.b / 256.0::DOUBLE AS x, b.n::DOUBLE AS n, (s.j = (SELECT max(t.j) FROM starts t WHERE t.i <= b.i))::INT::DOUBLE AS r
+  FROM bins b, starts s)"""
+    ]
+    for step in range(steps + 1):
+        parts.append(
+            f"""mix{step} AS MATERIALIZED (
+  SELECT j, greatest(sum(r * n), 1e-12) / sum(n) AS share, sum(r * n * x) / greatest(sum(r * n), 1e-12) AS mean,
+         greatest(sum(r * n * x * x) / greatest(sum(r * n), 1e-12) - pow(sum(r * n * x) / greatest(sum(r * n), 1e-12), 2), 1e-4) AS variance
+  FROM belongs{step} GROUP BY j),
+belongs{step + 1} AS MATERIALIZED (
+  SELECT j, x, n, d / greatest(sum(d) OVER (PARTITION BY x), 1e-300) AS r
+  FROM (SELECT m.j, x, n, share / sqrt(variance) * exp(-pow(x - mean, 2) / (2 * variance)) AS d
+        FROM belongs0 b JOIN mix{step} m ON m.j = b.j))"""
+        )
+    parts.append(f"mix AS (SELECT *, row_number() OVER (ORDER BY mean DESC, j) AS rank FROM mix{steps})")
+    return ",\n".join(parts)
+
+
+_KMEANS_ROWS = f"""SELECT * REPLACE (CAST(purchase_amount_eur AS DOUBLE) AS purchase_amount_eur),
+  coalesce('EDCBA'[(SELECT max(j) FROM starts WHERE first <= {_STEP})], 'E') AS segmentation FROM spend"""
+_GMM_ROWS = f"""SELECT * EXCLUDE (x) REPLACE (CAST(purchase_amount_eur AS DOUBLE) AS purchase_amount_eur),
+  coalesce('ABCDE'[(SELECT arg_max(rank, ln(share) - ln(variance) / 2 - pow(x - mean, 2) / (2 * variance)) FROM mix)], 'E') AS segmentation
+FROM (SELECT *, {_STEP} / 256.0::DOUBLE AS x FROM spend)"""
+
+
+def _clusters(candidates: tuple[int, ...] = (2, 3, 4), steps: int = 30) -> str:
+    """K-means of scaled spend and quantity from far points of a sample, for the best number by silhouette."""
+    parts = [
+        """f AS (SELECT product_number, CAST(sum(purchase_amount_eur) AS DOUBLE) AS spend, sum(purchase_quantity) AS quantity
+  FROM purchases GROUP BY 1),
+z AS MATERIALIZED (
+  SELECT product_number, (spend - avg(spend) OVER ()) / stddev_samp(spend) OVER () AS a,
+         (quantity - avg(quantity) OVER ()) / stddev_samp(quantity) OVER () AS b FROM f),
+sample AS MATERIALIZED (SELECT a, b FROM z ORDER BY md5(product_number) LIMIT 1000),
+far1 AS MATERIALIZED (SELECT 0 AS j, a, b FROM sample ORDER BY a * a + b * b, a, b LIMIT 1)"""
+    ]
+    for j in range(1, max(candidates)):
+        parts.append(
+            f"""far{j + 1} AS MATERIALIZED (SELECT * FROM far{j} UNION ALL SELECT * FROM (SELECT {j}, p.a, p.b FROM sample p, far{j} c
+  GROUP BY p.a, p.b ORDER BY min(pow(p.a - c.a, 2) + pow(p.b - c.b, 2)) DESC, p.a, p.b LIMIT 1))"""
+        )
+    near = "(SELECT p.product_number, p.a, p.b, arg_min(c.j, {{'d': pow(p.a - c.a, 2) + pow(p.b - c.b, 2), 'j': c.j}}) AS j FROM z p, {0} c GROUP BY ALL)"
+    for k in candidates:
+        parts.append(f"c{k}_0 AS MATERIALIZED (SELECT j, a, b FROM far{k})")
+        for step in range(steps):
+            parts.append(
+                f"""c{k}_{step + 1} AS MATERIALIZED (SELECT c.j, coalesce(avg(n.a), any_value(c.a)) AS a, coalesce(avg(n.b), any_value(c.b)) AS b
+  FROM c{k}_{step} c LEFT JOIN {near.format(f'c{k}_{step}')} n ON n.j = c.j GROUP BY c.j)"""
+            )
+        parts.append(
+            f"""in{k} AS MATERIALIZED {near.format(f'c{k}_{steps}')},
+sums{k} AS MATERIALIZED (SELECT j, count(*) AS n, avg(a) AS a, avg(b) AS b, avg(a * a + b * b) AS q FROM in{k} GROUP BY j),
+away{k} AS (
+  SELECT p.product_number, max(CASE WHEN s.j = p.j AND n > 1 THEN d * n / (n - 1) END) AS own, min(CASE WHEN s.j <> p.j THEN d END) AS other
+  FROM (SELECT p.product_number, p.j AS pj, s.j, s.n, p.a * p.a + p.b * p.b + s.q - 2 * (p.a * s.a + p.b * s.b) AS d FROM in{k} p, sums{k} s) s
+  JOIN in{k} p USING (product_number) GROUP BY 1),
+score{k} AS MATERIALIZED (
+  SELECT {k} AS k, round(avg(CASE WHEN own IS NULL OR greatest(own, other) <= 0 THEN 0 ELSE (other - own) / greatest(own, other) END), 9) AS score FROM away{k})"""
+        )
+    scores = " UNION ALL ".join(f"SELECT * FROM score{k}" for k in candidates)
+    parts.append(f"best AS MATERIALIZED (SELECT k FROM ({scores}) ORDER BY score DESC, k LIMIT 1)")
+    rows = " UNION ALL ".join(
+        f"SELECT product_number, cluster FROM in{k} JOIN (SELECT j, CAST(rank() OVER (ORDER BY a, b) - 1 AS INTEGER) AS cluster FROM c{k}_{steps})"
+        f" USING (j) WHERE (SELECT k FROM best) = {k}"
+        for k in candidates
+    )
+    return ",\n".join(parts) + "\n" + rows
+
 
 ODD_DETAILS = """odd AS (
   SELECT product_number, detail_value, product_id FROM long JOIN wanted USING (product_number))"""
@@ -365,13 +472,8 @@ def _missing() -> str:
 
 
 
-ORACLE: dict[str, str] = {
-    "tiers_four_decimals": _with(FOUR_TIERS)
-    + "SELECT * REPLACE (CAST(purchase_amount_eur AS DOUBLE) AS purchase_amount_eur) FROM tiers",
-    "kmeans_tiers": _with(SPEND) + _TOTALS + ", 5 AS labels, 0 AS overlaps FROM spend",
-    "gmm_tiers": _with(SPEND) + _TOTALS + " FROM spend",
-    "product_clusters": _with(SPEND) + _TOTALS.replace("count(*)", "count(DISTINCT product_number)") + ", true AS candidate FROM spend",
-    "report_tables": _with(PURCHASES, TIERS, YEAR_ROWS, SEGMENTS, SPLIT)
+_REPORT_TABLES = (
+    _with(PURCHASES, TIERS, YEAR_ROWS, SEGMENTS, SPLIT)
     + """SELECT 'product_spend' AS name, count(*) AS rows, round(CAST(sum(purchase_amount_eur) AS DOUBLE), 2) AS total FROM spend
 UNION ALL SELECT 'tiers', count(*), round(CAST(sum(purchase_amount_eur) AS DOUBLE), 2) FROM tiers
 UNION ALL SELECT 'purchases', count(*), round(CAST(sum(p.purchase_amount_eur) AS DOUBLE), 2)
@@ -379,7 +481,17 @@ UNION ALL SELECT 'purchases', count(*), round(CAST(sum(p.purchase_amount_eur) AS
 UNION ALL SELECT 'summary', count(DISTINCT (class4, segmentation)), round(CAST(sum(purchase_amount_eur) AS DOUBLE), 2) FROM tiers
 UNION ALL SELECT 'reconciliation', 1, round(CAST(sum(purchase_amount_eur) AS DOUBLE), 2) FROM purchases
 UNION ALL SELECT 'year_quantity', count(*), round(CAST(sum(purchase_quantity) AS DOUBLE), 2) FROM year_rows
-UNION ALL SELECT 'year_split', count(*), NULL FROM split""",
+UNION ALL SELECT 'year_split', count(*), NULL FROM split"""
+)
+
+ORACLE: dict[str, str] = {
+    "tiers_four_decimals": _with(FOUR_TIERS)
+    + "SELECT * REPLACE (CAST(purchase_amount_eur AS DOUBLE) AS purchase_amount_eur) FROM tiers",
+    "kmeans_tiers": _with(SPEND, _split_steps()) + _KMEANS_ROWS,
+    "gmm_tiers": _with(SPEND, _split_steps(), _mixture()) + _GMM_ROWS,
+    "product_clusters": _with(PURCHASES, _clusters()),
+    "report_tables": _REPORT_TABLES,
+    "staged_report_tables": _REPORT_TABLES,
     "detail_fetch_discovered": _with(DETAILS)
     + """SELECT product_number, 'Odd ' || (l_name % 13) AS detail_name, min(detail_value) AS detail_value
 FROM (SELECT product_number, detail_value, length(detail_value) * 7 + ascii(detail_value) + ascii(right(detail_value, 1)) AS l_name
@@ -396,6 +508,21 @@ UNION ALL SELECT * FROM details WHERE CAST(product_number AS BIGINT) % 3 <> 0"""
     "harmonize_mixed": """SELECT p_partkey, CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) ELSE p_brand END AS brand_name FROM part""",
     "renamed_columns": "SELECT p_partkey, p_name AS name, p_brand AS class3 FROM part",
     "preprocess_report": _with(PURCHASES) + _missing(),
+    "tiers_narrow": _with(
+        """narrow AS (
+  SELECT 'one' AS class4, CAST(l_orderkey AS VARCHAR) AS product_number,
+         CAST(10 + CAST(sum(l_linenumber) * 1009 + l_orderkey % 997 AS DECIMAL(18,6)) / 1000000 AS DECIMAL(18,6)) AS purchase_amount_eur
+  FROM lineitem GROUP BY l_orderkey)""",
+        _tiers("narrow", "purchase_amount_eur", "ABCDE", ["0.8", "0.95", "0.99", "0.999"], 5, ties="product_number", money_type="DECIMAL(28,6)"),
+    )
+    + _TIER_ROWS,
+    "tiers_equal": _with(
+        """equal AS (
+  SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'one' ELSE o_orderpriority END AS class4, 'item-' || o_orderkey AS product_number,
+         CAST(10 AS DECIMAL(18,2)) AS purchase_amount_eur FROM orders)""",
+        _tiers("equal", "purchase_amount_eur", "ABCDE", ["0.8", "0.95", "0.99", "0.999"], 5, ties="product_number"),
+    )
+    + _TIER_ROWS,
     "abcde_tiers": _with(TIERS) + _TIER_ROWS,
     "abcde_tiers_blocks": _with(TIERS) + _TIER_ROWS,
     "abc_tiers": _with(ABC) + _TIER_ROWS,
@@ -416,6 +543,10 @@ FROM tiers GROUP BY 1, 2""",
     "attach_segment": _with(PURCHASES, TIERS)
     + f"""SELECT p.* REPLACE (CAST(p.purchase_amount_eur AS DOUBLE) AS purchase_amount_eur), t.segmentation
 FROM purchases p LEFT JOIN tiers t ON t.product_number = p.product_number""",
+    "attach_segment_hot": _with(PURCHASES, TIERS)
+    + f"""SELECT p.* REPLACE (CAST(p.purchase_amount_eur AS DOUBLE) AS purchase_amount_eur), t.segmentation
+FROM (SELECT * REPLACE (CASE WHEN CAST(uniquevendorcode AS INTEGER) % 3 = 0 THEN '7' ELSE product_number END AS product_number)
+      FROM purchases) p LEFT JOIN tiers t ON t.product_number = p.product_number""",
     "attach_segment_by_class": _with(PURCHASES, TIERS)
     + """SELECT p.class4, p.product_number, p.product_description,
   CAST(p.purchase_amount_eur AS DOUBLE) AS purchase_amount_eur, t.segmentation
@@ -505,6 +636,14 @@ UNION ALL SELECT CAST(s_suppkey AS VARCHAR), s_name, s_acctbal, NULL FROM suppli
     "attr_listagg": _with(LOCAL)
     + """SELECT item_number, attr_key, string_agg(DISTINCT value, ' | ' ORDER BY value) AS value_list
 FROM keyed GROUP BY 1, 2""",
+    "attr_list_pages": _with(LOCAL)
+    + """SELECT attr_key, value, page, string_agg(item_number, ' | ' ORDER BY item_number) AS value_list FROM (
+  SELECT attr_key, value, item_number, (CAST(sum(length(item_number) + 3) OVER (PARTITION BY attr_key, value ORDER BY item_number) AS BIGINT)
+                                        - length(item_number) - 3) // 500 AS page
+  FROM (SELECT DISTINCT attr_key, value, item_number FROM keyed WHERE value IS NOT NULL)) GROUP BY ALL""",
+    "attr_list_joined": _with(LOCAL)
+    + """SELECT item_number, attr_key, string_agg(DISTINCT value, ' | ' ORDER BY value) AS value_list
+FROM keyed WHERE value IS NOT NULL GROUP BY 1, 2""",
     "enrich": _with(PURCHASES, LOCAL, _enriched("ENG"))
     + f"""SELECT p.* REPLACE (CAST(p.purchase_amount_eur AS DOUBLE) AS purchase_amount_eur), a.* EXCLUDE (product_number)
 FROM (SELECT DISTINCT * FROM purchases) p LEFT JOIN attrs a ON a.product_number = p.product_number""",
@@ -539,6 +678,7 @@ WHERE (p_type <> 'PROMO' AND EXISTS (SELECT 1 FROM lineitem l2 JOIN part p2 ON p
     + """SELECT prefix || product_number AS product_id FROM wanted,
   (SELECT unnest(['ticGoldenItem-', 'ticArticle-', 'ticItem-', '']) AS prefix)""",
     "detail_fetch": _with(DETAILS) + "SELECT * FROM details",
+    "detail_fetch_sparse": _with(SPARSE_DETAILS) + "SELECT * FROM details",
     "detail_fetch_wide": _with(DETAILS, WIDE)
     + "SELECT w.* FROM wide w JOIN wanted USING (product_number) WHERE detail_value IS NOT NULL",
     "detail_discovery": _with(DETAILS)
@@ -555,6 +695,7 @@ WHERE detail_name IN ('Unit', 'Material', 'Head shape', 'Length') GROUP BY 1""",
       WHEN 3 THEN year(l_shipdate) || '-5-1' WHEN 4 THEN year(l_shipdate) || 'xyz' WHEN 5 THEN 'abcd' END AS year_text
   FROM lineitem)""",
     "year_quantity": _with(PURCHASES, YEAR_ROWS) + "SELECT * FROM year_rows",
+    "year_map": _with(PURCHASES, YEAR_ROWS) + f"SELECT product_number, {_YEAR_SUMS} FROM year_rows GROUP BY 1",
     "class_map": _with(PURCHASES, YEAR_ROWS)
     + "SELECT product_number, arg_min(class4, (year, class4)) AS class4 FROM year_rows GROUP BY 1",
     "year_pivot": _with(PURCHASES, YEAR_ROWS) + f"SELECT product_number, {_YEAR_SUMS} FROM year_rows GROUP BY 1",
@@ -568,6 +709,11 @@ FROM year_rows y LEFT JOIN segments g USING (product_number)""",
     "year_fill": _with(PURCHASES, TIERS, YEAR_ROWS, SEGMENTS)
     + """SELECT y.product_number, y.class4, y.year, y.purchase_quantity, g.product_description
 FROM year_rows y LEFT JOIN segments g USING (product_number)""",
+    "replaced_class_export": _with(PURCHASES, YEAR_ROWS, SPLIT)
+    + "SELECT *, class4 AS class4_slug FROM split WHERE class4 <> 'Brand#3' OR length(product_number) % 2 = 0",
+    "csv_round_trip": "SELECT * FROM nation",
+    "table_round_trip": """SELECT s_suppkey, s_name, 2 * count(*) OVER () AS rows, 2 AS columns FROM supplier
+UNION ALL SELECT s_suppkey, s_name, 2 * count(*) OVER (), 2 FROM supplier""",
     "merge_exports": _with(PURCHASES, YEAR_ROWS, SPLIT, SPEND)
     + """SELECT *, 'split' AS source_export FROM split
 UNION ALL BY NAME

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,7 +16,7 @@ from spendloom.functions.numbers import year_of
 from spendloom.operators import attributes, clustering, columns, lookups, profile, tiers, years
 from spendloom.plans import details, enrich as enrichment, orders, products, purchases, segmentation
 from spendloom.session import scratch_path
-from spendloom.sources import files
+from spendloom.sources import catalog, files
 from spendloom.verification import roles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,7 +63,7 @@ def abcde_tiers(spark, d):
 @query
 def abcde_tiers_blocks(spark, d):
     """The same with finer blocks."""
-    return plain(_tiers(spark, d, per_doubling=64))
+    return plain(_tiers(spark, d, ranges=64))
 
 
 @query
@@ -85,7 +86,7 @@ def credit_tiers(spark, d):
 def credit_tiers_blocks(spark, d):
     scheme = TierScheme(min_products=0)
     return plain(
-        tiers.tier_products(roles.credits(spark, d), "class4", "product_number", "balance", scheme, per_doubling=64)
+        tiers.tier_products(roles.credits(spark, d), "class4", "product_number", "balance", scheme, ranges=64)
     )
 
 
@@ -115,6 +116,14 @@ def attach_segment(spark, d):
     return plain(tiers.attach_segment(roles.purchases(spark, d), _tiers(spark, d)))
 
 
+@query
+def attach_segment_hot(spark, d):
+    """A third of all purchases are of one product."""
+    hot = F.when(F.col("uniquevendorcode").cast("int") % 3 == 0, "7").otherwise(F.col("product_number"))
+    rows = roles.purchases(spark, d).withColumn("product_number", hot)
+    return plain(tiers.attach_segment(rows, _tiers(spark, d), spread=["uniquevendorcode", SPEND, "purchase_quantity"]))
+
+
 @query
 def attach_segment_by_class(spark, d):
     joined = tiers.attach_segment(roles.part_purchases(spark, d), _tiers(spark, d), ["class4", "product_number"])
@@ -129,14 +138,12 @@ def reconcile(spark, d):
 
 @query
 def segmentation_report(spark, d):
-    report = segmentation.segmentation_report(roles.purchases(spark, d), classes=SCOPE)
+    report = segmentation.segmentation_report(roles.purchases(spark, d), classes=SCOPE, years=_ship_years(spark, d))
     return plain(report["year_split"])
 
 
-@query
-def report_tables(spark, d):
+def _table_totals(report: dict[str, DataFrame]) -> DataFrame:
     """Rows of every table of the report, and what its spend columns add up to."""
-    report = segmentation.segmentation_report(roles.purchases(spark, d), classes=SCOPE)
     sums = {"product_spend": SPEND, "tiers": SPEND, "purchases": SPEND, "summary": "spend_total", "reconciliation": "raw_total", "year_quantity": "purchase_quantity"}
     tables = []
     for name, df in report.items():
@@ -145,6 +152,20 @@ def report_tables(spark, d):
     return reduce(DataFrame.union, tables)
 
 
+@query
+def report_tables(spark, d):
+    report = segmentation.segmentation_report(roles.purchases(spark, d), classes=SCOPE, years=_ship_years(spark, d))
+    return _table_totals(report)
+
+
+@query
+def staged_report_tables(spark, d):
+    """The same from tables that are written once."""
+    years = _ship_years(spark, d)
+    path = scratch_path(spark, "report")
+    return _table_totals(segmentation.staged_report(roles.purchases(spark, d), path, classes=SCOPE, years=years))
+
+
 @query
 def tiers_four_decimals(spark, d):
     """Small spends of four decimals, each product under two descriptions of equal spend."""
@@ -155,40 +176,43 @@ def tiers_four_decimals(spark, d):
     return plain(tiers.tier_products(rows, *TIER_ARGS))
 
 
-def _ranges(df: DataFrame, label: str, value: str) -> DataFrame:
-    """What any right labelling gives: rows, spend, labels in use, and pairs of labels whose ranges overlap."""
-    each = df.groupBy(label).agg(
-        F.count("*").alias("rows"), F.sum(value).alias("spend"), F.min(value).alias("low"), F.max(value).alias("high")
+@query
+def tiers_narrow(spark, d):
+    """Spends that differ in the sixth digit and beyond, all in one class."""
+    rows = roles.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_linenumber")).cast("decimal(18,6)").alias("n"))
+    spend = (F.lit(10) + (F.col("n") * 1009 + F.col("l_orderkey") % 997) / 1_000_000).cast("decimal(18,6)")
+    rows = rows.select(F.lit("one").alias("class4"), F.col("l_orderkey").cast("string").alias("product_number"), spend.alias(SPEND))
+    return plain(tiers.tier_products(rows, *TIER_ARGS))
+
+
+@query
+def tiers_equal(spark, d):
+    """Half of all orders in one class, all of one and the same spend."""
+    rows = roles.table(spark, d, "orders").select(
+        F.when(F.col("o_orderkey") % 2 == 0, "one").otherwise(F.col("o_orderpriority")).alias("class4"),
+        F.concat(F.lit("item-"), F.col("o_orderkey").cast("string")).alias("product_number"),
+        F.lit(10).cast("decimal(18,2)").alias(SPEND),
     )
-    everything = each.agg(
-        F.sum("rows").alias("rows"), F.sum("spend").cast("double").alias("spend"), F.count("*").alias("labels"),
-        F.collect_list(F.struct("low", "high")).alias("ranges"),
-    )
-    over = F.size(F.filter("ranges", lambda a: F.size(F.filter("ranges", lambda b: (b["low"] < a["low"]) & (a["low"] <= b["high"]))) > 0))
-    return everything.select("rows", F.round("spend", 2).alias("spend"), "labels", over.alias("overlaps"))
+    return plain(tiers.tier_products(rows, *TIER_ARGS))
 
 
 @query
 def kmeans_tiers(spark, d):
-    return _ranges(clustering.kmeans_tiers(_spend(spark, d), SPEND), "segmentation", SPEND)
+    return plain(clustering.kmeans_tiers(_spend(spark, d), SPEND))
 
 
 @query
 def gmm_tiers(spark, d):
-    """Ranges of a mixture may overlap, so only the rest is compared."""
-    return _ranges(clustering.gmm_tiers(_spend(spark, d), SPEND), "segmentation", SPEND).drop("overlaps", "labels")
+    return plain(clustering.gmm_tiers(_spend(spark, d), SPEND))
 
 
 @query
 def product_clusters(spark, d):
-    """The chosen number of clusters is one of the candidates, and every product has a cluster."""
     per_product = roles.purchases(spark, d).groupBy("product_number").agg(
         F.sum(SPEND).cast("double").alias("spend"), F.sum("purchase_quantity").alias("quantity")
     )
-    found = clustering.ProductClustering(["spend", "quantity"], candidates=(2, 3, 4)).run(per_product)
-    return found.agg(
-        F.count("*").alias("rows"), F.round(F.sum("spend"), 2).alias("spend"), F.countDistinct("cluster").isin(2, 3, 4).alias("candidate")
-    )
+    found = clustering.ProductClustering(["spend", "quantity"], candidates=(2, 3, 4), key="product_number").run(per_product)
+    return found.select("product_number", "cluster")
 
 
 # --- Purchases ---------------------------------------------------------------------
@@ -226,7 +250,7 @@ def clustering_fetch(spark, d):
 @query
 def year_groups(spark, d):
     """The year columns of each measure."""
-    metrics = years.year_metrics(roles.sales(spark, d), "product_number")
+    metrics = years.year_metrics(roles.sales(spark, d), "product_number", _order_years(spark, d))
     groups = years.year_column_groups(metrics, ["turnover_eur", "orders", "absent"])
     return spark.createDataFrame([(k, ",".join(v)) for k, v in groups.items()], "measure string, year_columns string")
 
@@ -360,6 +384,19 @@ def attr_listagg(spark, d):
     return attributes.list_values(keyed, ["item_number", "attr_key"], "value")
 
 
+@query
+def attr_list_pages(spark, d):
+    """The products of each attribute and value, in pages of 500 characters."""
+    keyed = roles.local_attributes(spark, d).withColumn("attr_key", text.attribute_key(F.col("attribute_id")))
+    return attributes.list_pages(keyed, ["attr_key", "value"], "item_number", 500)
+
+
+@query
+def attr_list_joined(spark, d):
+    keyed = roles.local_attributes(spark, d).withColumn("attr_key", text.attribute_key(F.col("attribute_id")))
+    return attributes.join_pages(attributes.list_pages(keyed, ["item_number", "attr_key"], "value", 7), ["item_number", "attr_key"])
+
+
 @query
 def enrich(spark, d):
     return plain(enrichment.enrich_purchases(roles.purchases(spark, d), roles.local_attributes(spark, d)))
@@ -387,7 +424,9 @@ def expected_attrs(spark, d):
 
 @query
 def attributes_wide(spark, d):
-    return attributes.pivot_attributes_wide(roles.local_attributes(spark, d), ["item_number", "language_id"], "value")
+    return attributes.pivot_attributes_wide(
+        roles.local_attributes(spark, d), ["item_number", "language_id"], "value", names=roles.local_attribute_ids(spark, d)
+    )
 
 
 @query
@@ -400,6 +439,15 @@ def detail_fetch(spark, d):
     return details.fetch_details(roles.detail_numbers(spark, d), product_data=roles.long_details(spark, d))
 
 
+@query
+def detail_fetch_sparse(spark, d):
+    """A third of the values are missing, a third are blank."""
+    number = F.substring(text.trimmed(F.col("attribute_value")), 2, 9).cast("int") % 3
+    value = F.when(number == 1, " \t\u00a0").when(number == 2, F.col("attribute_value"))
+    long = roles.long_details(spark, d).withColumn("attribute_value", value)
+    return details.fetch_details(roles.detail_numbers(spark, d), product_data=long)
+
+
 @query
 def detail_fetch_wide(spark, d):
     return details.fetch_details(roles.detail_numbers(spark, d), product_data=roles.wide_products(spark, d))
@@ -463,6 +511,15 @@ def _year_rows(spark: SparkSession, d: str) -> DataFrame:
     return years.year_quantity(roles.purchases(spark, d), SCOPE)
 
 
+def _ship_years(spark: SparkSession, d: str) -> list[int]:
+    """Years of the purchases, read from their date alone."""
+    return years.known_years(roles.table(spark, d, "lineitem"), F.year("l_shipdate"))
+
+
+def _order_years(spark: SparkSession, d: str) -> list[int]:
+    return years.known_years(roles.table(spark, d, "orders"), F.year("o_orderdate"))
+
+
 def _labels(spark: SparkSession, d: str) -> DataFrame:
     return _tiers(spark, d).select("product_number", "product_description", "segmentation")
 
@@ -476,6 +533,12 @@ def year_quantity(spark, d):
     return _year_rows(spark, d)
 
 
+@query
+def year_map(spark, d):
+    """The sums as a map a product, widened to columns at the end."""
+    return years.widen_years(years.year_maps(_year_rows(spark, d)), _ship_years(spark, d))
+
+
 @query
 def class_map(spark, d):
     return years.first_class(_year_rows(spark, d))
@@ -484,12 +547,12 @@ def class_map(spark, d):
 @query
 def year_pivot(spark, d):
     rows = _year_rows(spark, d)
-    return years.pivot_years(rows, years.known_years(rows))
+    return years.pivot_years(rows, _ship_years(spark, d))
 
 
 @query
 def year_split(spark, d):
-    return years.year_split(_year_rows(spark, d), _labels(spark, d))
+    return years.year_split(_year_rows(spark, d), _labels(spark, d), years=_ship_years(spark, d))
 
 
 @query
@@ -507,16 +570,46 @@ def year_fill(spark, d):
 @query
 def year_split_export(spark, d):
     path = scratch_path(spark, "year-split")
-    split = years.year_split(_year_rows(spark, d), _labels(spark, d))
+    split = years.year_split(_year_rows(spark, d), _labels(spark, d), years=_ship_years(spark, d))
+    files.export_by_class(split, path)
+    return files.read_export(spark, path).drop("source_file")
+
+
+@query
+def replaced_class_export(spark, d):
+    """An export of which one class is replaced by half of its rows."""
+    path = scratch_path(spark, "replaced")
+    split = years.year_split(_year_rows(spark, d), years=_ship_years(spark, d))
     files.export_by_class(split, path)
+    half = split.filter((F.col("class4") == "Brand#3") & (F.length("product_number") % 2 == 0))
+    files.export_by_class(half, path, replace="classes")
     return files.read_export(spark, path).drop("source_file")
 
 
+@query
+def csv_round_trip(spark, d):
+    """A query's rows, written as CSV files and read back."""
+    roles.table(spark, d, "nation").createOrReplaceTempView("nation_rows")
+    path = files.query_to_csv(spark, "SELECT * FROM nation_rows", scratch_path(spark, "csv"))
+    return spark.read.schema(roles.SCHEMAS["nation"]).option("header", True).csv(path)
+
+
+@query
+def table_round_trip(spark, d):
+    """Rows saved to a table twice, and what the catalog says of it."""
+    name = f"saved_{uuid.uuid4().hex}"
+    rows = roles.table(spark, d, "supplier").select("s_suppkey", "s_name")
+    catalog.save_table(rows, name)
+    catalog.save_table(rows, name, create_if_missing=False)
+    info = catalog.table_info(spark, name)
+    return catalog.read_table(spark, name).withColumns({"rows": F.lit(info["num_rows"]), "columns": F.lit(info["num_columns"])})
+
+
 @query
 def merge_exports(spark, d):
     """A year split and a spend table, written and stacked by name."""
     path = scratch_path(spark, "merge")
-    split = years.year_split(_year_rows(spark, d))
+    split = years.year_split(_year_rows(spark, d), years=_ship_years(spark, d))
     spend = _spend(spark, d).withColumn(SPEND, F.col(SPEND).cast("double"))
     written = files.write_tables({"split": split, "spend": spend}, path)
     return files.merge_exports(spark, written).drop("source_file")
@@ -524,12 +617,12 @@ def merge_exports(spark, d):
 
 @query
 def year_metrics(spark, d):
-    return plain(years.year_metrics(roles.sales(spark, d), "product_number"))
+    return plain(years.year_metrics(roles.sales(spark, d), "product_number", _order_years(spark, d)))
 
 
 @query
 def year_totals(spark, d):
-    metrics = years.year_metrics(roles.sales(spark, d), "product_number")
+    metrics = years.year_metrics(roles.sales(spark, d), "product_number", _order_years(spark, d))
     prefixes = ["turnover_eur", "quantity_sold", "orders"]
     totals = years.year_totals(metrics, prefixes)
     return plain(totals.select("product_number", *[f"{p}_total" for p in prefixes]))
@@ -537,7 +630,7 @@ def year_totals(spark, d):
 
 @query
 def super_summary(spark, d):
-    metrics = years.year_metrics(roles.sales(spark, d), "product_number")
+    metrics = years.year_metrics(roles.sales(spark, d), "product_number", _order_years(spark, d))
     prefixes = ["turnover_eur", "margin_gross_eur", "orders"]
     return plain(years.summarize_totals(years.year_totals(metrics, prefixes), prefixes))
 
@@ -562,7 +655,7 @@ def describe(spark, d):
 @query
 def describe_blocks(spark, d):
     """The same with finer blocks."""
-    return _rounded(profile.describe_column(roles.table(spark, d, "lineitem"), "l_extendedprice", per_doubling=64))
+    return _rounded(profile.describe_column(roles.table(spark, d, "lineitem"), "l_extendedprice", ranges=64))
 
 
 def _counts(df: DataFrame) -> DataFrame:

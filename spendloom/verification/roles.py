@@ -312,6 +312,11 @@ def local_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def local_attribute_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attributes alone, from the one column that tells them."""
+    return local_attributes(spark, sf_dir).select("attribute_id")
+
+
 def wide_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products with one column per attribute, some blank."""
     return table(spark, sf_dir, "part").selectExpr(

@@ -42,9 +42,9 @@ def test_shared_dir_comes_from_the_session(spark):
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
 
 
-@pytest.mark.parametrize("per_doubling", [1, 16])
+@pytest.mark.parametrize("ranges", [1, 16])
 @pytest.mark.parametrize("descending", [False, True])
-def test_running_totals(spark, per_doubling, descending):
+def test_running_totals(spark, ranges, descending):
     rng = random.Random(3)
     numbers = [None, 0.0, -0.0, 1e-20, -1e-20, 1e20, 3.0, 3.5, -7.25]
     rows = [(rng.choice(["a", "a", "a", "b"]), rng.choice(numbers + [rng.uniform(-9, 9)] * 9), i, rng.randint(-5, 9)) for i in range(300)]
@@ -59,15 +59,15 @@ def test_running_totals(spark, per_doubling, descending):
         run[g] += v
         wanted[i] = run[g]
         totals[g] = run[g]
-    found = running_totals(df, ["g"], "n", "v", ["i"], descending=descending, per_doubling=per_doubling).collect()
+    found = running_totals(df, ["g"], "n", "v", ["i"], descending=descending, ranges=ranges).collect()
     assert {r["i"]: r["running"] for r in found} == wanted
     assert all(r["total"] == totals[r["g"]] for r in found)
 
 
-@pytest.mark.parametrize("per_doubling", [1, 16])
-def test_quantiles_interpolate(spark, per_doubling):
+@pytest.mark.parametrize("ranges", [1, 16])
+def test_quantiles_interpolate(spark, ranges):
     df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 2.0, 4.0, None)], "v double")
-    row = quantiles(df, "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0}, per_doubling=per_doubling).first()
+    row = quantiles(df, "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0}, ranges=ranges).first()
     assert tuple(row) == (1.75, 2.0, 2.5, 4.0)
 
 

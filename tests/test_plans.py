@@ -5,6 +5,7 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from scans import scanned_rows
 
 from spendloom.config import AttributeRule, EnrichmentScope, OrderScope, PurchaseScope
 from spendloom.operators import attributes, years
@@ -216,6 +217,27 @@ def test_detail_strategies(spark):
     assert details.fetch_details(numbers).columns == ["product_number", "detail_name", "detail_value"]
 
 
+def test_blank_details_are_none(spark):
+    numbers = spark.createDataFrame([("1",), ("2",), ("3",)], "product_number string")
+    rows = [("1", "Unit", None), ("1", "Unit", "pcs"), ("2", "Unit", "  "), ("2", "Unit", "box"), ("3", "Unit", "\t"), ("3", "Odd", "x"), ("1", None, "y"), ("1", " ", "z")]
+    long = spark.createDataFrame(rows, "product_id string, attribute_name string, attribute_value string")
+    found = Counter(map(tuple, details.fetch_details(numbers, None, long).collect()))
+    assert found == {("1", "Unit", "pcs"): 1, ("2", "Unit", "box"): 1, ("3", "Odd", "x"): 1}
+    assert details.product_details(numbers, None, long).count() == 3
+    known = details.fetch_details(numbers, None, long, discover_names=False)
+    assert {r["product_number"] for r in known.collect()} == {"1", "2"}
+
+
+def test_long_details_are_scanned_once(spark, tmp_path):
+    rows = spark.range(5000).select((F.col("id") % 50).cast("string").alias("product_id"), F.lit("Unit").alias("attribute_name"), F.col("id").cast("string").alias("attribute_value"))
+    rows.write.parquet(str(tmp_path / "long"))
+    numbers = spark.createDataFrame([("1",), ("2",)], "product_number string")
+    long = spark.read.parquet(str(tmp_path / "long"))
+    before = scanned_rows(spark)
+    assert len(details.product_details(numbers, None, long).collect()) == 2
+    assert scanned_rows(spark) - before == 5000
+
+
 def test_candidate_ids(spark):
     numbers = spark.createDataFrame([("1",), ("ticItem-1",), ("1",)], "product_number string")
     ids = [r[0] for r in attributes.candidate_ids(numbers).collect()]
@@ -311,3 +333,18 @@ def test_report(spark, tmp_path):
     assert report["tiers"].count() == 3 and report["purchases"].count() == 5
     folders = segmentation.export_report(report, str(tmp_path / "out")).collect()
     assert {r["class4_slug"].rsplit("-", 1)[0] for r in folders} == {"6965_Washers", "6900_bolts"}
+
+
+def test_staged_report_reads_purchases_three_times(spark, tmp_path):
+    rows = [{"product_number": i % 40, "class4": f"c{i % 3}"} for i in range(400)]
+    purchase_frame(spark, *rows, {"product_number": None}).withColumn("product_description", F.lit("d")).coalesce(1).write.parquet(str(tmp_path / "p"))
+    fact = spark.read.parquet(str(tmp_path / "p"))
+    rows = fact.count()
+    plain = segmentation.segmentation_report(fact, classes=None, years=[2023])
+    before = scanned_rows(spark)
+    report = segmentation.staged_report(fact, str(tmp_path / "stage"), classes=None, years=[2023])
+    segmentation.export_report(report, str(tmp_path / "out"))
+    staged = sum(report[t].count() for t in ("product_spend", "tiers", "year_quantity"))
+    assert scanned_rows(spark) - before <= 3 * rows + 4 * staged
+    for name, df in plain.items():
+        assert sorted(map(str, report[name].select(*df.columns).collect())) == sorted(map(str, df.collect())), name

@@ -12,12 +12,12 @@ from spendloom.verification.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.01"
 #: Filters that leave nothing of the smallest tables.
-NEED_LARGER = ("candidate_ids", "detail_fetch", "detail_fetch_wide", "detail_pivot", "detail_fetch_discovered", "detail_fetch_mixed")
-#: Queries that must know values to name columns, write files, fit clusters or find a histogram's edges.
+NEED_LARGER = ("candidate_ids", "detail_fetch", "detail_fetch_wide", "detail_pivot", "detail_fetch_discovered", "detail_fetch_mixed", "detail_fetch_sparse")
+#: Queries that must know values to name columns, write files or fit clusters.
 NEED_JOBS = {
-    "attributes_wide", "class_country_matrix", "gmm_tiers", "histogram", "kmeans_tiers", "merge_exports", "product_clusters",
-    "quantity_histogram", "segmentation_report", "report_tables", "super_summary", "year_metrics", "year_pivot", "year_split",
-    "year_groups", "year_split_export", "year_totals",
+    "attributes_wide", "class_country_matrix", "csv_round_trip", "gmm_tiers", "kmeans_tiers", "merge_exports", "product_clusters",
+    "replaced_class_export", "segmentation_report", "report_tables", "staged_report_tables", "super_summary", "table_round_trip",
+    "year_map", "year_metrics", "year_pivot", "year_split", "year_groups", "year_split_export", "year_totals",
 }
 
 
@@ -46,6 +46,20 @@ def test_query_without_sql_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("name", ["year_split", "year_metrics", "year_pivot"])
+def test_years_come_from_one_column(spark, name, monkeypatch):
+    """Naming the year columns reads the date alone, without a join."""
+    from spendloom.operators import years
+
+    asked = []
+    monkeypatch.setattr(years, "distinct_values", lambda df, column, limit: asked.append(df.select(column)) or [1995, 1996])
+    QUERIES[name](spark, SF)
+    assert len(asked) == 1
+    plan = asked[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert len(asked[0]._jdf.queryExecution().executedPlan().collectLeaves().head().output().mkString(",").split(",")) == 1
+
+
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
 

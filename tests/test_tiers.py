@@ -20,7 +20,7 @@ def frame(spark, rows):
 
 
 def labels(df, scheme=ABCDE, blocks=16):
-    rows = tiers.tier_products(df, "class4", "product", "spend", scheme, per_doubling=blocks).collect()
+    rows = tiers.tier_products(df, "class4", "product", "spend", scheme, ranges=blocks).collect()
     return {(r["class4"], r["product"]): r["segmentation"] for r in rows}
 
 
@@ -114,7 +114,7 @@ def test_random_frames_with_a_hot_class(spark, scheme, blocks):
 def test_share_never_falls_without_credits(spark):
     rng = random.Random(5)
     rows = [(rng.choice("ab"), f"p{i:03}", rng.randint(0, 500)) for i in range(200)]
-    shared = tiers.cumulative_share(frame(spark, rows), "class4", "product", "spend", per_doubling=5)
+    shared = tiers.cumulative_share(frame(spark, rows), "class4", "product", "spend", ranges=5)
     for c in "ab":
         ordered = shared.filter(f"class4 = '{c}'").orderBy("spend", ascending=False).collect()
         shares = sorted(r["cum_share"] for r in ordered)
