@@ -130,15 +130,18 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, settings: Settings
 
     The k rows of the largest inner product that the index finds, nearest first, ties to the smaller
     vec_id. Vectors that are null, zero, not finite, or of another length than the pivots take no
-    part, nor do rows without number; of rows that repeat a number one is kept. No vectors give no rows.
+    part, nor do rows without number. Of rows that repeat a number the one with the smallest vector,
+    component by component, stands for all, so results do not depend on how rows are dealt. No vectors give
+    no rows.
     """
     good = vectors.filter(takes_part(F.col("embedding")) & F.col("vec_id").isNotNull())
     good = good.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    good = good.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     pivots = choose_pivots(good, settings.pivots)
     if not len(pivots):
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     length = min(settings.order, len(pivots))
-    index = stored(_indexed(good, pivots, length).dropDuplicates(["vec_id"]), "permutation-index")
+    index = stored(_indexed(good, pivots, length), "permutation-index")
 
     # blocks a file; at most one count a pivot reaches the driver
     asking = index.filter(queries)
