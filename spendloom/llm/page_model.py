@@ -32,6 +32,11 @@ SCOPE = frozenset("html body article section main aside nav header footer div ta
 #: Elements whose name says that they hold no article text, and those that hold the article.
 ASIDE = frozenset("nav footer aside header form menu dialog".split())
 LANDMARK = frozenset("article main".split())
+#: Names in a class, id or role of what may stand within an article and is none of it.
+OTHER = frozenset(
+    "comment comments discussion respond replies ad ads advert advertisement sponsor sponsored promo banner share social"
+    " related recommended newsletter subscribe signup cookie notice navigation breadcrumb breadcrumbs toolbar widget sidebar".split()
+)
 CLASS_BUCKETS = 512
 
 
@@ -53,11 +58,19 @@ class Page:
 
 
 class _Builder(HTMLParser):
-    """Elements in page order and blocks of text with the element they stand in; tolerates open tags."""
+    """Elements in page order and blocks of text with the element they stand in; tolerates open tags.
+
+    Open elements are kept by tag, with their places in the stack, so that every tag and text is handled in
+    a time that does not depend on how many are open.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes, self.stack, self.blocks = [Node("#page", -1)], [0], []
+        self.nodes, self.blocks = [Node("#page", -1)], []
+        #: Open elements, the nearest of each that is no inline element, and their places by tag and in SCOPE.
+        self.stack, self.owners = [0], [0]
+        self.open: dict[str, list[int]] = {}
+        self.scopes = [0]
         self.pieces: list[str] = []
         self.unseen = 0
 
@@ -65,24 +78,31 @@ class _Builder(HTMLParser):
         text = " ".join("".join(self.pieces).split())
         self.pieces.clear()
         if text:
-            self.blocks.append((self._block_owner(), text))
+            self.blocks.append((self.owners[-1], text))
 
-    def _block_owner(self) -> int:
-        for at in reversed(self.stack):
-            if self.nodes[at].tag not in INLINE:
-                return at
-        return 0
+    def _enter(self, node: Node) -> None:
+        place = len(self.stack)
+        self.nodes.append(node)
+        self.stack.append(len(self.nodes) - 1)
+        self.owners.append(self.owners[-1] if node.tag in INLINE else self.stack[-1])
+        self.open.setdefault(node.tag, []).append(place)
+        if node.tag in SCOPE:
+            self.scopes.append(place)
+        self.unseen += node.tag in UNSEEN
 
     def _leave(self, tag: str, scoped: bool) -> None:
-        for place in range(len(self.stack) - 1, 0, -1):
-            name = self.nodes[self.stack[place]].tag
-            if name == tag:
-                for at in self.stack[place:]:
-                    self.unseen -= self.nodes[at].tag in UNSEEN
-                del self.stack[place:]
-                return
-            if scoped and name in SCOPE:
-                return
+        """Close the nearest open element of the tag with all inside it; ``scoped``: unless a SCOPE element is nearer."""
+        places = self.open.get(tag)
+        if not places or scoped and places[-1] < self.scopes[-1]:
+            return
+        place = places[-1]
+        while len(self.stack) > place:
+            name = self.nodes[self.stack.pop()].tag
+            self.owners.pop()
+            self.open[name].pop()
+            if name in SCOPE:
+                self.scopes.pop()
+            self.unseen -= name in UNSEEN
 
     def _in_head(self) -> bool:
         return self.nodes[self.stack[-1]].tag == "head"
@@ -91,7 +111,11 @@ class _Builder(HTMLParser):
         if tag == "body" or self._in_head() and tag not in IN_HEAD:
             self._leave("head", False)
         if tag in VOID:
-            self.pieces.append(" ")
+            if tag == "hr":
+                self.flush()
+                self._leave("p", True)
+            elif tag != "wbr":
+                self.pieces.append(" ")
             return
         if tag not in INLINE:
             self.flush()
@@ -100,10 +124,8 @@ class _Builder(HTMLParser):
                 self._leave(open_tag, True)
         values = dict(attrs)
         words = re.findall(r"[a-z]+", f"{values.get('class') or ''} {values.get('id') or ''} {values.get('role') or ''}".lower())
-        self.nodes.append(Node(tag, self.stack[-1], words, values.get("data-label") == "content"))
         self.nodes[self.stack[-1]].children += 1
-        self.stack.append(len(self.nodes) - 1)
-        self.unseen += tag in UNSEEN
+        self._enter(Node(tag, self.stack[-1], words, values.get("data-label") == "content"))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -122,10 +144,9 @@ class _Builder(HTMLParser):
             return
         self.pieces.append(data)
         n = len(data.split())
-        linked = any(self.nodes[at].tag == "a" for at in self.stack)
-        owner = self.nodes[self._block_owner()]
+        owner = self.nodes[self.owners[-1]]
         owner.text += n
-        owner.linked += n if linked else 0
+        owner.linked += n if self.open.get("a") else 0
 
 
 def parse(html: str) -> Page:
@@ -151,17 +172,21 @@ def kind(node: Node) -> str:
 
 
 def labels(page: Page) -> list[int] | None:
-    """Labels that the page's own markup gives: inside marked or landmark elements, not inside asides.
+    """Labels that the page's own markup gives: inside marked or landmark elements, not inside asides nor
+    inside what is named as no part of an article, such as its comments.
 
     None if it has neither marked nor landmark elements.
     """
     marked = any(n.marked for n in page.nodes)
+    # 1 inside the article, -1 inside something that can hold no article any more
     found = [0]
     for node in page.nodes[1:]:
-        starts = node.marked if marked else node.tag in LANDMARK
-        inside = found[node.parent] == 1 or starts
-        found.append(int(inside and (node.marked or node.tag not in ASIDE)))
-    return found if 1 in found else None
+        above = found[node.parent]
+        if not node.marked and (above < 0 or node.tag in ASIDE or not OTHER.isdisjoint(node.names)):
+            found.append(-1 if above or not marked and not OTHER.isdisjoint(node.names) else 0)
+        else:
+            found.append(int(above == 1 or (node.marked if marked else node.tag in LANDMARK)))
+    return [max(y, 0) for y in found] if 1 in found else None
 
 
 def label_counts(page: Page) -> Counter:
@@ -259,6 +284,10 @@ LABELLED_PAGES = (
     <h2>Tools</h2><p>A sharp saw and clean shears are all that you need.</p><table><tr><td>Saw</td><td>20</td></tr></table></article>
     <div class="share social"><a href="/s">Share</a></div><form class="newsletter"><p>Sign up for our letter</p><input name="m"></form>
     <div class="sponsor advert"><p>Advertisement: pears by post.</p></div><footer>All rights reserved.</footer></body></html>""",
+    """<html><body><header><p>Garden notes</p></header><article><h1>When to sow beans</h1><p>Wait until the soil is warm, then sow two seeds a hand apart and water them well.</p>
+    <div class="advert"><p>Seeds at half price this week.</p></div><p>In dry weather the rows need water every second day.</p>
+    <div class="comments"><h3>Comments</h3><div class="comment"><p>Mine came up within a week, thank you.</p></div><div class="comment"><p>The slugs ate all of them.</p></div></div></article>
+    <section id="comments"><article class="comment"><p>I sow them in pots first.</p></article></section><footer>Imprint</footer></body></html>""",
 )
 
 
