@@ -2,9 +2,9 @@
 
 Two first-order models over characters, one of random strings and one of ordinary identifiers, learn
 from strings that the fixed patterns label: the values and keys they find are random strings, the
-other strings of the same alphabet are identifiers. Any such string of some length whose
-log-likelihood ratio favours the random model becomes a span of its own; spans of the patterns stay
-as they are.
+other strings of the same alphabet are identifiers. Any such string, or what base spans leave of it,
+whose log-likelihood ratio outweighs the odds of the two kinds among the samples becomes a span of its
+own; spans of the patterns stay as they are.
 """
 
 from __future__ import annotations
@@ -25,11 +25,10 @@ HEX = r"[0-9a-f]{16,}"  # runs are maximal, so shorter matches hold no longer on
 LEAST_VALUE = 12
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Strings that the models judge, and those of them that are long enough to be reported.
-CANDIDATE = r"[A-Za-z0-9+/_-]{12,}"
-LEAST_CANDIDATE = 20
-#: Natural log-likelihood ratio from which a string counts as random.
-LEAST_RATIO = 12.0
+#: Strings that the models judge.
+CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST_VALUE},}}"
+#: A string is reported if it is random with at least this probability, at the odds of the labelled samples.
+LEAST_PROBABILITY = 0.95
 #: Taken off every pair count and given to the model's single characters, so that what was seen once, as an
 #: unlabelled secret among the identifiers, teaches nothing about its pairs.
 DISCOUNT = 1.0
@@ -78,19 +77,38 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def _overlaps(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
-
-
 def _cut(text: Column, span: Column) -> Column:
     return F.substring(text, span["start"] + 1, span["end"] - span["start"])
 
 
+def left_over(span: Column, others: Column) -> Column:
+    """What spans, in order of their starts, leave of a span: pieces of LEAST_VALUE characters and more."""
+    piece = lambda start, end: F.struct(start.alias("start"), F.lit(KINDS.index("markov")).alias("kind"), end.alias("end"))
+    start = F.struct(span["start"].alias("at"), F.expr(_NO_SPANS).alias("left"))
+
+    def cut(acc: Column, other: Column) -> Column:
+        before = F.least(other["start"], span["end"])
+        left = F.when(before - acc["at"] >= LEAST_VALUE, F.concat(acc["left"], F.array(piece(acc["at"], before)))).otherwise(acc["left"])
+        return F.struct(F.greatest(acc["at"], other["end"]).alias("at"), left.alias("left"))
+
+    def rest(acc: Column) -> Column:
+        long_enough = span["end"] - acc["at"] >= LEAST_VALUE
+        return F.when(long_enough, F.concat(acc["left"], F.array(piece(acc["at"], span["end"])))).otherwise(acc["left"])
+
+    return F.aggregate(others, start, cut, rest)
+
+
+def candidates(text: Column, base: Column) -> Column:
+    """Spans of the strings that the models judge, without what base spans cover."""
+    found = spans_of(text, CANDIDATE, "markov")
+    return F.when(F.size(base) == 0, found).otherwise(F.flatten(F.transform(found, lambda s: left_over(s, base))))
+
+
 def labelled_samples(texts: DataFrame) -> DataFrame:
     """Strings labelled by the patterns: (sample, random) from every row of texts (text, base)."""
     text, base = F.col("text"), F.col("base")
     secrets = F.transform(base, lambda s: F.regexp_replace(_cut(text, s), ASSIGN_KEY, ""))
-    others = F.filter(spans_of(text, CANDIDATE, "markov"), lambda s: ~_overlaps(s, base))
+    others = candidates(text, base)
     both = F.concat(
         F.transform(secrets, lambda x: F.struct(x.alias("sample"), F.lit(True).alias("random"))),
         F.transform(others, lambda s: F.struct(_cut(text, s).alias("sample"), F.lit(False).alias("random"))),
@@ -98,9 +116,19 @@ def labelled_samples(texts: DataFrame) -> DataFrame:
     return texts.select(F.explode(both).alias("x")).select("x.sample", "x.random")
 
 
-def ratio_table(samples: DataFrame, smoothing: float = SMOOTHING) -> list[float]:
-    """Log-likelihood ratios of ASCII pairs, at 128 * first + second; the driver sees at most 2 * 128^2 counts."""
+def least_ratio(counts: dict[bool, int], probability: float = LEAST_PROBABILITY) -> float:
+    """The log-likelihood ratio from which a string is random with a probability, given samples of both kinds."""
+    odds = (counts.get(False, 0) + 1) / (counts.get(True, 0) + 1)
+    return math.log(odds) + math.log(probability / (1 - probability))
+
+
+def ratio_table(samples: DataFrame, smoothing: float = SMOOTHING) -> tuple[list[float], dict[bool, int]]:
+    """Log-likelihood ratios of ASCII pairs, at 128 * first + second, and the number of samples of each kind.
+
+    The driver sees at most 2 * 128^2 counts. The first character counts as a pair with code 0 before it.
+    """
     letters = F.filter(F.split("sample", ""), lambda c: c != "")
+    letters = F.concat(F.array(F.lit(chr(0))), letters)
     pairs = samples.select("random", letters.alias("c")).filter(F.size("c") > 1)
     pairs = pairs.select(
         "random", F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.concat(F.get("c", i - 1), F.get("c", i)))).alias("pair")
@@ -110,6 +138,8 @@ def ratio_table(samples: DataFrame, smoothing: float = SMOOTHING) -> list[float]
     seen: dict[bool, dict[tuple[int, int], int]] = {True: {}, False: {}}
     for row in counts.collect():
         seen[row.random][row.a, row.b] = row["count"]
+    # every sample has one first character
+    sizes = {label: sum(n for (a, _), n in seen[label].items() if a == 0) for label in seen}
     rows = {label: [sum(seen[label].get((a, b), 0) for b in range(128)) for a in range(128)] for label in seen}
     ends = {label: [sum(seen[label].get((a, b), 0) for a in range(128)) for b in range(128)] for label in seen}
     freed = {label: [sum(min(DISCOUNT, seen[label].get((a, b), 0)) for b in range(128)) for a in range(128)] for label in seen}
@@ -121,14 +151,14 @@ def ratio_table(samples: DataFrame, smoothing: float = SMOOTHING) -> list[float]
         kept = max(seen[label].get((a, b), 0) - DISCOUNT, 0)
         return math.log((kept + freed[label][a] * single) / rows[label][a] if freed[label][a] else single)
 
-    return [log_p(True, a, b) - log_p(False, a, b) for a in range(128) for b in range(128)]
+    return [log_p(True, a, b) - log_p(False, a, b) for a in range(128) for b in range(128)], sizes
 
 
 def log_ratio(string: Column, ratios: list[float]) -> Column:
-    """Sum of the ratios of a string's pairs of characters."""
+    """Sum of the ratios of a string's pairs of characters, its first one with code 0 before it."""
     known = F.split(F.lit(",".join(f"{r:.6f}" for r in ratios)), ",").cast("array<double>")
     letters = F.filter(F.split(string, ""), lambda c: c != "")
-    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+    start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum"))
 
     def add(acc: Column, c: Column) -> Column:
         code = F.ascii(c)
@@ -138,17 +168,22 @@ def log_ratio(string: Column, ratios: list[float]) -> Column:
     return F.aggregate(letters, start, add)["sum"]
 
 
-def find_secrets(docs: DataFrame, least_ratio: float = LEAST_RATIO) -> DataFrame:
+def find_secrets(docs: DataFrame, probability: float = LEAST_PROBABILITY) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, base and all spans as arrays of (start, kind, end).
 
-    Null texts are empty and have no spans; no rows give no rows.
+    Every string of LEAST_VALUE characters and more is judged, in texts of any length, also what is left of
+    one that a base span touches. Null texts are empty and have no spans; rows that repeat each get
+    their spans; no rows give no rows. A table without base spans teaches nothing of random strings, so
+    no spans are added to them.
     """
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty(F.col("text")).alias("text"))
     texts = texts.withColumn("base", base_spans(F.col("text")))
-    ratios = ratio_table(labelled_samples(texts))
+    ratios, sizes = ratio_table(labelled_samples(texts))
+    if not sizes[True]:
+        return texts.select("doc_id", "base", F.col("base").alias("spans"))
+    least = least_ratio(sizes, probability)
     text, base = F.col("text"), F.col("base")
-    long_ones = spans_of(text, CANDIDATE, "markov", keep=lambda m: F.length(m) >= LEAST_CANDIDATE)
-    judged = F.filter(long_ones, lambda s: ~_overlaps(s, base) & (log_ratio(_cut(text, s), ratios) >= least_ratio))
+    judged = F.filter(candidates(text, base), lambda s: log_ratio(_cut(text, s), ratios) >= least)
     return texts.select("doc_id", "base", F.array_sort(F.concat(base, judged)).alias("spans"))
 
 
