@@ -60,20 +60,22 @@ def _sets(texts: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _candidates(texts: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """node, shingles and sketch of the wanted classes (node, doc_id, digest), from the texts again."""
+    """node, shingles, sketch and band keys of the wanted classes (node, doc_id, text_hash, digest), from the texts again."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for node, digest, text in zip(batch["node"], batch["digest"], batch["text"], strict=True):
                 found = shingles(text)
-                if set_digest(found) == digest:  # rows may repeat a number with another text
-                    short = fast_sketch(found, settings.coordinates).astype("<u2")
-                    rows.append((node, found.tobytes(), short.tobytes()))
-            yield pd.DataFrame(rows, columns=["node", "shingles", "sketch"])
+                if set_digest(found) == digest:  # another text may have the same hash
+                    sketch = fast_sketch(found, settings.coordinates)
+                    keys = band_keys(sketch, settings.rows)
+                    rows.append((node, found.tobytes(), sketch.astype("<u2").tobytes(), keys.astype("<u8").tobytes()))
+            yield pd.DataFrame(rows, columns=["node", "shingles", "sketch", "keys"])
 
-    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "digest", "text")
-    return found.mapInPandas(sets, "node long, shingles binary, sketch binary").dropDuplicates(["node"])
+    same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_hash"] == wanted["text_hash"])
+    found = texts.join(wanted, same).select("node", "digest", "text")
+    return found.mapInPandas(sets, "node long, shingles binary, sketch binary, keys binary").dropDuplicates(["node"])
 
 
 def _find(parents: dict[int, int], x: int) -> int:
@@ -85,17 +87,17 @@ def _find(parents: dict[int, int], x: int) -> int:
 
 def _likely_pairs(rows: pd.DataFrame, settings: Settings, every: bool) -> pd.DataFrame:
     """Pairs of one block (or two) of a bucket whose estimate is likely: all across components, or else those
-    of a spanning forest, most similar first. A pair counts in the first band that it shares."""
+    of a spanning forest, most similar first. A pair counts in the first band whose key it shares."""
     rows = rows.drop_duplicates("node").sort_values("node")
     nodes, component = rows["node"].tolist(), rows["component"].to_numpy()
     sketches = np.frombuffer(b"".join(rows["sketch"]), "<u2").reshape(len(rows), -1)
+    keys = np.frombuffer(b"".join(rows["keys"]), "<u8").reshape(len(rows), -1)
     band = int(rows["band"].iloc[0])
     found: list[tuple[float, int, int]] = []
     for i in range(len(nodes) - 1):
-        agree = sketches[i + 1 :] == sketches[i]
-        same = agree.mean(axis=1)
+        same = (sketches[i + 1 :] == sketches[i]).mean(axis=1)
         good = np.flatnonzero((same >= settings.likely) & (component[i + 1 :] != component[i]))
-        first = agree[good].reshape(len(good), settings.bands, settings.rows).all(axis=2).argmax(axis=1)
+        first = (keys[i + 1 + good] == keys[i]).argmax(axis=1)
         found += [(-same[j], i, i + 1 + j) for j in good[first == band].tolist()]
     if not every:
         forest, parents = [], {}
@@ -115,7 +117,7 @@ def _bucket_pairs(members: DataFrame, sketches: DataFrame, settings: Settings, e
     # a member meets every block: once with each pair of blocks that its own is in
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component")
-    met = dealt.join(sketches.select("node", "sketch"), "node").groupBy("bucket", "i", "j")
+    met = dealt.join(sketches.select("node", "sketch", "keys"), "node").groupBy("bucket", "i", "j")
     return met.applyInPandas(lambda rows: _likely_pairs(rows, settings, every), "a long, b long")
 
 
@@ -150,13 +152,15 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(text).alias("text_hash"), text.alias("text"))
     rows = stored(_sets(texts, settings), "shingle-sets")
     classes = rows.filter("n_shingles > 0").groupBy("digest")
-    classes = classes.agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    # one row stands for a class: of its smallest number, if it has numbers
+    stands = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash"))
+    classes = classes.agg(F.min("doc_id").alias("doc_id"), stands.alias("text_hash"), F.first("bands").alias("bands"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "shingle-classes")
 
     banded = classes.select(F.posexplode("bands").alias("band", "bucket"), "node")
     buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = stored(banded.join(buckets, "bucket"), "bucket-members")
-    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "digest")
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash", "digest")
     sets = stored(_candidates(texts, wanted, settings), "candidate-sets")
 
     small = members.filter(F.col("size") <= settings.small_bucket)
