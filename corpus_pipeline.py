@@ -42,25 +42,44 @@ def _matched(docs: DataFrame, wanted: DataFrame, all_rows: DataFrame) -> DataFra
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
+    """Documents that the toxicity model does not reject.
+
+    A null text is scored as an empty one and stays null; rows of equal texts score alike, whatever their
+    number, and rows that repeat each stay or go. Texts of any length are scored whole. Without labels every
+    document stays; no documents give none. All columns of the documents are kept, whatever their names.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
     return model.score(docs, _SCORE).filter(F.col(_SCORE) < THRESHOLD).drop(_SCORE)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the row with the smallest doc_id, rows without number last.
+
+    Null and empty texts are one group. Of rows that repeat number and text one stays. Texts of any length
+    are compared whole; no documents give none, and all columns are kept.
+    """
     groups = stored(exact_groups(docs).select("doc_id", "text_hash", "kept"), "kept-texts")
     return _matched(docs, groups.filter("kept").select("doc_id", "text_hash").distinct(), groups)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates."""
+    """One document of each component of near duplicates: the row with the smallest doc_id.
+
+    Null texts and texts without words are like no other and stay. Rows without number stay only where their
+    component has no number; of rows that repeat number and text one stays. Texts of any length are compared
+    whole; no documents give none, and all columns are kept.
+    """
     found = stored(near_duplicates(docs).select("doc_id", "text_hash", "kept"), "kept-components")
     return _matched(docs, found.filter("kept").select("doc_id", "text_hash").distinct(), found)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes, in order of training position."""
+    """As many copies of each document as the mix takes, in order of training position.
+
+    Documents without words have no size and are not taken; a null source is a source of its own, the last.
+    Documents are taken in the order of a hash of their number, equal numbers by size, so reruns agree; rows
+    that repeat number and text share all their copies. No documents give none, and all columns are kept.
+    """
     taken = stored(mix(docs).select("doc_id", "text_hash", "positions"), "positions")
     # rows that repeat number and text are one row with all their copies
     places = taken.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("positions")).alias(_PLACE))
@@ -69,7 +88,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences."""
+    """Pieces of all documents, packed into sequences.
+
+    A null or empty text is its end token alone; only texts longer than a sequence are cut. Rows that repeat a
+    number, as copies taken by the mix do, are packed as documents of their own. No documents give no rows.
+    """
     return pack_documents(docs)
 
 
