@@ -86,12 +86,15 @@ def _segments(text: bytes) -> Iterator[bytes]:
 
 @dataclass
 class Chunk:
-    """Words of one language: ``places`` numbers them as they follow each other, 0 ends a piece."""
+    """Words of one language with their numbers: ``places`` has them as they follow each other, 0 ends a piece."""
 
     lang: bytes
-    words: list[bytes]
+    ids: _Ids
     places: np.ndarray
 
+    def __post_init__(self):
+        self.words = list(self.ids)
+
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Chunk]:
     """All words of batches (lang, text); no piece is cut."""
@@ -101,7 +104,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Chunk]:
 
     def flush() -> Iterator[Chunk]:
         for lang in list(ids):
-            yield Chunk(lang, list(ids.pop(lang)), np.concatenate(places.pop(lang)))
+            yield Chunk(lang, ids.pop(lang), np.concatenate(places.pop(lang)))
 
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -151,15 +154,34 @@ class Partition:
     heavy: frozenset[bytes] = frozenset()
     groups: np.ndarray | None = None
 
-    def suffixes(self, chunk: Chunk) -> np.ndarray:
-        """For every occurrence that starts a phrase its words up to DEPTH, 0 after the last (DEPTH rows)."""
-        hashes = np.array([_hash(chunk.lang, w) for w in chunk.words], np.uint64)
+    def _frequent(self, chunk: Chunk, numbers: np.ndarray) -> np.ndarray:
+        """For every word of the chunk whether it is frequent, as far as ``numbers`` asks; none is no word."""
+        known, numbers = np.zeros(len(chunk.words), bool), numbers[numbers > 0]
+        hashes = np.array([_hash(chunk.lang, chunk.words[i]) for i in numbers.tolist()], np.uint64)
         at = hashes & np.uint64(FILTER_BITS - 1)
-        known = (self.frequent[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        known[0] = False
-        words = np.concatenate([np.where(known[chunk.places], chunk.places, 0), np.zeros(DEPTH, np.int32)]).astype(np.int32)
-        n = len(chunk.places)
-        starts = np.flatnonzero((words[:n] > 0) & (words[1 : n + 1] > 0))
+        known[numbers] = (self.frequent[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return known
+
+    def suffixes(self, chunk: Chunk, heavy_only: bool = False) -> np.ndarray:
+        """For every occurrence that starts a phrase its words up to DEPTH, 0 after the last (DEPTH rows).
+
+        With ``heavy_only`` those whose first word is heavy.
+        """
+        n, places = len(chunk.places), np.concatenate([chunk.places, np.zeros(DEPTH, np.int32)])
+        if heavy_only:
+            first = [key[len(chunk.lang) + 1 :] for key in self.heavy if key.startswith(chunk.lang + b"\n")]
+            starting = np.zeros(len(chunk.words), bool)
+            starting[[chunk.ids[w] for w in first if w in chunk.ids]] = True
+            starts = np.flatnonzero(starting[chunk.places])
+            asked = np.unique(places[starts + np.arange(1, DEPTH)[:, None]])
+        else:
+            starting, starts, asked = None, None, np.arange(len(chunk.words))
+        known = self._frequent(chunk, asked)
+        if starts is None:
+            words = np.where(known[places], places, 0)
+            starts = np.flatnonzero((words[:n] > 0) & (words[1 : n + 1] > 0))
+        else:
+            words = np.where(known[places] | starting[places], places, 0)
         found = np.zeros((DEPTH, len(starts)), np.int32)
         alive = np.ones(len(starts), bool)
         for depth in range(DEPTH):
@@ -221,7 +243,7 @@ def extended_counts(docs: DataFrame, partition: object, depth: int, chunk_words:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, chunk_words):
-            for length, _, which, phrases in partition.value.prefixes(chunk, partition.value.suffixes(chunk)):
+            for length, _, which, phrases in partition.value.prefixes(chunk, partition.value.suffixes(chunk, heavy_only=True)):
                 n = np.bincount(which, minlength=len(phrases))
                 if length == depth:
                     kept = np.flatnonzero(n)
@@ -284,8 +306,11 @@ def suffix_rows(docs: DataFrame, partition: object, chunk_words: int = CHUNK) ->
             for start, end in zip(bounds, np.append(bounds, len(order))[1:], strict=True):
                 at = order[start:end]
                 numbers, places = np.unique(np.append(suffixes[:, at], 0), return_inverse=True)
-                words = b" ".join([b"", *[chunk.words[i] for i in numbers[1:]]])
-                parts = words, places[:-1].astype("<i4").tobytes(), counts[at].astype("<i8").tobytes()
+                # frequent words get small numbers, which pack better; 0 stays none
+                order_of = np.append(0, 1 + np.argsort(-np.bincount(places)[1:], kind="stable"))
+                places = np.argsort(order_of)[places[:-1]]
+                words = b" ".join([b"", *[chunk.words[i] for i in numbers[order_of[1:]]]])
+                parts = words, _planes(places.astype("<i4")), _planes(counts[at].astype("<i8"))
                 out.append((int(group[at[0]]), chunk.lang.decode(), *map(pack, parts)))
                 if len(out) >= 200:
                     yield _suffix_batch(out)
@@ -295,6 +320,16 @@ def suffix_rows(docs: DataFrame, partition: object, chunk_words: int = CHUNK) ->
     return _texts(docs).mapInArrow(rows, _SUFFIXES)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte: all lowest bytes first, which packs better."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def _numbers(planes: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _suffix_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
     columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
@@ -332,8 +367,8 @@ def group_nodes(rows: DataFrame, partition: object, least: int) -> DataFrame:
         del ids[_BREAK]
         for words, places, n in zip(rows["words"], rows["places"], rows["counts"], strict=True):
             numbers = np.fromiter(map(ids.__getitem__, unpack(words.as_py()).split(b" ")), np.int32)
-            suffixes.append(numbers[np.frombuffer(unpack(places.as_py()), "<i4")].reshape(DEPTH, -1))
-            counts.append(np.frombuffer(unpack(n.as_py()), "<i8"))
+            suffixes.append(numbers[_numbers(unpack(places.as_py()), "<i4")].reshape(DEPTH, -1))
+            counts.append(_numbers(unpack(n.as_py()), "<i8"))
         found = subtree_nodes(list(ids), np.concatenate(suffixes, axis=1), np.concatenate(counts), least)
         lang = key[1].as_py()
         heavy, name = partition.value.heavy, lang.encode() + b"\n"
