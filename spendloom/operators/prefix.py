@@ -63,7 +63,8 @@ def running_totals(
 
     Rows fall into blocks by bounds on the whole order (group, number, ties), so neither close nor equal
     numbers gather in one block; only rows alike in all of them do. The bounds are found inside the plan:
-    nothing runs while it is built. Sums per (group, block) give each block its offset, at most one more
+    nothing runs while it is built. A shuffle or stage that gives `df` is read again for them, not computed
+    again; a `df` that comes straight from files is scanned once more for the columns of the order. Sums per (group, block) give each block its offset, at most one more
     than `ranges` rows a group, and the window runs inside (group, block); sums, window and the join
     between them share one partitioning. A hot group spans its share of all blocks. `group` columns must
     not be NULL.
