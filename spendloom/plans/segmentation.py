@@ -55,6 +55,14 @@ def _staged(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _observed(purchases: DataFrame, spend_col: str, tiers: DataFrame, raw: Observation, tiered: Observation) -> DataFrame:
+    """The reconciliation of two observed totals."""
+    kinds = [df.agg(F.sum(spend_col)).schema[0].dataType for df in (purchases, tiers)]
+    schema = StructType([StructField("_raw", kinds[0]), StructField("_tiered", kinds[1])])
+    totals = purchases.sparkSession.createDataFrame([(raw.get["total"], tiered.get["total"])], schema)
+    return reconcile(totals, "_raw", totals, "_tiered")
+
+
 def staged_report(
     purchases: DataFrame,
     path: str,
@@ -69,7 +77,8 @@ def staged_report(
     `purchases` is computed twice here, once for the spend and once for the years, and once more by
     whoever reads the table of labelled purchases; everything else reads the written tables. The total of
     the purchases is observed while the spend is written, that of the tiers while they are. Observed
-    totals may count a row twice when tasks run again, so totals that disagree are added up afresh.
+    totals may count a row twice when tasks run again, so totals that disagree are added up afresh; so are
+    those of purchases without any spend, of which nothing may have been observed.
     """
     spend_col = "purchase_amount_eur"
     raw, tiered = Observation(), Observation()
@@ -77,12 +86,8 @@ def staged_report(
     tiers = tier_products(spend, "class4", "product_number", spend_col, scheme, label_col=label_col)
     tiers = _staged(tiers.observe(tiered, F.sum(spend_col).alias("total")), f"{path}/tiers")
     summary = tier_summary(tiers, label_col=label_col)
-    totals = [(raw.get["total"], tiered.get["total"])]
-    kinds = [purchases.agg(F.sum(spend_col)).schema[0].dataType, tiers.agg(F.sum(spend_col)).schema[0].dataType]
-    schema = StructType([StructField("_raw", kinds[0]), StructField("_tiered", kinds[1])])
-    observed = purchases.sparkSession.createDataFrame(totals, schema)
-    found = reconcile(observed, "_raw", observed, "_tiered")
-    if not found.first()["matches"]:
+    found = None if spend.isEmpty() else _observed(purchases, spend_col, tiers, raw, tiered)
+    if found is None or not found.first()["matches"]:
         found = reconcile(purchases, spend_col, summary, "spend_total")
     year_rows = _staged(year_quantity(purchases, classes), f"{path}/year_quantity")
     return {

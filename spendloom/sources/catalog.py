@@ -78,11 +78,11 @@ def table_info(spark: SparkSession, table: str, *, analyze: bool = True) -> dict
     """Rows, columns, size, creation and modification time, location and the schema of a table.
 
     The number of rows is the catalog's statistic, size and time of change are those of the listed files: no
-    data is read. Where the catalog does not know the rows they are counted into it once, or, with
-    `analyze` off, are None.
+    data is read. Where the catalog does not know the rows of a table they are counted into it once, or, with
+    `analyze` off, are None. Views have neither rows nor size.
     """
     details = _described(spark, table)
-    if analyze and _row_count(details) is None and details.get("Type") != "VIEW":
+    if analyze and _row_count(details) is None and details.get("Type") in ("MANAGED", "EXTERNAL"):
         analyze_table(spark, table)
         details = _described(spark, table)
     described, columns = spark.catalog.getTable(table), spark.catalog.listColumns(table)

@@ -589,8 +589,7 @@ def replaced_class_export(spark, d):
 @query
 def csv_round_trip(spark, d):
     """A query's rows, written as CSV files and read back."""
-    roles.table(spark, d, "nation").createOrReplaceTempView("nation_rows")
-    path = files.query_to_csv(spark, "SELECT * FROM nation_rows", scratch_path(spark, "csv"))
+    path = files.query_to_csv(spark, f"SELECT * FROM parquet.`{d}/nation.parquet`", scratch_path(spark, "csv"))
     return spark.read.schema(roles.SCHEMAS["nation"]).option("header", True).csv(path)
 
 

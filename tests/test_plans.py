@@ -348,3 +348,11 @@ def test_staged_report_reads_purchases_three_times(spark, tmp_path):
     assert scanned_rows(spark) - before <= 3 * rows + 4 * staged
     for name, df in plain.items():
         assert sorted(map(str, report[name].select(*df.columns).collect())) == sorted(map(str, df.collect())), name
+
+
+def test_staged_report_of_nothing(spark, tmp_path):
+    fact = purchase_frame(spark, {}).withColumn("product_description", F.lit("d"))
+    for name, df in (("none", fact.limit(0)), ("filtered", fact.filter("product_number < 0")), ("keyless", fact.withColumn("class4", F.lit(None).cast("string")))):
+        report = segmentation.staged_report(df, str(tmp_path / name), classes=None, years=[2022])
+        assert report["tiers"].count() == report["summary"].count() == 0
+        assert report["reconciliation"].first()["summary_total"] == 0

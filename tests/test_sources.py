@@ -101,6 +101,13 @@ def test_replacing_a_class_leaves_the_others_alone(spark, tmp_path):
         files.export_by_class(df, str(path), replace="some")
 
 
+def test_export_of_nothing(spark, tmp_path):
+    df = spark.createDataFrame([], "class4 string, v int")
+    assert files.export_by_class(df, str(tmp_path / "x")).count() == 0
+    files.export_by_class(spark.createDataFrame([("a", 1)], "class4 string, v int"), str(tmp_path / "x"))
+    assert files.export_by_class(df, str(tmp_path / "x"), replace="classes").count() == 1
+
+
 def test_table_information_reads_no_data(spark, table):
     df = spark.range(100).select("id", (F.col("id") % 3).alias("k"))
     catalog.save_table(df, table)
@@ -112,6 +119,9 @@ def test_table_information_reads_no_data(spark, table):
     assert scanned_rows(spark) - before < 100
     catalog.save_table(df, table)
     assert catalog.table_info(spark, table)["num_rows"] == 200
+    df.createOrReplaceTempView("a_view")
+    found = catalog.table_info(spark, "a_view")
+    assert (found["num_rows"], found["num_columns"], found["size_bytes"]) == (None, 2, None)
 
 
 def test_clashing_table_names(spark, tmp_path):
