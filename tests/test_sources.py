@@ -121,6 +121,7 @@ def test_table_information_reads_no_data(spark, table):
     assert catalog.table_info(spark, table)["num_rows"] == 200
     df.createOrReplaceTempView("a_view")
     found = catalog.table_info(spark, "a_view")
+    spark.catalog.dropTempView("a_view")
     assert (found["num_rows"], found["num_columns"], found["size_bytes"]) == (None, 2, None)
 
 
