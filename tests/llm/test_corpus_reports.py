@@ -270,6 +270,34 @@ def test_quality_edges(spark):
     assert quality.training_rows(table, labels(spark, marks), 10).count() == 10
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    # 24,000 labelled rows in several blocks: as many of them score below the threshold as are marked bad
+    words = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.conv(F.abs(F.xxhash64("id", i)).cast("string"), 10, 36))
+    kind = F.when(F.col("id") % 7 == 0, F.lit("!!! ##")).otherwise(F.lit("the, and"))
+    table = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", words, kind).alias("text"))
+    marks = table.select("doc_id", ((F.col("doc_id") % 7 != 0) != (F.col("doc_id") % 10 == 0)).cast("int").alias("quality"))
+    assert quality.training_rows(table, marks).count() == table.filter(~quality.held_out(F.col("doc_id"))).count() > 23_000
+    scored = quality.train(table, marks).score(table).join(marks, "doc_id").filter(~quality.held_out(F.col("doc_id")))
+    low, bad = scored.agg(F.count_if(F.col("score") < quality.THRESHOLD), F.count_if(F.col("quality") == 0)).first()
+    assert low == bad
+
+
+def test_quality_blocks_fit_what_one_block_fits(spark, monkeypatch):
+    rng = random.Random(6)
+    words = {1: ["the", "house", "Is", "green,", "and"], 0: ["B$$$", "house", "NOW!!", "the", "is"]}
+    rows = [(i, " ".join(rng.choices(words[int(i % 5 > 0)], k=9)), "s", "en") for i in range(400)]
+    table, marks = docs(spark, rows), labels(spark, [(i, int(i % 5 > 0), 0) for i in range(400)])
+    whole = quality.train(table, marks)
+    found = quality.training_rows(table, marks).withColumn("x", F.xxhash64("doc_id")).orderBy("x").collect()
+    alone = quality.fit(np.array([quality.features(r.text) for r in found]), np.array([r.quality for r in found]))
+    assert np.allclose(whole.weights, alone.weights, atol=1e-6) and np.allclose(whole.knots, alone.knots, atol=1e-5)
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(quality, "BLOCK_OPPONENTS", 20)
+    parts = quality.train(table, marks)
+    assert np.allclose(parts.mean, whole.mean) and np.allclose(parts.scale, whole.scale) and len(parts.knots)
+    assert np.array_equal(quality.train(table.repartition(9), marks).weights, parts.weights)
+
+
 def test_features_without_words_and_with_odd_signs():
     for text in ("", " \n\t", "a", "\x00", "퟿\U0001d400  ", "1 2 3"):
         x = quality.features(text)
