@@ -14,8 +14,8 @@ BLOCK = "_block"
 #: Blocks of all groups together. Each holds about this share of all rows, the largest some seven times as much.
 RANGES = 1024
 
-#: Bounds are searched in two steps of so many.
-_STEP = 32
+#: Each step of the search for a row's block leaves one of so many parts of the bounds.
+_PARTS = 4
 
 
 def order_key(group: Sequence[str], number: str, ties: Sequence[str], *, descending: bool = False) -> Column:
@@ -33,20 +33,27 @@ def range_bounds(df: DataFrame, key: Column, ranges: int = RANGES) -> Column:
     """
     keys = df.select(key.alias("_key"))
     sample = keys.orderBy(F.xxhash64("_key"), "_key").limit(ranges)
-    bounds = F.sort_array(F.collect_set("_key"))
-    steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(bounds) / _STEP) - 1, F.lit(0)).cast("int"))
-    return sample.agg(F.transform(steps, lambda i: F.slice(bounds, i * _STEP + 1, _STEP)).alias("_bounds")).scalar()
+    return sample.agg(F.sort_array(F.collect_set("_key")).alias("_bounds")).scalar()
 
 
 def with_blocks(df: DataFrame, key: Column, ranges: int = RANGES) -> DataFrame:
-    """`df` with the number of bounds that each row's key reaches as BLOCK."""
-    bounds, row_key = F.col("_bounds"), F.col("_key")
-    steps = F.size(F.filter(bounds, lambda step: step[0] <= row_key))
-    inside = F.size(F.filter(F.get(bounds, F.greatest(steps - 1, F.lit(0))), lambda bound: bound <= row_key))
-    # never NULL, so that no join has to filter for it
-    block = F.coalesce(F.when(steps > 0, (steps - 1) * _STEP + inside), F.lit(0)).cast("bigint")
-    placed = df.withColumns({"_bounds": range_bounds(df, key, ranges), "_key": key})
-    return placed.withColumn(BLOCK, block).drop("_bounds", "_key")
+    """`df` with the number of bounds that each row's key reaches as BLOCK; the last two numbers may be one.
+
+    The search is a chain of plain projections: within generated code the bounds are one shared value,
+    while a function with a lambda copies all of them into every row before it reads them.
+    """
+    placed = df.withColumns({"_bounds": range_bounds(df, key, ranges), "_key": key, BLOCK: F.lit(0).cast("bigint")})
+    widths = [1]
+    while widths[0] * _PARTS < ranges:
+        widths.insert(0, widths[0] * _PARTS)
+    for width in widths:
+        # beyond the last bound there is NULL, which is not reached; so BLOCK is never NULL and no join has to filter for it
+        at = [F.get("_bounds", (F.col(BLOCK) + part * width - 1).cast("int")) <= F.col("_key") for part in range(1, _PARTS)]
+        reached = F.when(at[-1], F.lit(len(at)))
+        for part in range(len(at) - 1, 0, -1):
+            reached = reached.when(at[part - 1], F.lit(part))
+        placed = placed.withColumn(BLOCK, F.col(BLOCK) + reached.otherwise(F.lit(0)) * width)
+    return placed.drop("_bounds", "_key")
 
 
 def running_totals(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import Window as W
@@ -100,3 +102,25 @@ def test_pages_of_a_long_list(spark):
     whole = {r["k"]: r["value_list"] for r in attributes.list_values(df.dropna(), ["k"], "v").collect()}
     joined = {r["k"]: r["value_list"] for r in attributes.join_pages(attributes.list_pages(df, ["k"], "v", 200), ["k"]).collect()}
     assert joined == whole
+
+
+def plan_of(df):
+    return re.sub(r"#[0-9]+L?", "", df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_blocks_are_numbers_of_bounds_reached(spark):
+    df = one_class(spark, "id % 1000").limit(5_000)
+    key = prefix.order_key(["class4"], "spend", ["product"])
+    for ranges in (1, 7, 16, 100):
+        bounds = sorted(tuple(r) for r in df.select(prefix.range_bounds(df, key, ranges).alias("b")).first().b)
+        found = prefix.with_blocks(df, key, ranges)
+        assert len(bounds) == ranges and "lambda" not in plan_of(found)
+        most = max(1, 4 ** math.ceil(math.log(ranges, 4))) if ranges > 1 else 4
+        for r in found.select(key.alias("k"), prefix.BLOCK).sample(0.1, 3).collect():
+            assert r[prefix.BLOCK] == min(sum(b <= tuple(r.k) for b in bounds), most - 1)
+
+
+def test_pages_read_their_source_by_one_filter(spark):
+    source = spark.range(100).selectExpr("IF(id % 9 = 0, NULL, concat('k', id % 5)) AS k", "IF(id % 7 = 0, NULL, CAST(id AS STRING)) AS v")
+    filters = {line.split("Filter", 1)[1] for line in plan_of(attributes.list_pages(source, ["k"], "v", 20)).split("\n") if " Filter " in line and "page" not in line}
+    assert len(filters) == 1
