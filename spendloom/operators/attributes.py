@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,7 +111,9 @@ def list_pages(df: DataFrame, keys: Sequence[str], value_col: str, page_chars: i
     the lengths before it, which are running totals: no task holds all values of a key. Missing keys and
     values are left out.
     """
-    values = df.select(*keys, F.col(value_col).cast("string").alias("_value")).dropna().distinct()
+    values = df.select(*keys, F.col(value_col).cast("string").alias("_value"))
+    # conditions as the join of running totals infers them, so that all its branches share one shuffle
+    values = values.filter(reduce(Column.__and__, [F.col(c).isNotNull() for c in values.columns])).distinct()
     lengths = values.withColumns({"_length": F.length("_value") + len(separator), "_order": F.lit(0)})
     placed = running_totals(lengths, list(keys), "_order", "_length", ["_value"])
     page = F.floor((F.col("running") - F.col("_length")) / page_chars).cast("long")
