@@ -46,9 +46,11 @@ def lines_with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def purchase_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchase rows: line items with part, supplier and nation."""
     nations = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
-    suppliers = table(spark, sf_dir, "supplier").join(nations, "s_nationkey", "inner")
-    suppliers = suppliers.withColumnRenamed("s_suppkey", "l_suppkey")
-    rows = lines_with_parts(spark, sf_dir).join(suppliers, "l_suppkey", "inner")
+    suppliers = table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "l_suppkey")
+    parts = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
+    # the small tables first and one by one: their sizes are known then, and if one is shuffled, the lines are still narrow
+    lines = table(spark, sf_dir, "lineitem").join(suppliers, "l_suppkey", "inner").join(nations, "s_nationkey", "inner")
+    rows = lines.join(parts, "l_partkey", "inner")
     return rows.selectExpr(
         "year(l_shipdate) AS year_authorization",
         "CAST(l_suppkey AS STRING) AS uniquevendorcode",
