@@ -40,13 +40,14 @@ def heavy_keys(df: DataFrame, on: str | Sequence[str], parts: int = PARTS) -> Da
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left", *, hot: DataFrame, spread: Sequence[str]
+    left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left", *, hot: DataFrame, spread: Sequence[str], distinct: bool = False
 ) -> DataFrame:
     """Equi-join (inner, left, left_semi or left_anti) that spreads the left rows of listed keys.
 
     `hot` is a lazy frame, one row per key: `salts` and either the `on` columns or, as `heavy_keys` gives
     it, their hash. The salt of a left row is a hash of its `spread` columns, so a retried task gives the
-    same; only the right rows of listed keys are repeated, once per salt. No job runs here.
+    same; only the right rows of listed keys are repeated, once per salt. With `distinct`, left rows alike in
+    all columns count once, and the shuffle of the join brings them together. No job runs here.
     """
     on = [on] if isinstance(on, str) else list(on)
     keys = [_HASH] if _HASH in hot.columns else on
@@ -61,11 +62,14 @@ def salted_join(
 
     spread_left = with_salts(left).withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.col(_SALTS)).cast("int"))
     repeated = with_salts(right).withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.col(_SALTS) - 1)))
-    return spread_left.drop(_SALTS, _HASH).join(repeated.drop(_SALTS, _HASH), [*on, _SALT], how).drop(_SALT)
+    spread_left = spread_left.drop(_SALTS, _HASH)
+    if distinct:
+        spread_left = spread_left.repartition(*on, _SALT).distinct()
+    return spread_left.join(repeated.drop(_SALTS, _HASH), [*on, _SALT], how).drop(_SALT)
 
 
 def skewed_join(
-    left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left", *, spread: Sequence[str], parts: int = PARTS
+    left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left", *, spread: Sequence[str], parts: int = PARTS, distinct: bool = False
 ) -> DataFrame:
     """The same as a plain equi-join of a large `left` with a `right` side of few rows per key.
 
@@ -73,4 +77,4 @@ def skewed_join(
     inside the plan and spread by a hash of the `spread` columns. The key columns of `left` are read once
     more for it.
     """
-    return salted_join(left, right, on, how, hot=heavy_keys(left, on, parts), spread=spread)
+    return salted_join(left, right, on, how, hot=heavy_keys(left, on, parts), spread=spread, distinct=distinct)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spendloom.config import EnrichmentScope
 from spendloom.functions.text import attribute_key, merge_text
 from spendloom.operators.attributes import list_values, pivot_values
+from spendloom.operators.joins import skewed_join
 
 
 def attributes_per_product(values: DataFrame, scope: EnrichmentScope) -> DataFrame:
@@ -40,10 +41,11 @@ def enrich_purchases(
 
     Identical purchase rows become one row, which lowers spend totals. Attributes
     are reduced per product first, so wide purchase rows are never grouped by
-    attribute.
+    attribute. They are shuffled once, by product, and those of hot products by
+    a hash of the row as well.
     """
     attributes = attributes_per_product(values, scope)
-    rows = purchases.withColumn("product_number", F.col("product_number").cast("string")).distinct()
-    return rows.join(attributes, "product_number", "left").select(
+    rows = purchases.withColumn("product_number", F.col("product_number").cast("string"))
+    return skewed_join(rows, attributes, "product_number", spread=rows.columns, distinct=True).select(
         *purchases.columns, *scope.outputs.values()
     )
