@@ -1,14 +1,16 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import pytest
 
 from spendloom import session
-from spendloom.operators.joins import salted_join
+from spendloom.operators.joins import salted_join, skewed_join
 from spendloom.operators.lookups import any_value_per_key, brand_map, keep_first, stop_flag
 from spendloom.operators.prefix import quantiles, running_totals
+from spendloom.verification import roles
 
 
 def rows_of(df):
@@ -93,3 +95,19 @@ def test_lookups(spark):
     bought = spark.createDataFrame([("1",), ("1",)], "product_number string")
     assert rows_of(brand_map(brands, bought)) == Counter([("1", "x"), ("1", "y")])
     assert rows_of(any_value_per_key(brands, "product_number", "key_brand_identifier")) == Counter([(1, "x"), (2, "z")])
+
+
+def test_distinct_rows_of_hot_and_missing_keys_join_by_one_shuffle(spark, sides):
+    left, right = sides
+    twice = left.unionByName(left)
+    joined = skewed_join(twice, right, ["k", "j"], spread=twice.columns, distinct=True)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(joined) == rows_of(left.distinct().join(right, ["k", "j"], "left"))
+    assert plan.count("REPARTITION_BY_COL") == 1 and "hashpartitioning(k, j, v" not in re.sub(r"#[0-9]+L?", "", plan)
+
+
+def test_suppliers_meet_the_lines_before_the_parts(spark):
+    plan = roles.purchases(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # printed from the top: the last join, its left side, then its right side
+    tables = re.findall(r"Relation \[([a-z])_", plan)
+    assert tables == ["l", "s", "n", "p"]
